@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, pieces, quality, toxicity
+from . import chat, decontaminate, fingerprint, langid, pieces, quality, toxicity
 from .common import fold
 
 
@@ -32,6 +32,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
@@ -54,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op5_sentencepiece, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity]
+    found = [op1_quality, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
