@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, langid, pieces, quality, toxicity
+from . import chat, decontaminate, fingerprint, langid, lm, pieces, quality, toxicity
 from .common import fold
 
 
@@ -28,6 +28,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexity(lm.score(table(spark, sf_dir, "documents"), order=2, min_count=2))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -58,9 +62,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity]
+    found = [op1_quality, op3_lm_score, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontaminate.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
+    return {"op3_lm_score": lm.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
