@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, langid, lm, pieces, quality, toxicity
+from . import chat, decontaminate, fingerprint, langid, lm, pieces, quality, repeats, toxicity
 from .common import fold
 
 
@@ -32,6 +32,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.perplexity(lm.score(table(spark, sf_dir, "documents"), order=2, min_count=2))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents"), window=20))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -62,9 +66,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op3_lm_score, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity]
+    found = [op1_quality, op3_lm_score, op4_substring_dedup, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lm_score": lm.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
+    return {"op3_lm_score": lm.ORACLE_SQL, "op4_substring_dedup": repeats.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
