@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, langid, lm, pieces, quality, repeats, toxicity
+from . import chat, decontaminate, fingerprint, langid, lm, near, pieces, quality, repeats, toxicity
 from .common import fold
 
 
@@ -28,6 +28,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.perplexity(lm.score(table(spark, sf_dir, "documents"), order=2, min_count=2))
 
@@ -66,9 +70,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op3_lm_score, op4_substring_dedup, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity]
+    found = [op1_quality, op2_jaccard_join, op3_lm_score, op4_substring_dedup, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lm_score": lm.ORACLE_SQL, "op4_substring_dedup": repeats.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
+    return {"op2_jaccard_join": near.ORACLE_SQL, "op3_lm_score": lm.ORACLE_SQL, "op4_substring_dedup": repeats.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
