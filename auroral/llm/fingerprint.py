@@ -28,41 +28,37 @@ BUCKET_BYTES = 8 << 20
 MAX_BUCKETS = 1000
 
 
-def _term(weight: Column, *parts: Column) -> Column:
-    """A term as one long: its hash, with the weight less 1 in the lowest three bits."""
-    return F.xxhash64(*parts).bitwiseAND(F.lit(-8)).bitwiseOR((weight - 1).cast("long"))
-
-
 def terms(text: Column) -> Column:
-    """array<bigint> of a text's distinct terms; a pair of words weighs 1 and 1 more for each of the two that has over three characters.
+    """array<struct<a string, b string>> of a text's terms: its pairs of consecutive words; for short texts also pieces of three characters, without b.
 
-    Pieces of three characters weigh up to 8, the less the longer the text, and nothing from ``SHORT_CHARS`` characters on.
-    A term counts once however often it is repeated, so that a repeated line doesn't outvote the rest.
+    A text of one word is one such piece; leading and trailing white space makes an empty word.
     """
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    kind = "array<struct<a:string,b:string>>"
+    words = F.split(text, r"\s+")
     n = F.size(words)
-    weigh = lambda w: F.when(F.length(w) > 3, 1).otherwise(0)
-    pairs = F.when(
-        n > 1,
-        F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(1))), F.slice(words, 2, F.greatest(n - 1, F.lit(1))), lambda a, b: _term(1 + weigh(a) + weigh(b), a, b)),
-    ).otherwise(F.transform(words, lambda w: _term(F.lit(1), w)))
+    pairs = F.arrays_zip(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0)))).cast(kind)
+    alone = F.when(n < 2, F.array(F.struct(text.alias("a"), F.lit(None).cast("string").alias("b")))).otherwise(F.expr(f"cast(array() as {kind})"))
     chars = F.length(text)
-    piece_weight = F.ceil((SHORT_CHARS - chars) / (SHORT_CHARS / 8))
     pieces = F.when(
         (chars >= 1) & (chars < SHORT_CHARS),
-        F.transform(F.sequence(F.lit(1), F.greatest(chars - 2, F.lit(1))), lambda i: _term(piece_weight, F.lit("piece"), F.substring(text, i, F.lit(3)))),
-    ).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return F.array_distinct(F.concat(pairs, pieces))
+        F.transform(F.sequence(F.lit(1), F.greatest(chars - 2, F.lit(1))), lambda i: F.struct(F.substring(text, i, F.lit(3)).alias("a"), F.lit(None).cast("string").alias("b"))),
+    ).otherwise(F.expr(f"cast(array() as {kind})"))
+    return F.concat(pairs, alone, pieces)
 
 
 def simhash(texts: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, fp long) of rows (*keys, text), one for each distinct key.
 
-    A key must determine its text. Null and term-less texts get 0. Bits are set where the votes for it are more than half.
+    A key must determine its text. Each occurrence of a term votes with the term's weight: a pair with 1, and 1 more for
+    each of its words of over three characters; a piece with up to 8, the less the longer the text. Bits are set where the
+    votes for them are more than half. Null texts are empty.
     """
-    voted = texts.select(*keys, F.explode_outer(terms(F.coalesce("text", F.lit("")))).alias("t")).select(*keys, F.xxhash64("t").alias("h"), (F.col("t").bitwiseAND(F.lit(7)) + 1).alias("w"))
+    text = F.coalesce("text", F.lit(""))
+    piece_weight = F.greatest(F.lit(1), F.ceil((SHORT_CHARS - F.length(text)) / (SHORT_CHARS / 8))).cast("long")
+    voted = texts.select(*keys, piece_weight.alias("pw"), F.explode(terms(text)).alias("t")).select(*keys, "pw", "t.a", "t.b")
+    weighed = voted.select(*keys, F.xxhash64("a", "b").alias("h"), F.expr("if(b is null, pw, 1L + if(length(a) > 3, 1L, 0L) + if(length(b) > 3, 1L, 0L))").alias("w"))
     sums = [F.sum(F.expr(f"(shiftrightunsigned(h, {j}) & {_PAIR}L) * w")).alias(f"v{j}") for j in range(32)]
-    counted = voted.groupBy(*keys).agg(F.sum("w").alias("all"), *sums)
+    counted = weighed.groupBy(*keys).agg(F.sum("w").alias("all"), *sums)
     low = [F.when(F.expr(f"(v{j} & 4294967295L) * 2 > all"), F.lit(1 << j)).otherwise(F.lit(0).cast("long")) for j in range(32)]
     high = [F.when(F.expr(f"shiftrightunsigned(v{j}, 32) * 2 > all"), F.expr(f"shiftleft(1L, {j + 32})")).otherwise(F.lit(0).cast("long")) for j in range(32)]
     fp = low[0]
