@@ -231,9 +231,10 @@ def similarity_classes(docs: DataFrame, settings: Settings = Settings()) -> Data
     docs = docs.select("doc_id", "text")
     sketches = materialise(docs.mapInArrow(_sketcher(settings), f"doc_id {kind}, node long, size int, bands array<long>"), "near-sketches")
     members = sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.count("*").alias("n_copies"))
+    # none of the joined sides has a bound on its size: they are merged at every size, not broadcast while small
     bands = sketches.where("doc_id is not null").select("node", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("key").alias("k"), "low")
-    ties = bands.join(buckets, F.col("key") == F.col("k")).where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    ties = bands.join(buckets.hint("merge"), F.col("key") == F.col("k")).where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     groups = materialise(connected_components(ties, "near-ties").join(members, "node"), "near-groups").where("rep is not null")
     # chunks of a group, and a job for each pair of chunks
     share = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / settings.chunk_nodes), F.ceil(F.sum("size") / settings.chunk_shingles), F.lit(1)).cast("int").alias("chunks")).withColumnRenamed("component", "c")
@@ -246,14 +247,14 @@ def similarity_classes(docs: DataFrame, settings: Settings = Settings()) -> Data
         F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     n_tasks = 8 * block_count(docs)
-    work = docs.join(sided, "doc_id").withColumn("task", F.pmod(F.col("job"), F.lit(n_tasks)).cast("int"))
+    work = docs.join(sided.hint("merge"), "doc_id").withColumn("task", F.pmod(F.col("job"), F.lit(n_tasks)).cast("int"))
     found = materialise(work.select("task", "job", "side", "node", "text").groupBy("task").applyInArrow(_linker(settings), "node long, links long, root long"), "near-links")
     n_links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "near-classes")
     named = members.join(classes, "node", "left").select("node", "rep", "n_copies", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("class_id")).withColumnRenamed("component", "c")
     told = named.join(least, F.col("component") == F.col("c")).join(n_links, "node", "left").select(F.col("node").alias("own"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return sketches.select("doc_id", "node").join(told, F.col("node") == F.col("own")).select("doc_id", "class_id", "n_links", "n_copies")
+    return sketches.select("doc_id", "node").join(told.hint("merge"), F.col("node") == F.col("own")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 #: similarity_classes(documents) in DuckDB's SQL; classes by recursion over links between distinct sets
