@@ -134,7 +134,7 @@ def _shards(items: DataFrame, shard_words: int) -> Iterator[list[tuple[str | Non
         yield held
 
 
-def _scanner(shard, window: int):
+def _scanner(shard, window: int, extra: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell: dict[bytes, int] = {}
         items = [(item, [spell.setdefault(w, len(spell)) for w in words]) for item, words in shard.value] if shard else []
@@ -179,7 +179,8 @@ def _scanner(shard, window: int):
                 merged = [_union(x, [(y["lo"], y["hi"]) for y in old or []]) for x, old in zip(spans, spans_before[chunk.lo : chunk.hi], strict=True)]
                 names = [sorted({x for x in f if x is not None} | set(old or [])) for f, old in zip(found, items_before[chunk.lo : chunk.hi], strict=True)]
                 columns = [rows_out.column(0), rows_out.column(1), pa.array(sizes, pa.int64()), pa.array([[{"lo": a, "hi": b} for a, b in x] for x in merged], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_words", "spans", "items"])
+                columns += [rows_out.column(5 + k) for k in range(len(extra))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_words", "spans", "items", *extra])
 
     return run
 
@@ -204,10 +205,10 @@ def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Where benchmark windows occur in documents.
 
-    ``docs`` has doc_id and text, ``items`` item_id and text; further columns are left out. A window is
+    ``docs`` has doc_id and text, ``items`` item_id and text; further columns are left out, but for those in ``extra``. A window is
     ``window`` consecutive words of an item, or a whole item of fewer words. Returns a row for each row of
     ``docs``: doc_id, text, n_words, spans array<struct<lo int, hi int>> (disjoint, ascending runs of words
     that windows cover, ``hi`` excluded), items array<string> (ids of the items with a window here, sorted).
@@ -216,16 +217,17 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int =
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text string, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
+    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *extra)
     context = docs.sparkSession.sparkContext
     shards = [context.broadcast(shard) for shard in _shards(items, shard_words)]
     for shard in shards or [None]:
-        out = out.mapInArrow(_scanner(shard, window), schema)
+        out = out.mapInArrow(_scanner(shard, window, extra), schema)
     return out
 
 
-def remove_spans(scanned: DataFrame, min_words: int = 10, max_coverage: float = 0.8) -> DataFrame:
-    """(doc_id, text) without the spans of scan() that have at least ``min_words`` words; shorter spans stay.
+def remove_spans(scanned: DataFrame, min_words: int = 10, max_coverage: float = 0.8, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, *extra) without the spans of scan() that have at least ``min_words`` words; shorter spans stay.
 
     A document of which such spans cover more than ``max_coverage`` of the words is dropped whole. Texts
     without such a span stay as they are, byte for byte; elsewhere a span goes with its inner separators.
@@ -237,7 +239,8 @@ def remove_spans(scanned: DataFrame, min_words: int = 10, max_coverage: float =
             spans = batch.column(2).to_pylist()
             hit = [[s for s in x if s["hi"] - s["lo"] >= min_words] for x in spans]
             clean = np.array([not x for x in hit], bool)
-            yield batch.filter(pa.array(clean)).select([0, 1])
+            kept = [0, 1, *range(3, batch.num_columns)]
+            yield batch.filter(pa.array(clean)).select(kept)
             for i in np.flatnonzero(~clean).tolist():
                 one = batch.slice(i, 1)
                 chunk = next(chunks(one.column(1)))
@@ -249,9 +252,10 @@ def remove_spans(scanned: DataFrame, min_words: int = 10, max_coverage: float =
                     out.append(data[at : starts[s["lo"]]])
                     at = ends[s["hi"] - 1]
                 out.append(data[at:])
-                yield pa.RecordBatch.from_arrays([one.column(0), pa.array([b"".join(out).decode("utf-8", "replace")], pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([one.column(0), pa.array([b"".join(out).decode("utf-8", "replace")], pa.string()), *[one.column(k) for k in kept[2:]]], ["doc_id", "text", *extra])
 
-    return scanned.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, text string")
+    more = "".join(f", `{c}` {scanned.schema[c].dataType.simpleString()}" for c in extra)
+    return scanned.select("doc_id", "text", "spans", *extra).mapInArrow(run, f"doc_id {kind}, text string{more}")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

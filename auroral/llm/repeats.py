@@ -79,9 +79,9 @@ def _selected(anchors: np.ndarray, where: np.ndarray) -> np.ndarray:
     return anchors[keep]
 
 
-def _in_order(table: pa.Table) -> pa.Table:
+def _in_order(table: pa.Table, extra: tuple[str, ...] = ()) -> pa.Table:
     """The rows of a block in the order of their documents; every step numbers them so."""
-    return table.select(["doc_id", "text", "block"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return table.select(["doc_id", "text", "block", *extra]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def _ask_anchors(window: int, anchor: int, parts: int):
@@ -283,28 +283,32 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _remover(table: pa.Table, spans: pa.Table) -> pa.Table:
-    table = _in_order(table)
-    by: dict[int, list[tuple[int, int]]] = {}
-    for row, lo, hi in zip(*(spans.column(c).to_pylist() for c in ("row", "lo", "hi")), strict=True):
-        by.setdefault(row, []).append((lo, hi))
-    sizes, removed, kept = [], [], []
-    for k, text in enumerate(table.column("text").to_pylist()):
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        left, at, gone = [], 0, 0
-        for lo, hi in _merge(by.get(k, [])):
-            left += words[at:lo]
-            at, gone = hi, gone + hi - lo
-        left += words[at:]
-        sizes.append(len(words))
-        removed.append(gone)
-        kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
-    ids = table.column("doc_id")
-    return pa.Table.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-
-def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 4 << 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of every row's whole text, kept being the words left, joined by one space.
+def _remover(extra: tuple[str, ...], layout: bool):
+    def run(table: pa.Table, spans: pa.Table) -> pa.Table:
+        table = _in_order(table, extra)
+        by: dict[int, list[tuple[int, int]]] = {}
+        for row, lo, hi in zip(*(spans.column(c).to_pylist() for c in ("row", "lo", "hi")), strict=True):
+            by.setdefault(row, []).append((lo, hi))
+        sizes, removed, kept = [], [], []
+        for k, text in enumerate(table.column("text").to_pylist()):
+            words = (text or "").encode("utf-8", "surrogatepass").split()
+            left, at, gone = [], 0, 0
+            for lo, hi in _merge(by.get(k, [])):
+                left += words[at:lo]
+                at, gone = hi, gone + hi - lo
+            left += words[at:]
+            sizes.append(len(words))
+            removed.append(gone)
+            kept.append(text if layout and not gone else b" ".join(left).decode("utf-8", "surrogatepass"))
+        columns = [table.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *[table.column(c) for c in extra]]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", *extra])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 4 << 20, shard_bytes: int = SHARD_BYTES, extra: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, *extra) of every row's whole text, kept being the words left, joined by one space;
+    with ``layout`` a text of which nothing goes is kept as it is. ``extra`` names further columns to carry along.
 
     A word is a run of characters other than ASCII white space. A word goes if a window of ``window`` words that covers
     it also begins earlier: in a document of smaller doc_id, or earlier in the same one. Windows are judged on the input.
@@ -316,7 +320,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 4 << 20
     parts = max(8, n_blocks // 2)
     anchor = (window * 3 + 4) // 5
     text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block")).repartition("block")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), *extra).repartition("block")
     grouped = own.groupBy("block")
     asked = grouped.applyInArrow(_ask_anchors(window, anchor, parts), "part int, block int, keys binary, many binary")
     recur = asked.groupBy("part").applyInArrow(_answer_anchors, "block int, part int, recur binary")
@@ -331,7 +335,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 4 << 20
     stretches = dealt(False).withColumn("salt", F.pmod(F.xxhash64("block", "row", "start"), F.col("n")).cast("int"))
     passages = dealt(True).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     spans = passages.toDF(*passages.columns).groupBy("shard", "salt").cogroup(stretches.groupBy("shard", "salt")).applyInArrow(_confirm(window), "block int, row int, lo int, hi int")
-    out = grouped.cogroup(spans.groupBy("block")).applyInArrow(_remover, "doc_id long, n_words long, n_removed long, kept string")
+    out = grouped.cogroup(spans.groupBy("block")).applyInArrow(_remover(extra, layout), "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")))
 
 

@@ -28,24 +28,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps the document of least id of each similarity class, and one row of each id. Rows without an id go: later stages could not tell them apart."""
     classes = near.similarity_classes(docs)
     kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of 20-word windows that begin earlier; a document of which nothing is left goes. Others keep their text as it is."""
-    changed = repeats.remove_repeats(docs, window=20).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    joined = docs.join(changed, F.col("doc_id") == F.col("__id"), "left").where("__kept is null or __kept <> ''")
-    return joined.withColumns({"text": F.coalesce("__kept", "text"), "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast("long"))}).select(*docs.columns)
+    extra = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = repeats.remove_repeats(docs, window=20, extra=extra, layout=True).where("n_removed = 0 or kept <> ''")
+    return out.select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *extra).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes spans that benchmark items cover; documents that they cover by more than four fifths go."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=10)
-    hit = found.where(F.size("spans") > 0).select("doc_id", "text", "spans")
-    cleaned = decontaminate.remove_spans(hit, min_words=1, max_coverage=0.8).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.lit(True).alias("__kept"))
-    touched = hit.select(F.col("doc_id").alias("__hit")).distinct()
-    joined = docs.join(cleaned, F.col("doc_id") == F.col("__id"), "left").join(touched, F.col("doc_id") == F.col("__hit"), "left").where("__hit is null or __kept")
-    return joined.withColumns({"text": F.when(F.col("__hit").isNull(), F.col("text")).otherwise(F.col("__text")), "n_chars": F.when(F.col("__hit").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long"))}).select(*docs.columns)
+    extra = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=10, extra=extra)
+    out = decontaminate.remove_spans(found, min_words=1, max_coverage=0.8, extra=extra)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
