@@ -1,15 +1,694 @@
-"""All queries of the library and their SQL counterparts."""
+"""All queries of the library and their SQL counterparts.
+
+The driver's tables hold no hourly measurements, so operators run on stand-ins:
+``ev``, events in order for each user with d = 50 - value as a pseudo index; ``hr``,
+events by hour as one series of several variables; ``od``, orders by day.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auroral.functions import transforms as X
+from auroral.operators import clean, convolution, decompose, events, lag, metrics, physics, rolling, state, strided
+from auroral.plans import features
+from auroral.series import Series, chunked, drop_halo
+from auroral.sources import ingest
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _as_counts(sql: str) -> str:
+    """count_if(x) as count(CASE WHEN x THEN 1 END), which is a BIGINT in DuckDB."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, end = 1, at + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + 9 : end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = _as_counts(sql)
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ev(spark: SparkSession, sf_dir: str) -> Series:
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value", (50 - F.col("value")).alias("d"))
+    return Series(rows, ("ts", "event_id"), ("user_id",))
+
+
+def hr(spark: SparkSession, sf_dir: str) -> Series:
+    by = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value"))) - 245
+    rows = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
+        (300 + F.avg("value")).alias("v"), F.count("*").cast("double").alias("n"), by("view").alias("bx"), by("click").alias("bye"), by("purchase").alias("bz"), (50 - F.avg("value")).alias("dst"), F.max("value").alias("ae")
+    )
+    return Series(rows.withColumnRenamed("bye", "by"), ("hour",))
+
+
+def od(spark: SparkSession, sf_dir: str) -> Series:
+    rows = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("total"))
+    return Series(rows, ("day",))
+
+
+def r6(c: str | Column, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+EV = "WITH ev AS (SELECT user_id, ts, event_id, event_type, value, 50 - value AS d FROM events)"
+W = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+HR = """WITH hr AS (SELECT date_trunc('hour', ts) AS hour, 300 + avg(value) AS v, CAST(count(*) AS DOUBLE) AS n, avg(value) FILTER (event_type = 'view') - 245 AS bx,
+ avg(value) FILTER (event_type = 'click') - 245 AS "by", avg(value) FILTER (event_type = 'purchase') - 245 AS bz, 50 - avg(value) AS dst, max(value) AS ae FROM events GROUP BY 1)"""
+
+
+# --- lags and windows
+
+
+@query(f"{EV} SELECT event_id, value, lag(value, 4) OVER w AS value_lag_4, lead(value, 2) OVER w AS \"value_lag_-2\" FROM ev {W}")
+def lag_basic(spark, sf_dir):
+    s = lag.lag_feature(lag.lag_feature(ev(spark, sf_dir), "value", 4), "value", -2)
+    return s.df.select("event_id", "value", "value_lag_4", F.col("`value_lag_-2`"))
+
+
+@query(f"{EV} SELECT event_id, lag(value, 4) OVER w AS value, lag(value, 12) OVER w AS value_lag_8 FROM ev {W}")
+def lag_compound(spark, sf_dir):
+    return lag.lag_features(ev(spark, sf_dir), "value", [4, 8]).df.select("event_id", "value", "value_lag_8")
+
+
+@query(f"{EV} SELECT event_id, d, y FROM (SELECT event_id, d, lead(d, 4) OVER w AS y FROM ev {W}) WHERE y IS NOT NULL")
+def lead_horizon(spark, sf_dir):
+    return lag.horizon_target(ev(spark, sf_dir), "d", 4).df.select("event_id", "d", "y")
+
+
+@query(f"{EV} SELECT event_id, d AS d_current, lag(d, 1) OVER w AS d_past_1h, lag(d, 2) OVER w AS d_past_2h, lag(d, 3) OVER w AS d_past_3h, lag(d, 4) OVER w AS d_past_4h FROM ev {W}")
+def dst_history(spark, sf_dir):
+    return lag.target_history(ev(spark, sf_dir), "d").df.select("event_id", "d_current", *[f"d_past_{k}h" for k in range(1, 5)])
+
+
+LAST24 = "(PARTITION BY user_id ORDER BY ts, event_id ROWS 23 PRECEDING)"
+SOFAR = "(PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+
+
+@query(f"""{EV} SELECT event_id, round(coalesce(CASE WHEN count(value) OVER {LAST24} >= 3 THEN stddev_samp(value) OVER {LAST24} END,
+ CASE WHEN count(value) OVER {SOFAR} >= 3 THEN stddev_samp(value) OVER {SOFAR} END), 6) AS value_std_24r FROM ev""")
+def rolling_std(spark, sf_dir):
+    return rolling.add_rolling_std(ev(spark, sf_dir), "value", 24).df.select("event_id", r6("value_std_24r").alias("value_std_24r"))
+
+
+@query(f"""{EV} SELECT event_id, round(coalesce(CASE WHEN count(value) OVER {LAST24} >= 3 THEN quantile_cont(value, 0.5) OVER {LAST24} END,
+ CASE WHEN count(value) OVER {SOFAR} >= 3 THEN avg(value) OVER {SOFAR} END), 6) AS value_rolling_median_24r FROM ev""")
+def rolling_median(spark, sf_dir):
+    return rolling.add_rolling_median(ev(spark, sf_dir), "value", 24).df.select("event_id", r6("value_rolling_median_24r").alias("value_rolling_median_24r"))
+
+
+LAST5 = "(PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING)"
+
+
+@query(f"{EV} SELECT event_id, round(avg(value) OVER {LAST5}, 6) AS value_ma_5, round(quantile_cont(value, 0.5) OVER {LAST5}, 6) AS value_median_5 FROM ev")
+def moving_average(spark, sf_dir):
+    s = rolling.moving_average(rolling.moving_average(ev(spark, sf_dir), "value", "rolling"), "value", "median")
+    return s.df.select("event_id", r6("value_ma_5").alias("value_ma_5"), r6("value_median_5").alias("value_median_5"))
+
+
+@query(f"""{EV} SELECT event_id, round(avg(value) OVER {LAST5} + 2 * stddev_samp(value) OVER {LAST5}, 6) AS upper, round(avg(value) OVER {LAST5} - 2 * stddev_samp(value) OVER {LAST5}, 6) AS lower FROM ev""")
+def bollinger(spark, sf_dir):
+    s = rolling.moving_average(ev(spark, sf_dir), "value", "bollinger")
+    return s.df.select("event_id", r6("value_bb_upper_5").alias("upper"), r6("value_bb_lower_5").alias("lower"))
+
+
+@query(f"""{EV}, l AS (SELECT event_id, list(value) OVER {SOFAR} AS vs FROM ev)
+SELECT event_id, round(list_reduce(vs, lambda m, x: m * (1 - 2.0::DOUBLE / 6) + x * (2.0::DOUBLE / 6)), 6) AS value_ewm_5 FROM l""")
+def ewm(spark, sf_dir):
+    return rolling.moving_average(ev(spark, sf_dir), "value", "ewm", span=5).df.select("event_id", r6("value_ewm_5").alias("value_ewm_5"))
+
+
+@query(f"""{EV}, f AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'view' THEN value END AS x FROM ev)
+SELECT event_id, coalesce(last_value(x IGNORE NULLS) OVER {SOFAR}, first_value(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS filled FROM f""")
+def ffill_bfill(spark, sf_dir):
+    s = ev(spark, sf_dir).with_columns(x=F.when(F.col("event_type") == "view", F.col("value")))
+    return s.with_columns(filled=lag.fill(s, "x")).df.select("event_id", "filled")
+
+
+@query(f"""{EV}, o AS (SELECT event_id, user_id, ts, value AS x, CASE WHEN value < 400 THEN value END AS ok FROM ev)
+SELECT event_id, round(CASE WHEN x >= 400 THEN CASE WHEN count(ok) OVER a >= 3 THEN avg(ok) OVER a END ELSE x END, 6) AS x FROM o
+WINDOW a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)""")
+def outlier_mean(spark, sf_dir):
+    s = ev(spark, sf_dir)
+    return s.with_columns(x=rolling.replace_outliers_with_mean(s, "value", 400)).df.select("event_id", r6("x").alias("x"))
+
+
+@query("SELECT event_id, CASE WHEN value < 400 THEN value END AS x FROM events")
+def outlier_null(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", rolling.replace_outliers_with_null("value", 400).alias("x"))
+
+
+# --- convolution and embeddings
+
+_FIR_SQL = "{ev} SELECT event_id, round({terms}, 6) AS y FROM ev {w}"
+
+
+def _fir_sql(name: str) -> str:
+    values, scale = convolution.KERNELS[name]
+    terms = " + ".join(f"({c / scale!r}::DOUBLE) * " + (f"lag(value, {j}, 0.0) OVER w" if j else "value") for j, c in enumerate(reversed(values)))
+    return _FIR_SQL.format(ev=EV, terms=terms, w=W)
+
+
+def _fir(name: str):
+    def run(spark, sf_dir):
+        s = ev(spark, sf_dir)
+        return s.with_columns(y=convolution.causal_convolution(s, "value", convolution.kernel(name))).df.select("event_id", r6("y").alias("y"))
+
+    return run
+
+
+for _name in convolution.KERNELS:
+    _QUERIES[f"fir_{_name}"], _SQL[f"fir_{_name}"] = _fir(_name), _fir_sql(_name)
+
+
+@query(f"""{EV}, c AS (SELECT event_id, user_id, (-1 * coalesce(lag(value, 4, 0.0) OVER w, 0) - 0.5 * lag(value, 3, 0.0) OVER w + 0.5 * lag(value, 1, 0.0) OVER w + value) / 2 AS y FROM ev {W})
+SELECT event_id, round(y / max(abs(y)) OVER (PARTITION BY user_id), 6) AS y FROM c""")
+def fir_normalised(spark, sf_dir):
+    s = ev(spark, sf_dir)
+    s = s.with_columns(y=convolution.causal_convolution(s, "value", convolution.kernel("gradient")))
+    return s.with_columns(z=convolution.normalise(s, "y", "gradient")).df.select("event_id", r6("z").alias("y"))
+
+
+_T = "lag(value, 6) OVER w AS x3, lag(value, 4) OVER w AS x2, lag(value, 2) OVER w AS x1, value AS x0, row_number() OVER w AS rn"
+
+
+@query(f"""{EV}, l AS (SELECT event_id, {_T} FROM ev {W}),
+g AS (SELECT event_id, rn, sqrt((x1 - x0) ** 2 + (x2 - x1) ** 2) AS s1, sqrt((x2 - x1) ** 2 + (x3 - x2) ** 2) AS s2, sqrt((x2 - x0) ** 2 + (x3 - x1) ** 2) AS whole FROM l)
+SELECT event_id, CASE WHEN rn > 6 THEN round(greatest(s1, s2), 6) END AS jump_mag, CASE WHEN rn > 6 THEN round(CASE WHEN s1 + s2 > 0 THEN whole / (s1 + s2) ELSE 0 END, 6) END AS path_eff, CASE WHEN rn > 6 THEN 0.0::DOUBLE END AS turn_var FROM g""")
+def takens_traj(spark, sf_dir):
+    s = convolution.add_takens_features(ev(spark, sf_dir), "value", 4, 2)
+    return s.df.select("event_id", *[r6(f"value_embedding_2d_{f}").alias(f) for f in ("jump_mag", "path_eff", "turn_var")])
+
+
+@query(f"""{EV}, l AS (SELECT event_id, [value, lag(value, 1) OVER w, lag(value, 2) OVER w, lag(value, 3) OVER w, lag(value, 4) OVER w] AS a, row_number() OVER w AS rn FROM ev {W}),
+s AS (SELECT event_id, a, rn, [abs(a[2] - a[1]), abs(a[3] - a[2]), abs(a[4] - a[3]), abs(a[5] - a[4])] AS st, (a[1] + a[2] + a[3] + a[4] + a[5]) / 5 AS m FROM l)
+SELECT event_id, CASE WHEN rn >= 5 THEN round(list_max(st), 6) END AS max_jump, CASE WHEN rn >= 5 THEN round(CASE WHEN list_sum(st) > 1e-10 THEN list_max(st) / list_sum(st) ELSE 0 END, 6) END AS jump_conc,
+CASE WHEN rn >= 5 THEN round(abs((-2 * (a[1] - m) - (a[2] - m) + (a[4] - m) + 2 * (a[5] - m)) / sqrt(10 * ((a[1] - m) ** 2 + (a[2] - m) ** 2 + (a[3] - m) ** 2 + (a[4] - m) ** 2 + (a[5] - m) ** 2))), 6) END AS trend_str FROM s""")
+def lag_history_signal(spark, sf_dir):
+    s = convolution.add_lag_history(ev(spark, sf_dir), "value", 5)
+    f = convolution.signal_features("value_lags")
+    return s.df.select("event_id", *[r6(c).alias(n.removeprefix("value_lags_")) for n, c in f.items()])
+
+
+@query("""SELECT vec_id, len(embedding) - 1 AS n_pairs, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS y0, CAST(embedding[-1] AS DOUBLE) AS y_last FROM embeddings""")
+def pairs_2d(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("p", convolution.pairs_2d("e"))
+    return rows.select("vec_id", F.size("p").cast("long").alias("n_pairs"), F.col("p")[0]["x"].alias("x0"), F.col("p")[0]["y"].alias("y0"), F.element_at("p", -1)["y"].alias("y_last"))
+
+
+@query(f"""{EV}, l AS (SELECT event_id, rn, vs FROM (SELECT event_id, row_number() OVER w AS rn, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 3 PRECEDING) AS vs, 0 AS z FROM ev {W}))
+SELECT event_id, round(list_sum(vs), 4) AS total, len(vs) AS size FROM l WHERE rn % 10 = 0""")
+def shape_snapshot(spark, sf_dir):
+    s = ev(spark, sf_dir)
+    s = s.with_columns(p=F.array(F.col("value")), rn=s.row_number())
+    out = convolution.shape_snapshots(s, "p", F.col("rn") % 10 == 0, 3)
+    return out.df.select("event_id", F.round(F.aggregate("p_snapshot", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("p_snapshot").cast("long").alias("size"))
+
+
+# --- strided windows
+
+
+
+@query(f"""{EV}, r AS (SELECT event_id, user_id, value AS x, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM ev {W}),
+win AS (SELECT user_id, unnest(range(CAST(greatest(ceil((rn - 11) / 8.0), 0) AS BIGINT), CAST(floor(rn / 8.0) AS BIGINT) + 1)) AS k, x, rn FROM r),
+g AS (SELECT user_id, k, list(x) AS v, max(rn) AS e FROM win GROUP BY user_id, k HAVING count(x) >= 3),
+p AS (SELECT user_id, k, e, v, lag(v) OVER (PARTITION BY user_id ORDER BY k) AS u FROM g),
+pts AS (SELECT user_id, k, e, unnest(v) AS x, 1.0 / len(v) AS m FROM p WHERE u IS NOT NULL UNION ALL SELECT user_id, k, e, unnest(u), -1.0 / len(u) FROM p WHERE u IS NOT NULL),
+cum AS (SELECT user_id, k, e, x, sum(m) OVER (PARTITION BY user_id, k ORDER BY x) AS c, lead(x) OVER (PARTITION BY user_id, k ORDER BY x) - x AS gap FROM (SELECT user_id, k, e, x, sum(m) AS m FROM pts GROUP BY ALL)),
+dist AS (SELECT user_id, k, e, sum(abs(c) * coalesce(gap, 0)) AS wd, max(abs(c)) AS ks FROM cum GROUP BY ALL),
+best AS (SELECT user_id, e, arg_max(wd, k) AS wd, arg_max(ks, k) AS ks FROM dist GROUP BY user_id, e),
+j AS (SELECT r.*, wd, ks FROM r LEFT JOIN best ON r.user_id = best.user_id AND r.rn = best.e),
+f AS (SELECT *, last_value(wd IGNORE NULLS) OVER b AS w0, first_value(wd IGNORE NULLS) OVER a AS w1, last_value(ks IGNORE NULLS) OVER b AS k0, first_value(ks IGNORE NULLS) OVER a AS k1,
+  last_value(CASE WHEN wd IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS n0, first_value(CASE WHEN wd IS NOT NULL THEN rn END IGNORE NULLS) OVER a AS n1 FROM j
+  WINDOW b AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(CASE WHEN n1 = n0 THEN w0 ELSE w0 + (w1 - w0) * (rn - n0) / (n1 - n0) END + 1e-7, 4) AS wass, round(CASE WHEN n1 = n0 THEN k0 ELSE k0 + (k1 - k0) * (rn - n0) / (n1 - n0) END + 1e-7, 4) AS ks FROM f""")
+def cdf_trend(spark, sf_dir):
+    s = ev(spark, sf_dir)
+    s = strided.add_cdf_trend(strided.add_cdf_trend(s, "value", 12, 0.3), "value", 12, 0.3, "ks")
+    return s.df.select("event_id", r6(F.col("value_cdf_wass_trend_12r") + 1e-7, 4).alias("wass"), r6(F.col("value_cdf_ks_trend_12r") + 1e-7, 4).alias("ks"))
+
+
+@query(f"""{EV}, r AS (SELECT event_id, user_id, value AS x, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY user_id) AS n,
+  CASE WHEN count(value) OVER {LAST24.replace('23', '11')} = 12 THEN stddev_samp(value) OVER {LAST24.replace('23', '11')} END AS s FROM ev {W}),
+q AS (SELECT *, CASE WHEN n >= 12 AND rn < least(rn // 9, (n - 12) // 9) * 9 + 12 THEN least(rn // 9, (n - 12) // 9) * 9 END AS st FROM r)
+SELECT q.event_id, round(q.s - (SELECT stddev_samp(x) FROM r b WHERE b.user_id = q.user_id AND b.rn BETWEEN q.st AND q.st + 11), 5) AS adjusted FROM q""")
+def enhanced_rolling_std(spark, sf_dir):
+    return strided.add_enhanced_rolling_std(ev(spark, sf_dir), "value", 12, 0.25).df.select("event_id", r6("value_adjusted_std_12r", 5).alias("adjusted"))
+
+
+def _xcorr_sql(value: str, ranks: str = "") -> str:
+    return f"""{HR}, r AS (SELECT hour, v AS a, n AS b, row_number() OVER (ORDER BY hour) - 1 AS rn, count(*) OVER () AS n FROM hr),
+win AS (SELECT unnest(range(CAST(greatest(ceil((rn - 23) / 12.0), 0) AS BIGINT), CAST(least(rn // 12, (n - 24) // 12) AS BIGINT) + 1)) AS k, a, b, rn FROM r){ranks},
+c AS (SELECT k * 12 + 12 AS e, {value} AS c FROM win GROUP BY k),
+j AS (SELECT r.*, c FROM r LEFT JOIN c ON r.rn = c.e),
+f AS (SELECT *, last_value(c IGNORE NULLS) OVER b AS c0, first_value(c IGNORE NULLS) OVER a AS c1, last_value(CASE WHEN c IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS n0, first_value(CASE WHEN c IS NOT NULL THEN rn END IGNORE NULLS) OVER a AS n1
+  FROM j WINDOW b AS (ORDER BY rn ROWS UNBOUNDED PRECEDING), a AS (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT hour, round(coalesce(CASE WHEN n1 = n0 THEN c0 ELSE c0 + (c1 - c0) * (rn - n0) / (n1 - n0) END, c0, c1, 0), 5) AS c FROM f"""
+
+
+_PEARSON = "CASE WHEN stddev_pop({a}) * stddev_pop({b}) = 0 THEN 0 ELSE covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END"
+
+
+def _xcorr(method: str):
+    def run(spark, sf_dir):
+        s = strided.add_window_correlation(hr(spark, sf_dir), "v", "n", 24, 0.5, method)
+        return s.df.select("hour", r6("window_corr_v_n_24w_50ovlp", 5).alias("c"))
+
+    return run
+
+
+_QUERIES |= {f"xcorr_{m}": _xcorr(m) for m in ("pearson", "spearman", "instantaneous")}
+_SQL |= {
+    "xcorr_pearson": _xcorr_sql(_PEARSON.format(a="a", b="b")),
+    "xcorr_spearman": _xcorr_sql(_PEARSON.format(a="ra", b="rb"), ranks="").replace("FROM win GROUP BY k)", "FROM (SELECT k, rank() OVER (PARTITION BY k ORDER BY a) + (count(*) OVER (PARTITION BY k, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY k ORDER BY b) + (count(*) OVER (PARTITION BY k, b) - 1) / 2.0 AS rb FROM win) GROUP BY k)"),
+    "xcorr_instantaneous": _xcorr_sql("covar_pop(a, b) / ((stddev_samp(a) + 1e-8) * (stddev_samp(b) + 1e-8))"),
+}
+
+# --- states and physics
+
+
+def _fold_sql(name: str, value: str, tau: float) -> str:
+    return f"""{HR}, e AS (SELECT hour, {value} AS e FROM hr), i AS (SELECT hour, e, sum(CASE WHEN e IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY hour) AS g FROM e),
+l AS (SELECT hour, e, list(e) FILTER (e IS NOT NULL) OVER (PARTITION BY g ORDER BY hour) AS vs FROM i)
+SELECT hour, CASE WHEN e IS NOT NULL THEN round(list_reduce(list_prepend(0.0::DOUBLE, vs), lambda s, x: s * exp(-1 / {tau}::DOUBLE) + x * (1 - exp(-1 / {tau}::DOUBLE))), 3) END AS {name} FROM l"""
+
+
+_SIN = "sin(atan2(\"by\", bz) / 2)"
+_ENERGY = "3.78e7 * pow(greatest(n, 1e-6), 0.24) * pow(greatest(v, 1.0), 1.47) * pow(greatest(sqrt(bx * bx + \"by\" * \"by\"), 1e-6), 0.86) * (pow({s}, 2.7) + 0.25)"
+_READY = "n IS NOT NULL AND v IS NOT NULL AND bx IS NOT NULL AND \"by\" IS NOT NULL AND bz IS NOT NULL"
+
+
+def _cols() -> list[Column]:
+    return [F.col(c) for c in ("n", "v", "bx", "by", "bz")]
+
+
+@query(_fold_sql("energy", f"CASE WHEN {_READY} AND {_SIN} >= 0 THEN {_ENERGY.format(s=_SIN)} / 1e9 END", 8.5))
+def ema_energy(spark, sf_dir):
+    s = hr(spark, sf_dir).with_columns(e=state.energy_input(*_cols()) / 1e9)
+    return state.loading_state(s, "e", 8.5, "energy").df.select("hour", r6("energy", 3).alias("energy"))
+
+
+@query(_fold_sql("tail", "CASE WHEN bz IS NOT NULL THEN greatest(0, 3.0 - bz) * greatest(v, 1.0) * greatest(n, 1e-6) * 1e-4 END", 2.0))
+def ema_tail(spark, sf_dir):
+    s = hr(spark, sf_dir).with_columns(e=state.tail_input(F.col("n"), F.col("v"), F.col("bz")))
+    return state.loading_state(s, "e", 2.0, "tail").df.select("hour", r6("tail", 3).alias("tail"))
+
+
+@query(f"{HR} SELECT hour, round(1e9 * (abs(dst) + ae) / (CASE WHEN {_READY} THEN {_ENERGY.format(s=f'abs({_SIN})')} END + 1.0), 4) AS efficiency FROM hr")
+def coupling_eff(spark, sf_dir):
+    c = state.coupling_efficiency(F.col("dst"), F.col("ae"), *_cols())
+    return hr(spark, sf_dir).df.select("hour", F.round(1e9 * c, 4).alias("efficiency"))
+
+
+_ANGLE = "(CASE WHEN bz < 0 THEN atan2(abs(\"by\"), abs(bz) + 1e-10) ELSE pi() - atan2(abs(\"by\"), abs(bz) + 1e-10) END)"
+
+
+@query(f"""{HR} SELECT hour, round(3.78e-2 * pow(n, 0.24) * pow(v, 1.47) * pow(bx * bx + "by" * "by", 0.43) * (CASE WHEN bz IS NULL THEN 0 ELSE pow(sin({_ANGLE} / 2), 2.7) END + 0.25), 4) AS enou FROM hr""")
+def enou(spark, sf_dir):
+    return hr(spark, sf_dir).df.select("hour", r6(physics.newell_energy(*_cols()) / 1e9, 4).alias("enou"))
+
+
+@query(f"""{HR} SELECT hour, round(1.997 * v * bx * bx * CASE WHEN "by" = 0 THEN 0 WHEN bz = 0 THEN pow(sin(pi() / 4), 4) ELSE pow(sin({_ANGLE} / 2), 4) END, 2) AS epsilon FROM hr WHERE "by" IS NOT NULL AND bz IS NOT NULL AND bx IS NOT NULL""")
+def epsilon(spark, sf_dir):
+    e = physics.epsilon(F.col("v"), F.col("bx"), F.col("by"), F.col("bz")) / 1e7
+    return hr(spark, sf_dir).df.select("hour", r6(e, 2).alias("epsilon")).where("epsilon is not null")
+
+
+@query(f"""{HR} SELECT hour, round(1.67e-6 * n * 1e6 * v * v, 3) AS pressure, round(CASE WHEN bz IS NOT NULL THEN greatest(0.0, v * -bz * 1e-3) END + 1e-9, 4) AS field,
+round(CASE WHEN abs(bx) > 0 AND bx > 0 THEN v * 1000 / (bx * 1e-9 / sqrt(4e-7 * pi() * (n * 1e6) * 1.67e-27)) END, 4) AS mach FROM hr""")
+def plasma(spark, sf_dir):
+    n, v = F.col("n"), F.col("v")
+    return hr(spark, sf_dir).df.select("hour", r6(physics.dynamic_pressure(n, v), 3).alias("pressure"), r6(physics.electric_field(v, F.col("bz")) + 1e-9, 4).alias("field"), r6(physics.alfven_mach(v, F.col("bx"), n), 4).alias("mach"))
+
+
+@query()
+def storm_peaks(spark, sf_dir):
+    s = state.storm_peaks(ev(spark, sf_dir), "d", -50, 15, 1)
+    return s.df.select("event_id", "is_peak")
+
+
+@query(f"""{EV}, p AS (SELECT event_id, user_id, ts, d, d < -300 AS peak, row_number() OVER w AS rn, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM ev {W}),
+q AS (SELECT *, rn - last_value(CASE WHEN peak THEN rn END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS el FROM p)
+SELECT event_id, CASE WHEN el <= 24 THEN round(least(el / 24.0, 1.0) * (1 + 0.5 * CASE WHEN d1 IS NULL OR d2 IS NULL THEN 0 ELSE greatest(d - d1, 0) + greatest(d1 - d2, 0) END), 5) END AS recovery FROM q""")
+def recovery_given_peaks(spark, sf_dir):
+    s = ev(spark, sf_dir).with_columns(peak=F.col("d") < -300)
+    return state.recovery_state(s, "d", "peak", 24, -50).df.select("event_id", r6("recovery_state_lookback_24_thresh_-50", 5).alias("recovery"))
+
+
+@query()
+def recovery_state(spark, sf_dir):
+    s = state.storm_peaks(ev(spark, sf_dir), "d", -50, 15, 1)
+    return state.recovery_state(s, "d", "is_peak", 24, -50).df.select("event_id", r6("recovery_state_lookback_24_thresh_-50").alias("recovery"))
+
+
+@query()
+def storm_periods(spark, sf_dir):
+    return state.storm_periods(ev(spark, sf_dir), "d", threshold=-30, min_duration=2)
+
+
+# --- events and labels
+
+_RUN = f"""{EV}, f AS (SELECT event_id, user_id, d, d <= -150 AS s, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM ev {W})"""
+
+
+@query(f"""{_RUN} SELECT event_id, CAST(coalesce(first_value(CASE WHEN NOT s THEN rn END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n + 1) - rn - 1 AS INTEGER) AS storm_duration FROM f""")
+def storm_duration(spark, sf_dir):
+    return events.storm_duration(ev(spark, sf_dir), "d", -150).df.select("event_id", "storm_duration")
+
+
+@query(f"""{_RUN}, g AS (SELECT *, rn - row_number() OVER (PARTITION BY user_id, s ORDER BY rn) AS run FROM f) SELECT event_id, s AND count(*) OVER (PARTITION BY user_id, s, run) >= 3 AS storm_mask FROM g""")
+def storm_mask(spark, sf_dir):
+    return events.storm_mask(ev(spark, sf_dir), "d", -150, 3).df.select("event_id", "storm_mask")
+
+
+@query(f"""{_RUN}, g AS (SELECT *, rn - row_number() OVER (PARTITION BY user_id, s ORDER BY rn) AS run FROM f) SELECT user_id, min(rn) - 1 AS start, max(rn) - 1 AS "end" FROM g WHERE s GROUP BY user_id, run""")
+def storm_entities(spark, sf_dir):
+    s = ev(spark, sf_dir).with_columns(label=events.storm_flag("d", -150))
+    return events.entities(s, "label").select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query("SELECT event_id, CAST(50 - value <= -50 AS INTEGER) AS label FROM events")
+def boundary_label(spark, sf_dir):
+    return ev(spark, sf_dir).df.select("event_id", events.storm_flag("d").alias("label"))
+
+
+@query(f"""{EV} SELECT event_id, CASE WHEN d < -100 THEN 0 WHEN d < -50 THEN 1 WHEN d < -30 THEN 2 WHEN d < 0 THEN 3 ELSE 4 END AS class,
+CASE WHEN d <= -200 THEN 'severe_storm' WHEN d <= -100 THEN 'intense_storm' WHEN d <= -50 THEN 'moderate_storm' WHEN d <= 0 THEN 'quiet' ELSE 'very_quiet' END AS category FROM ev""")
+def storm_categories(spark, sf_dir):
+    return ev(spark, sf_dir).df.select("event_id", events.storm_classes("d").alias("class"), events.categorise("d").alias("category"))
+
+
+@query("""WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type, n, round(100.0 * n / sum(n) OVER (), 6) AS percent, round(100.0 * sum(n) OVER (ORDER BY n DESC, event_type ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 6) AS cumulative_percent FROM c""")
+def category_dist(spark, sf_dir):
+    out = events.category_distribution(table(spark, sf_dir, "events"), "event_type")
+    return out.select("event_type", "n", r6("percent").alias("percent"), r6("cumulative_percent").alias("cumulative_percent"))
+
+
+@query(f"""{EV}, l AS (SELECT event_id, value, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 47 PRECEDING) AS vs FROM ev) SELECT event_id, CASE WHEN len(vs) >= 10 THEN round(len(list_filter(vs, lambda x: x <= value)) / len(vs), 6) END AS rank FROM l""")
+def adaptive_severity_rank(spark, sf_dir):
+    s = ev(spark, sf_dir)
+    return s.df.select("event_id", r6(events.severity_rank(s, "value", 48)).alias("rank"))
+
+
+@query()
+def adaptive_severity(spark, sf_dir):
+    s = events.adaptive_severity(ev(spark, sf_dir), "value", 2)
+    return s.df.select("event_id", "severity", events.normal_cdf("severity").alias("risk"))
+
+
+@query(f"""{EV}, f AS (SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER {SOFAR}, first_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS x FROM ev)
+SELECT event_id, round(sin(radians(x)), 6) AS angle_sin, round(cos(radians(x)), 6) AS angle_cos FROM f""")
+def angular_sincos(spark, sf_dir):
+    s = ev(spark, sf_dir).with_columns(angle=F.when(F.col("event_type") == "view", F.col("value")))
+    return events.angular(s, ["angle"]).df.select("event_id", r6("angle_sin").alias("angle_sin"), r6("angle_cos").alias("angle_cos"))
+
+
+# --- splits, joins, completeness
+
+
+@query("SELECT 'before' AS part, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' UNION ALL SELECT 'after', count(*), round(sum(o_totalprice), 2) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+def temporal_split(spark, sf_dir):
+    import datetime
+
+    before, after = clean.temporal_split(table(spark, sf_dir, "orders"), "o_orderdate", datetime.datetime(1998, 1, 1))
+    total = lambda df, name: df.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).select(F.lit(name).alias("part"), "n", "total")
+    return total(before, "before").unionByName(total(after, "after"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS part FROM orders WHERE o_orderstatus IN ('O', 'F')")
+def union_splits(spark, sf_dir):
+    parts = clean.split_by(table(spark, sf_dir, "orders"), "o_orderstatus", open=["O"], closed=["F"])
+    tagged = [df.select("o_orderkey", F.lit(name).alias("part")) for name, df in parts.items()]
+    return tagged[0].unionByName(tagged[1])
+
+
+_PHASES = [(1, "min", "1995-01-01 00:00:00", "1996-06-30 23:59:59"), (1, "asc", "1996-07-01 00:00:00", "1998-03-31 23:59:59"), (2, "max", "1998-02-01 00:00:00", "1999-12-31 23:59:59"), (2, "desc", "2000-03-01 00:00:00", "2001-01-31 23:59:59")]
+
+
+@query("""WITH p(i, cycle, phase, s, e) AS (VALUES (1, 1, 'min', TIMESTAMP '1995-01-01', TIMESTAMP '1996-06-30 23:59:59'), (2, 1, 'asc', TIMESTAMP '1996-07-01', TIMESTAMP '1998-03-31 23:59:59'), (3, 2, 'max', TIMESTAMP '1998-02-01', TIMESTAMP '1999-12-31 23:59:59'), (4, 2, 'desc', TIMESTAMP '2000-03-01', NULL))
+SELECT o_orderkey, CAST(arg_max(cycle, i) AS BIGINT) AS cycle, arg_max(phase, i) AS phase FROM orders LEFT JOIN p ON o_orderdate >= s AND (e IS NULL OR o_orderdate <= e) GROUP BY o_orderkey""")
+def range_join_phase(spark, sf_dir):
+    import datetime
+
+    parse = datetime.datetime.fromisoformat
+    cycle, phase = ingest.phase_columns(F.col("o_orderdate"), [(c, p, parse(a), parse(b)) for c, p, a, b in _PHASES], datetime.datetime(2030, 1, 1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", cycle.alias("cycle"), phase.alias("phase"))
+
+
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1) SELECT o_orderkey, d.orders FROM orders LEFT JOIN d ON CAST(o_orderdate AS DATE) = d.day AND d.orders > 5""")
+def left_join_daily(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    daily = orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("orders")).where("orders > 5")
+    return ingest.join_daily(orders, daily, "o_orderdate", "day", small=False).select("o_orderkey", "orders")
+
+
+def _holes(spark, sf_dir) -> Series:
+    s = ev(spark, sf_dir)
+    return Series(s.df.select("user_id", "ts", "event_id", *[F.lag("value", k).over(s.window).alias(f"l{k}") for k in (0, 2, 4, 8)]), s.order_by, s.partition_by)
+
+
+_HOLES = f"{EV}, h AS (SELECT user_id, ts, event_id, value AS l0, lag(value, 2) OVER w AS l2, lag(value, 4) OVER w AS l4, lag(value, 8) OVER w AS l8 FROM ev {W}), m AS (SELECT *, 25.0::DOUBLE * (CAST(l0 IS NULL AS INT) + CAST(l2 IS NULL AS INT) + CAST(l4 IS NULL AS INT) + CAST(l8 IS NULL AS INT)) AS p FROM h)"
+_KEYS = ("user_id", "ts", "event_id")
+
+
+@query(f"{_HOLES} SELECT event_id FROM m WHERE p <= 30")
+def completeness_filter(spark, sf_dir):
+    return clean.filter_by_completeness(_holes(spark, sf_dir).df, 70.0, _KEYS).select("event_id")
+
+
+@query(f"{_HOLES} SELECT count(*) AS n_rows, round(avg(p), 6) AS mean_missing, round(quantile_cont(p, 0.5), 6) AS median_missing, round(stddev_samp(p), 6) AS std_missing FROM m")
+def completeness_stats(spark, sf_dir):
+    out = clean.completeness_stats(_holes(spark, sf_dir).df, _KEYS)
+    return out.select("n_rows", *[r6(c).alias(c) for c in ("mean_missing", "median_missing", "std_missing")])
+
+
+@query(f"""{_HOLES}, b AS (SELECT user_id, p, CAST(least((row_number() OVER w - 1) // greatest(count(*) OVER (PARTITION BY user_id) // 5, 1), 4) AS INT) AS batch FROM m {W})
+SELECT user_id, batch, count(*) AS n_rows, round(avg(p), 6) AS mean, round(quantile_cont(p, 0.5), 6) AS median, max(p) AS max, min(p) AS min, round(stddev_samp(p), 6) AS std FROM b GROUP BY user_id, batch""")
+def nan_batches(spark, sf_dir):
+    out = clean.nan_batches(_holes(spark, sf_dir), 5, _KEYS)
+    return out.select("user_id", "batch", "n_rows", r6("mean").alias("mean"), r6("median").alias("median"), "max", "min", r6("std").alias("std"))
+
+
+@query(f"{_HOLES} SELECT count(*) AS n_rows, count_if(l0 <= 100) AS n_storm, round(100.0 * count_if(l0 <= 100) / count(*), 6) AS storm_percent, count_if(p > 0) AS n_with_null, round(100.0 * count_if(p > 0) / count(*), 6) AS null_percent FROM m")
+def basic_stats(spark, sf_dir):
+    out = clean.basic_stats(_holes(spark, sf_dir).df, "l0", 100)
+    return out.select("n_rows", "n_storm", r6("storm_percent").alias("storm_percent"), "n_with_null", r6("null_percent").alias("null_percent"))
+
+
+@query("""SELECT 'l_quantity' AS "column", max(abs(l_quantity)) AS max_abs, CAST(floor(log10(max(abs(l_quantity)))) AS INT) AS magnitude FROM lineitem UNION ALL SELECT 'l_extendedprice', max(abs(l_extendedprice)), CAST(floor(log10(max(abs(l_extendedprice)))) AS INT) FROM lineitem""")
+def scale_check(spark, sf_dir):
+    return clean.scale_check(table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"))
+
+
+@query("SELECT count(*) AS n_rows, count_if(value >= 400) AS n_outliers, count_if(value >= 400 AND 50 - value <= -400) AS n_outliers_in_storms FROM events")
+def outlier_report(spark, sf_dir):
+    return clean.outlier_report(ev(spark, sf_dir).df, "value", 400, "d", -400)
+
+
+# --- transforms
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, round(sign(l_extendedprice) * ln(1 + abs(l_extendedprice)), 6) AS y, round(l_extendedprice, 4) AS back FROM lineitem")
+def signed_log(spark, sf_dir):
+    t = X.SignedLog()
+    y = t.apply(F.col("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", r6(y).alias("y"), r6(t.inverse(y), 4).alias("back"))
+
+
+@query("SELECT event_id, round(sinh(0.5 * asinh(50 - value) - 0.1), 5) AS y, round(50 - value, 4) AS back FROM events")
+def sinh_arcsinh(spark, sf_dir):
+    t = X.SinhArcsinh(0.1, 0.5)
+    y = t.apply(F.col("d"))
+    return ev(spark, sf_dir).df.select("event_id", r6(y, 5).alias("y"), r6(t.inverse(y), 4).alias("back"))
+
+
+@query("SELECT event_id, least(greatest(value, 50.0), 200.0) AS y FROM events")
+def clip(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.Clip(50, 200).apply(F.col("value")).alias("y"))
+
+
+@query("SELECT event_id, round(CASE WHEN value - 200 >= 0 THEN (pow(value - 199, 0.7) - 1) / 0.7 ELSE -(pow(201 - value, 1.3) - 1) / 1.3 END, 5) AS y, round(value - 200, 4) AS back FROM events")
+def yeo_johnson(spark, sf_dir):
+    t = X.YeoJohnson(standardize=False, lam=0.7)
+    y = t.apply(F.col("value") - 200)
+    return table(spark, sf_dir, "events").select("event_id", r6(y, 5).alias("y"), r6(t.inverse(y), 4).alias("back"))
+
+
+@query("""WITH q AS (SELECT quantile_cont(value, 0.001) AS lo, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.009) AS hi FROM events) SELECT event_id, round((value - m) / (hi - lo), 5) AS y FROM events, q""")
+def robust_scale(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    return df.select("event_id", r6(X.RobustScale().fit(df, "value").apply(F.col("value")), 5).alias("y"))
+
+
+@query("SELECT event_id, round(sinh(0.4 * asinh(sign(50 - value) * ln(1 + abs(50 - value)))), 6) AS y, round(50 - value, 4) AS back FROM events")
+def transform_chain(spark, sf_dir):
+    p = X.Pipeline((X.SignedLog(), X.SinhArcsinh(0, 0.4)))
+    y = p.apply(F.col("d"))
+    return ev(spark, sf_dir).df.select("event_id", r6(y).alias("y"), r6(p.inverse(y), 4).alias("back"))
+
+
+@query("SELECT event_id, round(1 / (1 + exp(-(50 - value) / 100)), 6) AS p FROM events")
+def sigmoid(spark, sf_dir):
+    return ev(spark, sf_dir).df.select("event_id", r6(X.sigmoid(F.col("d") / 100)).alias("p"))
+
+
+# --- metrics
+
+_PAIR = f"{EV}, p AS (SELECT * FROM (SELECT event_type, d AS t, lag(d) OVER w AS p FROM ev {W}) WHERE p IS NOT NULL)"
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    s = ev(spark, sf_dir)
+    return s.df.select("event_id", "user_id", "ts", "event_type", F.col("d").alias("t"), F.lag("d").over(s.window).alias("p"))
+
+
+@query(f"""{_PAIR}, a AS (SELECT event_type, count(*) AS n, avg(abs(t - p)) AS mae, avg((t - p) ** 2) AS mse, var_pop(t) AS vt, corr(t, p) AS r, avg(abs((t - p) / t)) * 100 AS mape,
+ count_if(t <= -50 AND p <= -50) AS tp, count_if(t > -50 AND p <= -50) AS fp, count_if(t <= -50 AND p > -50) AS fn, count_if(t > -50 AND p > -50) AS tn FROM p GROUP BY event_type)
+SELECT event_type, n, round(mae, 6) AS mae, round(mse, 4) AS mse, round(sqrt(mse), 6) AS rmse, round(1 - mse / vt, 6) AS r2, round(mape, 3) AS mape, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1_score, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
+ round(100.0 * (tp + fn) / n, 6) AS storm_rate_true, round(100.0 * (tp + fp) / n, 6) AS storm_rate_pred, round(r, 6) AS correlation, tp, fp, fn, tn FROM a""")
+def forecast_metrics(spark, sf_dir):
+    out = metrics.forecast_metrics(_pairs(spark, sf_dir), "t", "p", -50, ("event_type",))
+    digits = {"mse": 4, "mape": 3}
+    return out.select(*[F.round(F.col(c), digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query(f"""{EV}, p AS (SELECT CAST(round(value / 50) AS INT) AS t, greatest(round_even(lag(value) OVER w / 50, 0), 0) AS p FROM ev {W}), q AS (SELECT t, p, abs(t - p) AS e FROM p WHERE p IS NOT NULL)
+SELECT count(*) AS n_total, round(avg(e), 6) AS mae_all, round(sqrt(avg(e * e)), 6) AS rmse_all, round(avg(e) FILTER (t > 0), 6) AS mae_storm, round(avg(e) FILTER (t = 0), 6) AS mae_quiet, round(100 * avg(CAST(e <= 1 AS INT)), 6) AS within_1h_rate,
+ round(100.0 * count_if(t > 0 AND p > 0) / count_if(t > 0), 6) AS storm_detection_rate, round(100.0 * count_if(t = 0 AND p > 0) / count_if(t = 0), 6) AS false_alarm_rate, round(quantile_cont(p, 0.5) FILTER (p > 0), 6) AS median_duration_pred FROM q""")
+def duration_metrics(spark, sf_dir):
+    s = ev(spark, sf_dir)
+    rows = s.df.select(F.round(F.col("value") / 50).cast("int").alias("t"), (F.lag("value").over(s.window) / 50).alias("p"))
+    out = metrics.duration_metrics(rows, "t", "p")
+    return out.select("n_total", *[r6(c).alias(c) for c in ("mae_all", "rmse_all", "mae_storm", "mae_quiet", "within_1h_rate", "storm_detection_rate", "false_alarm_rate", "median_duration_pred")])
+
+
+_ENT = """{p} AS (SELECT user_id, min(rn) AS s, max(rn) AS e FROM (SELECT *, rn - row_number() OVER (PARTITION BY user_id, {c} ORDER BY rn) AS run FROM f) WHERE {c} = 1 GROUP BY user_id, run)"""
+
+
+@query(f"""{EV}, f AS (SELECT user_id, CAST(d <= -50 AS INT) AS t, CAST(coalesce(lag(d) OVER w <= -50, false) AS INT) AS p, row_number() OVER w AS rn FROM ev {W}), {_ENT.format(p='tt', c='t')}, {_ENT.format(p='pp', c='p')},
+m AS (SELECT tt.user_id, tt.s, tt.e, abs(tt.s - pp.s) AS ds, abs(tt.e - pp.e) AS de, pp.s <= tt.e AND tt.s <= pp.e AS o FROM tt JOIN pp ON tt.user_id = pp.user_id)
+SELECT (SELECT count(*) FROM tt) AS n_true, (SELECT count(*) FROM pp) AS n_pred, count_if(ds = 0 AND de = 0) / (SELECT count(*) FROM pp) AS exact_precision, round(count_if(ds <= 2 AND de <= 2) / (SELECT count(*) FROM pp), 6) AS strict_precision,
+ round(count_if(o) / (SELECT count(*) FROM pp), 6) AS overlap_precision, round(count(DISTINCT (user_id, s)) FILTER (o) / (SELECT count(*) FROM tt), 6) AS overlap_recall, round((SELECT avg(CAST(t = p AS INT)) FROM f), 6) AS token_accuracy FROM m""")
+def boundary_metrics(spark, sf_dir):
+    s = ev(spark, sf_dir)
+    s = s.with_columns(t=events.storm_flag("d"), p=F.coalesce(F.lag("d").over(s.window) <= -50, F.lit(False)).cast("int"))
+    out = metrics.boundary_metrics(s, "t", "p")
+    return out.select("n_true", "n_pred", "exact_precision", *[r6(c).alias(c) for c in ("strict_precision", "overlap_precision", "overlap_recall", "token_accuracy")])
+
+
+@query(f"""{EV}, s AS (SELECT floor(value / 10) / 50 AS threshold, count_if(event_type = 'purchase') AS pos, count(*) AS n FROM ev GROUP BY 1)
+SELECT threshold, round(sum(pos) OVER o / sum(n) OVER o, 6) AS precision, round(sum(pos) OVER o / sum(pos) OVER (), 6) AS recall FROM s WINDOW o AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)""")
+def pr_curve(spark, sf_dir):
+    rows = ev(spark, sf_dir).df.select((F.floor(F.col("value") / 10) / 50).alias("score"), (F.col("event_type") == "purchase").cast("int").alias("label"))
+    return metrics.pr_curve(rows, "score", "label").select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+@query("""WITH q AS (SELECT 50 - value AS t, [30 - value, 50 - value / 2, 60 - value / 4, 80.0::DOUBLE] AS q FROM events), r AS (SELECT t <= -50 AS s, CAST(q[1] <= -50 AS INT) + CAST(q[2] <= -50 AS INT) + CAST(q[3] <= -50 AS INT) + CAST(q[4] <= -50 AS INT) AS k FROM q),
+x AS (SELECT 'proportion' AS method, s, k / 4.0 AS r FROM r UNION ALL SELECT 'conservative', s, CASE k WHEN 0 THEN 0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.75 WHEN 3 THEN 0.5 ELSE 0.05 END FROM r UNION ALL SELECT 'interpolation', s, CASE k WHEN 0 THEN 0 ELSE 0.95 END FROM r),
+c AS (SELECT method, count_if(s AND r >= 0.5) AS tp, count_if(NOT s AND r >= 0.5) AS fp, count_if(s AND r < 0.5) AS fn, count(*) AS n FROM x GROUP BY method)
+SELECT method, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round((tp + fp) / n, 6) AS action_rate FROM c""")
+def risk_methods(spark, sf_dir):
+    v = F.col("value")
+    rows = ev(spark, sf_dir).df.select(F.col("d").alias("t"), F.array(30 - v, 50 - v / 2, 60 - v / 4, F.lit(80.0)).alias("q"))
+    out = metrics.compare_risk_methods(rows, "t", "q", [0.05, 0.25, 0.5, 0.95])
+    return out.select("method", *[r6(c).alias(c) for c in ("precision", "recall", "f1", "action_rate")])
+
+
+@query("SELECT count_if(quality = 1 AND toxic = 1) AS tp, count_if(quality <> 1 AND toxic = 1) AS fp, count_if(quality = 1 AND toxic <> 1) AS fn, count_if(quality <> 1 AND toxic <> 1) AS tn FROM labels")
+def confusion(spark, sf_dir):
+    return metrics.confusion(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 1).select("tp", "fp", "fn", "tn")
+
+
+@query("WITH r AS (SELECT count_if(50 - value > -300) / count_if(50 - value <= -300) AS r FROM events) SELECT event_id, round(CASE WHEN 50 - value <= -300 THEN r ELSE 1 END, 6) AS weight FROM events, r")
+def weights(spark, sf_dir):
+    return metrics.storm_weights(ev(spark, sf_dir).df, "d", -300).select("event_id", r6("weight").alias("weight"))
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem")
+def regression_line(spark, sf_dir):
+    return metrics.regression_line(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").select(r6("slope", 4).alias("slope"), r6("intercept", 3).alias("intercept"), r6("r").alias("r"))
+
+
+@query("WITH m AS (SELECT avg(value) AS m FROM events) SELECT round(any_value(m), 6) AS mean, round(stddev_pop(value), 6) AS std, round(avg((value - m) ** 3) / stddev_pop(value) ** 3, 5) AS skew, round(avg((value - m) ** 4) / stddev_pop(value) ** 4 - 3, 5) AS kurtosis FROM events, m")
+def moments(spark, sf_dir):
+    return metrics.moments(table(spark, sf_dir, "events"), "value").select(r6("mean").alias("mean"), r6("std").alias("std"), r6("skew", 5).alias("skew"), r6("kurtosis", 5).alias("kurtosis"))
+
+
+@query("SELECT CAST(least(floor(value / 25.0) + 1, 20) AS INT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1")
+def histogram(spark, sf_dir):
+    return metrics.histogram(table(spark, sf_dir, "events"), "value", 0, 500, 20)
+
+
+@query("SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS bx, CAST(floor(l_extendedprice / 10000) AS BIGINT) AS \"by\", count(*) AS n FROM lineitem GROUP BY 1, 2")
+def histogram_2d(spark, sf_dir):
+    return metrics.histogram_2d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 10, 10000)
+
+
+@query(f"{EV} SELECT event_id, value > avg(value) OVER (PARTITION BY user_id) + 2 * stddev_pop(value) OVER (PARTITION BY user_id) AS strong FROM ev")
+def response_mask(spark, sf_dir):
+    s = ev(spark, sf_dir)
+    return s.df.select("event_id", metrics.response_mask(s, "value").alias("strong"))
+
+
+@query(f"""{_PAIR} SELECT round(avg(CASE WHEN t - p > 0 THEN 2 ELSE 1 END * (t - p) ** 2), 3) AS asymmetric,
+ round(avg(CASE WHEN t <= -50 THEN -0.25 * pow(1 - g, 2) * ln(g) ELSE -0.75 * pow(g, 2) * ln(1 - g) END), 6) AS focal FROM (SELECT t, p, least(greatest(1 / (1 + exp(-p / 100)), 1e-7), 1 - 1e-7) AS g FROM p)""")
+def losses(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).where("p is not null")
+    t, p = F.col("t"), F.col("p")
+    return rows.agg(r6(F.avg(metrics.asymmetric_loss(t, p)), 3).alias("asymmetric"), r6(F.avg(metrics.focal_loss((t <= -50).cast("int"), p / 100))).alias("focal"))
+
+
+# --- series of days
+
+
+@query("""WITH od AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS x FROM orders GROUP BY 1), r AS (SELECT day, x, row_number() OVER (ORDER BY day) - 1 AS rn, count(*) OVER () AS n FROM od),
+t AS (SELECT *, CASE WHEN rn >= 3 AND rn < n - 3 THEN avg(x) OVER (ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS t FROM r), s AS (SELECT rn % 7 AS k, avg(x - t) AS s FROM t GROUP BY 1)
+SELECT CAST(day AS TIMESTAMP) AS day, round(t, 2) AS trend, round(s - (SELECT avg(s) FROM s), 2) AS seasonal FROM t JOIN s ON t.rn % 7 = s.k WHERE t IS NOT NULL""")
+def seasonal_decompose(spark, sf_dir):
+    s = decompose.decompose(od(spark, sf_dir), "total", 7, extrapolate=False)
+    n = s.df.withColumns({"rn": s.row_number(), "n": F.count(F.lit(1)).over(s.whole)})
+    return n.where("rn > 3 and rn <= n - 3").select(F.col("day").cast("timestamp_ntz").alias("day"), r6("total_trend", 2).alias("trend"), r6("total_seasonal", 2).alias("seasonal"))
+
+
+@query(f"{EV} SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS 23 PRECEDING), 6) AS mean FROM ev")
+def chunked_rolling(spark, sf_dir):
+    """One long series, computed in overlapping chunks."""
+    s = chunked(Series(ev(spark, sf_dir).df.drop("user_id"), ("ts", "event_id")), 4096, 23)
+    return drop_halo(s.with_columns(mean=F.avg("value").over(s.last(24)))).select("event_id", r6("mean").alias("mean"))
+
+
+@query()
+def feature_pipeline(spark, sf_dir):
+    """The flagship: all feature domains on a stand-in series of hours."""
+    base = hr(spark, sf_dir).df
+    named = base.select(
+        "hour", F.col("v").alias(features.SPEED), F.col("n").alias(features.DENSITY), F.col("bx").alias(features.BX), F.col("by").alias(features.BY), F.col("bz").alias(features.BZ), F.abs("bx").alias(features.B),
+        F.col("dst").alias(features.DST), F.col("ae").alias(features.AE), (F.col("v") * 100).alias(features.TEMPERATURE), (F.col("n") / 10).alias(features.PRESSURE), (F.col("v") * F.col("bz") * -1e-3).alias(features.FIELD), (F.col("n") / F.col("v")).alias(features.BETA), (F.col("ae") / 1000).alias(features.ALPHA),
+    )
+    return features.compute_features(Series(named, ("hour",))).df
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from auroral.series import Series
 
@@ -89,14 +90,14 @@ def severity_rank(series: Series, column: str, rows: int = 2160, causal: bool =
     return F.when(F.col(column).isNotNull() & (F.size(held) >= min_valid), below / F.size(held))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     """Inverse of the standard normal distribution; null outside (0, 1)."""
     inverse = NormalDist().inv_cdf
     return p.map(lambda x: inverse(x) if 0 < x < 1 else None).astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.nan if pd.isna(x) else 0.5 * math.erfc(-x / math.sqrt(2))).astype(float)
 

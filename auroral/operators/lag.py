@@ -44,7 +44,7 @@ def horizon_target(series: Series, target: str, horizon: int = 4, name: str = "y
 
 def fill(series: Series, column: str) -> Column:
     """Last value known, else the next one, else 0."""
-    return F.coalesce(F.last(column, True).over(series.so_far), F.first(column, True).over(series.window.rowsBetween(0, 1 << 62)), F.lit(0.0))
+    return F.coalesce(F.last(column, True).over(series.so_far), F.first(column, True).over(series.from_here), F.lit(0.0))
 
 
 def interpolate(series: Series, known: Column, extend: bool, row: Column | None = None) -> Column:
@@ -54,7 +54,7 @@ def interpolate(series: Series, known: Column, extend: bool, row: Column | None
     """
     n = row if row is not None else series.row_number()
     place = F.when(known.isNotNull(), n)
-    back, ahead = series.so_far, series.window.rowsBetween(0, 1 << 62)
+    back, ahead = series.so_far, series.from_here
     v0, v1 = F.last(known, True).over(back), F.first(known, True).over(ahead)
     n0, n1 = F.last(place, True).over(back), F.first(place, True).over(ahead)
     inside = F.when(n1 == n0, v0).otherwise(v0 + (v1 - v0) * F.try_divide((n - n0).cast("double"), (n1 - n0).cast("double")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -107,29 +108,40 @@ def find_peaks(x: np.ndarray, height: float | None = None, distance: int | None
     return np.array(out, np.int64)
 
 
-def with_peaks(series: Series, column: str, name: str = "is_peak", sign: float = -1.0, offset: float = 1.0, **filters) -> Series:
-    """Flags peaks of sign * x + offset in each series; rows must be unique by partition and order. Looks at later rows.
+def with_peaks(series: Series, column: str, peaks: dict[str, dict], sign: float = -1.0, offset: float = 1.0) -> Series:
+    """For each name in ``peaks``, a flag of the peaks of sign * x + offset that pass its filters, in each series. Looks at later rows.
 
-    The peak of a row depends on its whole series: a series is one task's work, its columns other than keys and value are not moved.
+    Rows must be unique by partition and order. The peaks of a series depend on all of it: a series is one task's work, of
+    which only the keys and the value are moved, for all names at once.
     """
     keys = [*series.partition_by, *series.order_by]
-    schema = series.df.select(*keys).schema.add(name, "boolean")
+    names = list(peaks)
+    schema = series.df.select(*keys).schema
+    for name in names:
+        schema = schema.add(name, "boolean")
     order = list(series.order_by)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        flags = np.zeros(len(rows), bool)
-        flags[find_peaks(sign * rows[column].to_numpy(float) + offset, **filters)] = True
-        return rows[keys].assign(**{name: flags})
+        x = sign * rows[column].to_numpy(float) + offset
+        flags = {}
+        for name, filters in peaks.items():
+            flags[name] = np.zeros(len(rows), bool)
+            flags[name][find_peaks(x, **filters)] = True
+        return rows[keys].assign(**flags)
 
-    source = series.df.select(*keys, column)
-    found = source.groupBy(*series.partition_by).applyInPandas(run, schema)
-    return Series(series.df.join(found.where(name), keys, "left").withColumn(name, F.coalesce(name, F.lit(False))), series.order_by, series.partition_by)
+    found = series.df.select(*keys, column).groupBy(*series.partition_by).applyInPandas(run, schema)
+    some = functools.reduce(lambda a, b: a | b, [F.col(n) for n in names])
+    return Series(series.df.join(found.where(some), keys, "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in names}), series.order_by, series.partition_by)
+
+
+def storm_filter(threshold: float = -50, prominence: float = 15, min_duration: float = 2) -> dict:
+    return {"height": -threshold, "prominence": prominence, "width": int(min_duration)}
 
 
 def storm_peaks(series: Series, column: str, threshold: float = -50, prominence: float = 15, min_duration: float = 2, name: str = "is_peak") -> Series:
     """Storm minima: peaks of -x + 1 of at least -threshold, with prominence and width."""
-    return with_peaks(series, column, name, height=-threshold, prominence=prominence, width=int(min_duration))
+    return with_peaks(series, column, {name: storm_filter(threshold, prominence, min_duration)})
 
 
 def recovery_state(series: Series, column: str, peak: str, lookback: int = 24, threshold: float = -50) -> Series:
@@ -145,7 +157,7 @@ def recovery_state(series: Series, column: str, peak: str, lookback: int = 24, t
 
 def storm_periods(series: Series, column: str, prominence: float = 15, min_depth: float = -30, min_duration: int = 6, threshold: float = -30, back: int = 72, ahead: int = 120) -> DataFrame:
     """(partition, start, end) row numbers of storms: from each deep minimum back and ahead to the first row over the threshold, long enough, overlapping ones merged."""
-    marked = with_peaks(series, column, "_min", offset=0.0, distance=12, prominence=prominence)
+    marked = with_peaks(series, column, {"_min": {"distance": 12, "prominence": prominence}}, offset=0.0)
     w = marked.window
     numbered = marked.with_columns(_rn=marked.row_number())
     quiet = F.when(F.col(column) > threshold, F.col("_rn"))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from auroral.operators.convolution import clean_name
 from auroral.operators.lag import interpolate
@@ -32,13 +33,13 @@ def _spread(numbered: Series, window: int, step: int, columns: list[str], full:
     return rows.select(*numbered.partition_by, "_rn", "_n", *columns, F.explode("_ws").alias("_win"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def wasserstein(a: pd.Series, b: pd.Series) -> pd.Series:
     """First Wasserstein distance of two samples; null if one is missing."""
     return pd.Series([None if x is None or y is None else _distance(np.asarray(x), np.asarray(y))[0] for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kolmogorov_smirnov(a: pd.Series, b: pd.Series) -> pd.Series:
     """Largest difference of two samples' distribution functions; null if one is missing."""
     return pd.Series([None if x is None or y is None else _distance(np.asarray(x), np.asarray(y))[1] for x, y in zip(a, b, strict=True)], dtype=float)
@@ -50,28 +51,51 @@ def _distance(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return float(np.abs(gap[:-1]) @ np.diff(points)), float(np.abs(gap).max())
 
 
-def add_cdf_trend(series: Series, column: str, window: int, overlap: float = 0.25, metric: str = "wasserstein", min_valid: int = 3) -> Series:
-    """``{column}_cdf_{wass|ks}_trend_{window}r``: distance of each window's values to those of the window before, at its last row, interpolated between.
+def cdf_trend_name(column: str, window: int, metric: str = "wasserstein") -> str:
+    return f"{column}_cdf_{'wass' if metric == 'wasserstein' else 'ks'}_trend_{window}r"
+
+
+def _member(i: int, value: Column):
+    return lambda w: F.struct(F.lit(i).alias("i"), w.cast("long").alias("w"), value.alias("v"))
 
-    Windows of fewer than ``min_valid`` values are passed over. Rows between window ends depend on the end after them.
+
+def add_cdf_trends(series: Series, specs: list[tuple[str, int, float]], metric: str = "wasserstein", min_valid: int = 3, source: Series | None = None) -> Series:
+    """For each (column, window, overlap): distance of each window's values to those of the window before, at its last row, interpolated between.
+
+    Windows of fewer than ``min_valid`` values are passed over. Rows between window ends depend on the end after them. All
+    windows of all specs are one grouping and one join. ``source`` may be a plainer plan of the same rows to read columns from.
     """
     if metric not in ("wasserstein", "ks"):
         raise ValueError(f"unknown metric {metric!r}")
-    step = stride(window, overlap)
-    numbered = _numbered(series)
-    spread = _spread(numbered, window, step, [column], False)
     keys = list(series.partition_by)
-    windows = spread.groupBy(*keys, "_win").agg(F.collect_list(column).alias("_v"), F.max("_rn").alias("_end")).where(F.size("_v") >= min_valid)
-    order = Series(windows, ("_win",), series.partition_by)
+    base = _numbered(source or series)
+    members = []
+    for i, (column, window, overlap) in enumerate(specs):
+        step = stride(window, overlap)
+        first = F.greatest(F.ceil((F.col("_rn") - (window - 1)) / step), F.lit(0))
+        last = F.floor(F.col("_rn") / step)
+        value = F.col(column).cast("double")
+        members.append(F.when(first <= last, F.transform(F.sequence(first, last), _member(i, value))).otherwise(F.expr("cast(array() as array<struct<i:int,w:bigint,v:double>>)")))
+    spread = base.df.select(*keys, "_rn", F.explode(F.concat(*members)).alias("m")).select(*keys, "_rn", "m.*")
+    windows = spread.groupBy(*keys, "i", "w").agg(F.collect_list("v").alias("_v"), F.max("_rn").alias("_end")).where(F.size("_v") >= min_valid)
+    order = Series(windows, ("w",), (*keys, "i"))
     measure = wasserstein if metric == "wasserstein" else kolmogorov_smirnov
-    measured = order.with_columns(_before=F.lag("_v").over(order.window)).df.select(*keys, "_win", "_end", measure("_before", "_v").alias("_d"))
-    ends = measured.groupBy(*keys, "_end").agg(F.max_by("_d", "_win").alias("_d"))
-    joined = numbered.df.join(ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_end"), "_d"), (F.col("_rn") == F.col("_end")) & _same(keys), "left")
+    measured = order.with_columns(_before=F.lag("_v").over(order.window)).df.select(*keys, "i", "w", "_end", measure("_before", "_v").alias("_d"))
+    ends = measured.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], "_end").agg(*[F.max_by(F.when(F.col("i") == i, F.col("_d")), F.when(F.col("i") == i, F.col("w"))).alias(f"_d{i}") for i in range(len(specs))])
+    numbered = _numbered(series)
+    joined = numbered.df.join(ends, (F.col("_rn") == F.col("_end")) & _same(keys), "left")
     at = Series(joined, series.order_by, series.partition_by)
-    name = f"{column}_cdf_{'wass' if metric == 'wasserstein' else 'ks'}_trend_{window}r"
-    last = F.max(F.when(F.col("_d").isNotNull(), F.col("_rn"))).over(at.whole)
-    out = at.with_columns(**{name: F.when(F.col("_rn") <= last, interpolate(at, F.col("_d"), False, F.col("_rn")))})
-    return out.drop("_rn", "_n", "_end", "_d", *[f"_k_{k}" for k in keys])
+    new = {}
+    for i, (column, window, _) in enumerate(specs):
+        d = F.col(f"_d{i}")
+        last = F.max(F.when(d.isNotNull(), F.col("_rn"))).over(at.whole)
+        new[cdf_trend_name(column, window, metric)] = F.when(F.col("_rn") <= last, interpolate(at, d, False, F.col("_rn")))
+    return at.with_columns(**new).drop("_rn", "_n", "_end", *[f"_d{i}" for i in range(len(specs))], *[f"_k_{k}" for k in keys])
+
+
+def add_cdf_trend(series: Series, column: str, window: int, overlap: float = 0.25, metric: str = "wasserstein", min_valid: int = 3) -> Series:
+    """``{column}_cdf_{wass|ks}_trend_{window}r``, see add_cdf_trends()."""
+    return add_cdf_trends(series, [(column, window, overlap)], metric, min_valid)
 
 
 def _same(keys: list[str]) -> Column:

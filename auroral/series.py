@@ -41,6 +41,10 @@ class Series:
     def after(self) -> WindowSpec:
         return self.window.rowsBetween(1, Window.unboundedFollowing)
 
+    @property
+    def from_here(self) -> WindowSpec:
+        return self.window.rowsBetween(0, Window.unboundedFollowing)
+
     @property
     def whole(self) -> WindowSpec:
         keys = self.partition_by or (F.lit(1),)

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A measurement of at least this much is missing.
+#: A measurement of at least this much is missing. Names are without dots, which Spark would read as field access.
 SENTINELS: dict[str, float] = {
-    "Scalar B, nT": 999, "Vector B Magnitude,nT": 999, "Lat. Angle of B (GSE)": 999, "Long. Angle of B (GSE)": 999,
+    "Scalar B, nT": 999, "Vector B Magnitude,nT": 999, "Lat Angle of B (GSE)": 999, "Long Angle of B (GSE)": 999,
     "BX, nT (GSE, GSM)": 999, "BY, nT (GSE)": 999, "BZ, nT (GSE)": 999, "BY, nT (GSM)": 999, "BZ, nT (GSM)": 999,
     "SW Plasma Temperature, K": 9999999, "SW Proton Density, N/cm^3": 999, "SW Plasma Speed, km/s": 9999,
-    "SW Plasma flow long. angle": 999, "SW Plasma flow lat. angle": 999, "Alpha/Prot. ratio": 9, "Flow pressure": 99.99,
-    "E elecrtric field": 999, "Plasma Beta": 999, "Alfen mach number": 999, "Magnetosonic Much num.": 99,
+    "SW Plasma flow long angle": 999, "SW Plasma flow lat angle": 999, "Alpha/Prot ratio": 9, "Flow pressure": 99.99,
+    "E elecrtric field": 999, "Plasma Beta": 999, "Alfen mach number": 999, "Magnetosonic Much num": 99,
     "Quasy-Invariant": 9.9999, "Proton flux (>10 Mev)": 9999, "AE-index, nT": 9999,
 }
 
@@ -25,7 +25,7 @@ def parse_sidecar(lines: list[str]) -> list[str]:
     for line in lines:
         line = line.strip()
         if " " in line and re.match(r"\d+\s", line):
-            names.append(line[line.index(" ") : line.rindex(" ")].strip())
+            names.append(line[line.index(" ") : line.rindex(" ")].strip().replace(".", ""))
     return names
 
 
