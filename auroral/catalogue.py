@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auroral.functions import transforms as X
-from auroral.operators import clean, convolution, decompose, events, lag, metrics, physics, rolling, state, strided
+from auroral.operators import clean, convolution, decompose, events, lag, metrics, model, physics, rolling, state, strided
 from auroral.plans import features
 from auroral.series import Series, chunked, drop_halo
 from auroral.sources import ingest
@@ -675,6 +675,39 @@ def chunked_rolling(spark, sf_dir):
     return drop_halo(s.with_columns(mean=F.avg("value").over(s.last(24)))).select("event_id", r6("mean").alias("mean"))
 
 
+@query()
+def impute_gbt(spark, sf_dir):
+    """Missing hours' values filled by models of the other variables."""
+    rows = hr(spark, sf_dir).df.select("hour", "v", "n", "bx", "by", "bz", "ae")
+    imputers = model.train_imputers(rows, 50.0, ("hour",), rounds=5, depth=3)
+    return model.impute(rows, imputers, 50.0)
+
+
+def _forecast(spark, sf_dir) -> tuple[DataFrame, list[str], model.GBTRegressionModel]:
+    s = hr(spark, sf_dir)
+    rows = lag.horizon_target(lag.target_history(s, "dst"), "dst", 4).df
+    names = ["dst_current", *[f"dst_past_{k}h" for k in range(1, 5)], "v", "n"]
+    return rows, names, model.train_forecast(rows, names, "y", rounds=5, depth=3)
+
+
+@query()
+def gbt_forecast(spark, sf_dir):
+    rows, names, fitted = _forecast(spark, sf_dir)
+    return model.predict(fitted, rows, names).select("hour", "y", "prediction")
+
+
+@query()
+def ice_curve(spark, sf_dir):
+    rows, names, fitted = _forecast(spark, sf_dir)
+    return model.ice_curve(fitted, rows, names, "v", "hour", 50, 20)
+
+
+@query()
+def contributions(spark, sf_dir):
+    rows, names, fitted = _forecast(spark, sf_dir)
+    return model.path_contributions(fitted, rows, names).select("hour", "bias", "contributions")
+
+
 @query()
 def feature_pipeline(spark, sf_dir):
     """The flagship: all feature domains on a stand-in series of hours."""
