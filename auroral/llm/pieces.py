@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from .tokens import mix, span_hashes, chunks
 
 SPACE = 0x2581
-CACHE_WORDS = 1 << 19
-CHUNK = 2 << 20
+CACHE_WORDS = 1 << 18
+CHUNK = 1 << 20
 _NONE = np.int64(1) << 40
 
 
