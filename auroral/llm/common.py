@@ -67,14 +67,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column,
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(max_rows)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of a plan's input."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, counted in one pass; a plan's estimated size may be off by any factor."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def block_count(docs: DataFrame, block_bytes: int = 4 << 20) -> int:
-    """Blocks of about ``block_bytes`` of stored input; more input gives more blocks, not larger ones."""
-    return max(8, min(1 << 20, math.ceil(input_bytes(docs) / block_bytes)))
+def block_count(docs: DataFrame, block_bytes: int = 7 << 20) -> int:
+    """Blocks of about ``block_bytes`` of text; more input gives more blocks, not larger ones."""
+    return max(8, min(1 << 20, math.ceil(text_bytes(docs) / block_bytes)))
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -19,12 +19,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_bytes
+from .common import text_bytes
 
 _PAIR = 0x0000000100000001
 SHORT_CHARS = 400
-#: Rows are put in order within buckets of neighbouring ids of about this much stored text.
-BUCKET_BYTES = 8 << 20
+#: Rows are put in order within buckets of neighbouring ids of about this much text.
+BUCKET_BYTES = 14 << 20
 MAX_BUCKETS = 1000
 
 
@@ -79,7 +79,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     all rows is ever made in one task.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, min(MAX_BUCKETS, input_bytes(docs) // BUCKET_BYTES))
+    n = max(1, min(MAX_BUCKETS, text_bytes(docs) // BUCKET_BYTES))
     ids = docs.select(F.col("doc_id").cast("long").alias("i"))
     cuts = sorted(set(ids.agg(F.percentile_approx("i", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(1.0)), F.lit(10_000))).first()[0] or [])) if n > 1 else []
     if cuts:

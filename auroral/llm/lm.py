@@ -125,7 +125,7 @@ def _scorer(order: int, min_count: int, alpha: float):
     return run
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, min_count: int = 2, alpha: float = ALPHA, block_bytes: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, min_count: int = 2, alpha: float = ALPHA, block_bytes: int = 7 << 20) -> DataFrame:
     """(doc_id, n_words, log_score) of every row's whole text: the sum of its words' log stupid-backoff scores.
 
     Counts are of all words (between ASCII white space) of ``corpus``, by default of ``docs`` themselves. A word's score is

@@ -306,7 +306,7 @@ def _remover(extra: tuple[str, ...], layout: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 2 << 20, shard_bytes: int = SHARD_BYTES, extra: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 7 << 19, shard_bytes: int = SHARD_BYTES, extra: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, *extra) of every row's whole text, kept being the words left, joined by one space;
     with ``layout`` a text of which nothing goes is kept as it is. ``extra`` names further columns to carry along.
 

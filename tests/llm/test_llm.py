@@ -239,7 +239,7 @@ def brute_repeats(rows, window):
     return sorted(((i, len(words(t)), len(gone[n]), " ".join(w for k, w in enumerate(words(t)) if k not in gone[n])) for n, (i, t) in enumerate(docs)), key=str)
 
 
-@pytest.mark.parametrize(("window", "blocks"), [(20, 1 << 22), (5, 200)])
+@pytest.mark.parametrize(("window", "blocks"), [(20, 1 << 22), (5, 4000)])
 def test_remove_repeats(spark, window, blocks):
     passage, other = prose(77, 70), prose(78, 22)
     rows = [(k, prose(k + 500, 30) + (" " + passage if k % 3 == 0 else "") + " tail " + prose(k + 900, 25)) for k in range(12)]
