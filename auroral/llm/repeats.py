@@ -204,6 +204,8 @@ def _router(window: int, anchor: int, parts: int):
 
         def stretches(begin: np.ndarray, shard: np.ndarray, passage: bool):
             """Windows of one shard that overlap or touch, as one stretch of words."""
+            if not len(begin):
+                return
             order = np.lexsort((begin, shard))
             begin, shard = begin[order], shard[order]
             cut = np.append(True, (shard[1:] != shard[:-1]) | (begin[1:] > begin[:-1] + window) | (r[begin[1:]] != r[begin[:-1]]))[: len(begin)]
