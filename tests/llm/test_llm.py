@@ -52,7 +52,7 @@ def test_tokens_and_hashes():
 # --- classifiers
 
 
-def labelled(spark, n=240):
+def labelled(spark, n=480):
     rows, labels = [], []
     for k in range(n):
         bad = k % 3 == 0
@@ -65,16 +65,16 @@ def labelled(spark, n=240):
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_learn_and_score_every_row(spark, module, label):
     docs, labels = labelled(spark)
-    settings = module.Settings(max_rows=150) if module is quality else module.Settings(max_rows=200, min_docs=3)
+    settings = module.Settings(max_rows=320) if module is quality else module.Settings(max_rows=320, min_docs=3)
     weights = module.train(docs, labels, label, common.fold("doc_id", 3) != 1, settings)
     rows = module.score(docs, weights, settings).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
-    held = [r for r in rows if r.doc_id is not None and r.doc_id < 240 and r.doc_id not in (3,) and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    held = [r for r in rows if r.doc_id is not None and r.doc_id < 480 and r.doc_id not in (3,) and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     right = [(r.score >= 0.5) == ((r.doc_id % 3 == 0) == (label == "toxic")) for r in held]
     assert sum(right) >= 0.9 * len(right)
     assert (module.train(docs, labels, label, common.fold("doc_id", 3) != 1, settings) == weights).all()
     nothing = module.train(docs, labels.limit(0), label, F.lit(True), settings)
-    assert not nothing.any() or abs(nothing[-1]) < 1 or True
+    assert not nothing[:-1].any() or module is toxicity
     assert module.score(docs.limit(0), weights, settings).count() == 0
 
 
@@ -384,7 +384,7 @@ def test_decontamination(spark, shard):
     got = sorted(((r.doc_id, r.n_words, sum(s.hi - s.lo for s in r.spans), list(r.items)) for r in scanned.collect()), key=str)
     assert got == brute_hits(rows, items, 10)
     kept = {r.doc_id: r.text for r in decontaminate.remove_spans(scanned, 1, 0.8).collect()}
-    assert 51 not in kept and kept[905] == "a " * 3000 and not set(plain(kept[0])[-15:-1]) & set()
+    assert 51 not in kept and kept[905] == "a " * 3000
     assert decontaminate.scan(docs_of(spark, rows), table.limit(0)).where("size(spans) > 0").count() == 0
     assert decontaminate.scan(docs_of(spark, []), table).count() == 0
 
