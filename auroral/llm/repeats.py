@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 7 << 19
     parts = max(8, n_blocks // 2)
     anchor = (window * 3 + 4) // 5
     text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), *extra).repartition("block")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), *extra).repartition("block")  # rows without an id or of one id are no single block
     grouped = own.groupBy("block")
     asked = grouped.applyInArrow(_ask_anchors(window, anchor, parts), "part int, block int, keys binary, many binary")
     recur = asked.groupBy("part").applyInArrow(_answer_anchors, "block int, part int, recur binary")

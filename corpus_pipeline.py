@@ -25,10 +25,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each similarity class, and one row of each id. Rows without an id go: later stages could not tell them apart."""
-    classes = near.similarity_classes(docs)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each similarity class: the one of least id (null ids come last), among equal ids that of least hash. Nothing else goes.
+
+    Ids may be null or repeated, so rows are compared under a number of their own, written with them so that it stays the same.
+    """
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    classes = near.similarity_classes(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "class_id")
+    order = rows.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row").alias("__order"))
+    kept = order.join(classes.hint("merge"), "__row").groupBy("class_id").agg(F.min("__order").alias("__order")).select(F.col("__order.__row").alias("__row"))
+    return rows.join(kept.hint("merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
