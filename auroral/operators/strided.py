@@ -140,7 +140,12 @@ def correlation(a: str, b: str, method: str) -> Column:
 
 
 def add_window_correlation(series: Series, a: str, b: str, window: int = 24, overlap: float = 0.5, method: str = "pearson", interpolation: str = "linear") -> Series:
-    """``window_corr_{a}_{b}_{window}w_{overlap}ovlp``: correlation in full strided windows, at their centres, interpolated between; 0 without a window."""
+    """``window_corr_{a}_{b}_{window}w_{overlap}ovlp``: correlation in full strided windows, at their centres, interpolated between; 0 without a window.
+
+    ``interpolation`` is linear, or quadratic or cubic: a spline through the centres and, with the values of the nearest centres, the first and last row.
+    """
+    if interpolation not in ("linear", "quadratic", "cubic"):
+        raise ValueError(f"unknown interpolation {interpolation!r}")
     step = stride(window, overlap)
     numbered = _numbered(series)
     keys = list(series.partition_by)
@@ -158,16 +163,18 @@ def add_window_correlation(series: Series, a: str, b: str, window: int = 24, ove
     joined = numbered.df.join(windows.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_centre", "_c"), (F.col("_rn") == F.col("_centre")) & _same(keys), "left")
     at = Series(joined, series.order_by, series.partition_by)
     name = f"window_corr_{clean_name(a)}_{clean_name(b)}_{window}w_{int(overlap * 100)}ovlp"
-    if interpolation == "linear" or not keys:
-        value = interpolate(at, F.col("_c"), True, F.col("_rn"))
-    else:
-        value = interpolate(at, F.col("_c"), True, F.col("_rn"))
+    value = interpolate(at, F.col("_c"), True, F.col("_rn"))
+    if interpolation != "linear":
+        edge = F.when((F.col("_rn") == 0) | (F.col("_rn") == F.col("_n") - 1), value)
+        numbers = Series(at.with_columns(_c=F.coalesce("_c", edge)).df, ("_rn",), series.partition_by)
+        at = Series(interpolate_polynomial(numbers, "_c", "_spline", interpolation).df, series.order_by, series.partition_by)
+        value = F.col("_spline")
     out = at.with_columns(**{name: F.coalesce(value, F.lit(0.0))})
-    return out.drop("_rn", "_n", "_centre", "_c", *[f"_k_{k}" for k in keys])
+    return out.drop("_rn", "_n", "_centre", "_c", "_spline", *[f"_k_{k}" for k in keys])
 
 
 def interpolate_polynomial(series: Series, known: str, name: str, kind: str = "cubic") -> Series:
-    """``known`` through all its values by a spline (quadratic: Lagrange pieces of three points; cubic: not-a-knot), extrapolated; linear below the points needed.
+    """``known`` through all its values by a spline (quadratic: knots midway between the points, cubic: at the points, both without the outermost), extrapolated; linear below the points needed.
 
     A series is one task's work; its keys and values alone are moved.
     """
@@ -190,26 +197,58 @@ def interpolate_polynomial(series: Series, known: str, name: str, kind: str = "c
 
     schema = series.df.select(*keys).schema.add(name, "double")
     found = series.df.select(*keys, known).groupBy(*series.partition_by).applyInPandas(run, schema)
-    return Series(series.df.join(found, keys, "left"), series.order_by, series.partition_by)
+    found = found.select(*[F.col(k).alias(f"_s_{k}") for k in keys], name)
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+    return Series(series.df.join(found, met, "left").drop(*[f"_s_{k}" for k in keys]), series.order_by, series.partition_by)
+
+
+def _tridiagonal(below: np.ndarray, middle: np.ndarray, above: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Elimination without pivots; below[0] and above[-1] are not read."""
+    middle, r = middle.astype(float), r.astype(float)
+    for k in range(1, len(r)):
+        f = below[k] / middle[k - 1]
+        middle[k] -= f * above[k - 1]
+        r[k] -= f * r[k - 1]
+    out = r / middle
+    for k in range(len(r) - 2, -1, -1):
+        out[k] = (r[k] - above[k] * out[k + 1]) / middle[k]
+    return out
 
 
 def _quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    i = np.clip(np.searchsorted(x, at) - 1, 0, len(x) - 3)
-    x0, x1, x2, y0, y1, y2 = x[i], x[i + 1], x[i + 2], y[i], y[i + 1], y[i + 2]
-    return y0 * (at - x1) * (at - x2) / ((x0 - x1) * (x0 - x2)) + y1 * (at - x0) * (at - x2) / ((x1 - x0) * (x1 - x2)) + y2 * (at - x0) * (at - x1) / ((x2 - x0) * (x2 - x1))
+    n = len(x)
+    t = np.concatenate([[x[0]] * 3, ((x[1:] + x[:-1]) / 2)[1:-1], [x[-1]] * 3])
+
+    def basis(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of the three B-splines that are not 0 at each place, and their values."""
+        s = np.clip(np.searchsorted(t, v, side="right") - 1, 2, n - 1)
+        u = (v - t[s]) / (t[s + 1] - t[s])
+        a, b = (v - t[s - 1]) / (t[s + 1] - t[s - 1]), (v - t[s]) / (t[s + 2] - t[s])
+        return s - 2, np.stack([(1 - a) * (1 - u), a * (1 - u) + (1 - b) * u, b * u])
+
+    first, value = basis(x)
+    rows = np.zeros((3, n))  # the splines before, at and after each point
+    for k in range(3):
+        place = first + k - np.arange(n) + 1
+        ok = (place >= 0) & (place <= 2)
+        rows[place[ok], np.flatnonzero(ok)] = value[k, ok]
+    c = _tridiagonal(*rows, y)
+    first, value = basis(at)
+    return sum(value[k] * c[first + k] for k in range(3))
 
 
 def _not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     n, h = len(x), np.diff(x)
     slope = np.diff(y) / h
-    a, r = np.zeros((n, n)), np.zeros(n)
-    for k in range(1, n - 1):
-        a[k, k - 1 : k + 2] = h[k], 2 * (h[k - 1] + h[k]), h[k - 1]
-        r[k] = 3 * (h[k] * slope[k - 1] + h[k - 1] * slope[k])
+    below, middle, above, r = np.zeros((4, n))
+    below[1:-1], middle[1:-1], above[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
+    r[1:-1] = 3 * (h[1:] * slope[:-1] + h[:-1] * slope[1:])
     d0, d1 = x[2] - x[0], x[-1] - x[-3]
-    a[0, 0], a[0, 1], r[0] = h[1], d0, ((h[0] + 2 * d0) * h[1] * slope[0] + h[0] ** 2 * slope[1]) / d0
-    a[-1, -1], a[-1, -2], r[-1] = h[-2], d1, (h[-1] ** 2 * slope[-2] + (2 * d1 + h[-1]) * h[-2] * slope[-1]) / d1
-    m = np.linalg.solve(a, r)
+    middle[0], above[0], r[0] = h[1], d0, ((h[0] + 2 * d0) * h[1] * slope[0] + h[0] ** 2 * slope[1]) / d0
+    middle[-1], below[-1], r[-1] = h[-2], d1, (h[-1] ** 2 * slope[-2] + (2 * d1 + h[-1]) * h[-2] * slope[-1]) / d1
+    m = _tridiagonal(below, middle, above, r)
     i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     t = at - x[i]
     c2 = (3 * slope[i] - 2 * m[i] - m[i + 1]) / h[i]

@@ -131,6 +131,38 @@ def test_splines_meet_their_points_and_cubics():
     assert np.allclose(strided._quadratic(x, 1 + x**2, at), 1 + at**2)
 
 
+@pytest.mark.parametrize(("kind", "degree"), [("quadratic", 2), ("cubic", 3)])
+def test_window_correlation_by_splines(spark, kind, degree):
+    rng = np.random.default_rng(8)
+    sizes = {1: 75, None: 38, 2: 20, 3: 5}  # many centres, a null key, one centre, none
+    rows = [(g, k, float(a), float(b)) for g, n in sizes.items() for k, (a, b) in enumerate(rng.normal(0, 1, (n, 2)))]
+    df = spark.createDataFrame(rows, "g int, t int, a double, b double")
+
+    def expected(a, b):
+        n = len(a)
+        x = [s + 6 for s in range(0, n - 12 + 1, 9)]
+        y = [np.corrcoef(a[c - 6 : c + 6], b[c - 6 : c + 6])[0, 1] for c in x]
+        if len(x) < 2:
+            return np.full(n, y[0] if y else 0.0)
+        x, y = np.array([0, *x, n - 1]) / n, np.array([y[0], *y, y[-1]])
+        knots = ((x[1:] + x[:-1]) / 2)[1:-1] if degree == 2 else x[2:-2]
+        powers = lambda v: np.stack([*[v**p for p in range(degree + 1)], *[np.maximum(v - k, 0) ** degree for k in knots]], 1)
+        return powers(np.arange(n) / n) @ np.linalg.solve(powers(x), y)
+
+    for keys, groups in ((("g",), [1, None, 2, 3]), ((), [1])):
+        source = df if keys else df.where("g = 1")
+        s = strided.add_window_correlation(Series(source, ("t",), keys), "a", "b", 12, 0.25, "pearson", kind)
+        assert s.df.columns == ["g", "t", "a", "b", "window_corr_a_b_12w_25ovlp"]
+        got = s.df.collect()
+        assert len(got) == source.count()
+        for g in groups:
+            own = sorted((r.t, r.window_corr_a_b_12w_25ovlp) for r in got if r.g == g)
+            a, b = (np.array([r[k] for r in rows if r[0] == g]) for k in (2, 3))
+            assert np.allclose([v for _, v in own], expected(a, b))
+    with pytest.raises(ValueError, match="unknown interpolation"):
+        strided.add_window_correlation(Series(df, ("t",), ("g",)), "a", "b", interpolation="nearest")
+
+
 def test_transforms_invert(spark):
     df = spark.createDataFrame([(float(v),) for v in (-1e9, -250.0, -1.5, 0.0, 0.3, 7.0, 1e6)], "x double")
     for t in (X.SignedLog(), X.SinhArcsinh(0.1, 0.5), X.YeoJohnson(lam=0.6, standardize=False), X.Pipeline((X.SignedLog(), X.SinhArcsinh(0, 0.4)))):
