@@ -27,7 +27,10 @@ from .tokens import SIGNS, _byte_values, chunks, mix, LOWER, span_hashes
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_rows`` bounds the labelled sample; ``prior`` subwords of no meaning join every average, so that a short text needs proof too."""
+    """``max_rows`` bounds the labelled sample; ``prior`` subwords of no meaning join every average, so that a short text needs proof too.
+
+    Subwords in fewer than ``min_docs`` sampled documents are not learned; 1 leaves none out.
+    """
 
     bits: int = 18
     dim: int = 8
@@ -40,7 +43,7 @@ class Settings:
     scale: float = 100.0
     decay: float = 1e-6
     prior: float = 200.0
-    min_docs: int = 10
+    min_docs: int = 1
 
 
 def subwords(column: pa.Array, settings: Settings) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -94,7 +97,7 @@ def _trainer(settings: Settings):
                     examples.append((zlib.crc32(str(ids[lo + k]).encode()[::-1]), where.astype(np.int32), (value / (value.sum() + settings.prior)).astype(np.float32), int(labels[lo + k] > 0)))
         examples.sort(key=lambda x: (x[0], len(x[1])))
         spread = np.bincount(np.concatenate([x[1] for x in examples]), minlength=1 << settings.bits) if examples else np.zeros(1 << settings.bits, int)
-        known = spread >= settings.min_docs  # what fewer documents hold can only be learned by heart
+        known = spread >= settings.min_docs
         examples = [(x[0], x[1][known[x[1]]], x[2][known[x[1]]], x[3]) for x in examples]
         rng = np.random.default_rng(7)
         table = (rng.normal(0, 0.01, (1 << settings.bits, settings.dim)) * known[:, None]).astype(np.float32)

@@ -78,6 +78,20 @@ def test_classifiers_learn_and_score_every_row(spark, module, label):
     assert module.score(docs.limit(0), weights, settings).count() == 0
 
 
+def test_rare_toxic_words_are_learned(spark):
+    rows, labels = [], []
+    for k in range(300):  # seven toxic documents hold a word that no other does
+        bad = k % 6 == 0
+        rows.append((k, prose(k, 30) + ((" grumblefax" * 2 if k < 42 else " idiotic" * 2) if bad else " fine")))
+        labels.append((k, 1 if bad else 0))
+    base = prose(999, 30)
+    rows += [(1000, base + " grumblefax" * 2), (1001, base + " hyxtovquip" * 2)]
+    docs = docs_of(spark, rows)
+    weights = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", F.lit(True))
+    got = {r.doc_id: r.score for r in toxicity.score(docs.where("doc_id >= 1000"), weights).collect()}
+    assert got[1000] > got[1001] + 0.1
+
+
 def test_quality_score_is_a_sparse_dot_product():
     settings = quality.Settings(bits=12)
     w = np.random.default_rng(0).normal(size=(1 << 12) + 1).astype(np.float32)
