@@ -699,7 +699,7 @@ def gbt_forecast(spark, sf_dir):
 @query()
 def ice_curve(spark, sf_dir):
     rows, names, fitted = _forecast(spark, sf_dir)
-    return model.ice_curve(fitted, rows, names, "v", "hour", 50, 20)
+    return model.ice_curve(fitted, rows, names, "v", "hour", 300, 60)
 
 
 @query()

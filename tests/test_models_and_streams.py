@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from auroral import catalogue
 from auroral.operators import model
 from auroral.plans import grouping
 from auroral.streaming import causal
@@ -50,3 +51,10 @@ def test_stream_equals_batch(spark, tmp_path):
     x = [float(k % 7) for k in range(30)]
     assert [r.lag_1 for r in a][1:] == x[:-1]
     assert np.allclose([r["mean"] for r in a], [np.mean(x[max(0, k - 2) : k + 1]) for k in range(30)])
+
+
+def test_ice_query_takes_the_rows_and_points_of_the_reference(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "_forecast", lambda *a: (None, ["v"], None))
+    monkeypatch.setattr(model, "ice_curve", lambda fitted, rows, names, feature, key, n, points: (n, points))
+    n, points = catalogue.ice_curve(spark, "")
+    assert n >= 300 and points >= 60
