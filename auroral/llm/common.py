@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one where it is unset, as in local tests."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a local session gets a temporary one and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="auroral-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
@@ -74,7 +76,24 @@ def text_bytes(docs: DataFrame) -> int:
 
 def block_count(docs: DataFrame, block_bytes: int = 7 << 20) -> int:
     """Blocks of about ``block_bytes`` of text; more input gives more blocks, not larger ones."""
-    return max(8, min(1 << 20, math.ceil(text_bytes(docs) / block_bytes)))
+    return max(8, math.ceil(text_bytes(docs) / block_bytes))
+
+
+#: Keys that join_each() broadcasts, at most.
+HEAVY = 1000
+
+
+def join_each(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, whose rows have distinct values of ``key`` and say in ``__n`` how many of the ``total`` rows have it.
+
+    Keys of more than a ``HEAVY``-th of all rows, fewer than ``HEAVY`` by that count, are broadcast; all others are merged.
+    So no task gets all rows of a hot key.
+    """
+    hot = per_key.where(F.col("__n") > total // HEAVY).drop("__n")
+    cold = per_key.where(F.col("__n") <= total // HEAVY).drop("__n")
+    apart = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
+    return apart.unionByName(others)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -86,15 +105,17 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges = materialise(edges.where(F.col("u") != F.col("v")).distinct(), name)
     before = None
     while True:
+        total = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("__n"))
+        large = join_each(both.where("v > u"), least, "u", total).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v").distinct()
+        down = materialise(large, name)
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+        small = join_each(down, low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = materialise(small, name)
         state = after.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
         discard(edges)
+        discard(down)
         edges = after
         if before == state:
             break

@@ -1,13 +1,13 @@
 """N-gram Jaccard join with Bayesian candidate pruning, and its classes.
 
 Documents with equal shingle sets are one node. Bands of MinHash values put nodes
-into buckets; a bucket of several nodes ties each of them to its least one, and
-the components of these ties are the candidate groups: only nodes of one group can
-be similar. Within a group, chunks of bounded size are compared pair of chunks by
-pair of chunks: MinHash values a few at a time, dropping a pair once the posterior
-probability that it reaches the threshold is below the tolerance, and the pairs
-left exactly, by their shingle sets. A task returns the number of links of each
-node and what they connect, never the pairs.
+into buckets; only nodes that meet in a bucket can be similar. A node's anchor is
+the least node of all its buckets, and the nodes of one anchor make chunks of
+bounded size. Two chunks that meet in a bucket are a job, and so is each chunk by
+itself: its pairs are compared by a few MinHash values at a time, dropping a pair
+once the posterior probability that it reaches the threshold is below the
+tolerance, and the pairs left exactly, by their shingle sets. A job returns the
+number of links of each node and what they connect, never the pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, connected_components, materialise
+from .common import connected_components, discard, join_each, materialise
 from .tokens import WHITESPACE, chunks, mix
 
 _EMPTY = np.uint64(0x5DEECE66D)
@@ -39,6 +39,7 @@ class Settings:
     tolerance: float = 1e-7
     chunk_nodes: int = 512
     chunk_shingles: int = 1 << 20
+    task_shingles: int = 1 << 19
 
 
 def shingles(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -104,7 +105,7 @@ def fewest_matches(settings: Settings) -> list[int]:
 def _sketcher(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, n, keys, rows in shingles(batch.column(1), settings.shingle):
+            for lo, n, keys, rows in shingles(batch.column(2), settings.shingle):
                 node, size = node_ids(keys, rows, n)
                 values = minhashes(keys, rows, n, settings.bands * settings.band_rows).astype(np.uint64).reshape(n, settings.bands, settings.band_rows)
                 band = np.broadcast_to(np.arange(1, settings.bands + 1, dtype=np.uint64), (n, settings.bands)).copy()
@@ -116,7 +117,8 @@ def _sketcher(settings: Settings):
                 if (size == 0).any():
                     flat = pa.array(band[size > 0].astype(np.int64).ravel())
                 bands = pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(node), pa.array(size, pa.int32()), bands], ["doc_id", "node", "size", "bands"])
+                row, doc_id, text = (batch.column(k).slice(lo, n) for k in range(3))
+                yield pa.RecordBatch.from_arrays([row, doc_id, pa.array(node), pa.array(size, pa.int32()), bands, text], ["row", "doc_id", "node", "size", "bands", "text"])
 
     return run
 
@@ -178,17 +180,13 @@ def _linker(settings: Settings):
         wanted = np.array(table.column("node").to_pylist(), np.int64)
         sets: list[np.ndarray] = []
         values = []
-        nodes = []
         for _, n, keys, rows in shingles(table.column("text"), settings.shingle):
             sets += np.split(keys, np.searchsorted(rows, np.arange(1, n)))
             values.append(minhashes(keys, rows, n, settings.compare[-1]))
-            nodes.append(node_ids(keys, rows, n)[0])
         values = np.concatenate(values) if values else np.zeros((0, settings.compare[-1]), np.uint32)
-        right_text = (np.concatenate(nodes) if nodes else wanted) == wanted  # another row may have the same doc_id
         out_node, out_links, out_root = [], [], []
         for job in np.unique(jobs):
-            own = np.flatnonzero((jobs == job) & right_text)
-            own = own[np.unique(np.stack([side[own], wanted[own]]), axis=1, return_index=True)[1]] if len(own) else own
+            own = np.flatnonzero(jobs == job)
             left, right = own[side[own] != 2], own[side[own] != 1]
             same = not (side[own] == 1).any() and not (side[own] == 2).any()
             if not len(left) or not len(right):
@@ -224,37 +222,48 @@ def similarity_classes(docs: DataFrame, settings: Settings = Settings()) -> Data
     ASCII white space, unchanged; a text of fewer words is one shingle) is at least the threshold. class_id is the least doc_id of all documents
     that links and equal sets connect with this one; n_links is the number of other distinct shingle sets linked with this
     one's; n_copies is the number of rows with this set. Null and empty texts and those of white space are copies of one
-    another, without links. Rows of equal ids are documents of their own. A null doc_id is no class_id, and a set
-    that only such rows have is compared with no other (class_id null). Further columns are left out.
+    another, without links. Rows of equal ids, or of none, are documents of their own; a null doc_id is no class_id, so that
+    a class of such rows alone has none. Further columns are left out. Jobs run while this is called; the result is read
+    from the shared folder.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
-    sketches = materialise(docs.mapInArrow(_sketcher(settings), f"doc_id {kind}, node long, size int, bands array<long>"), "near-sketches")
-    members = sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.count("*").alias("n_copies"))
-    # none of the joined sides has a bound on its size: they are merged at every size, not broadcast while small
-    bands = sketches.where("doc_id is not null").select("node", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("key").alias("k"), "low")
-    ties = bands.join(buckets.hint("merge"), F.col("key") == F.col("k")).where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-    groups = materialise(connected_components(ties, "near-ties").join(members, "node"), "near-groups").where("rep is not null")
-    # chunks of a group, and a job for each pair of chunks
-    share = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / settings.chunk_nodes), F.ceil(F.sum("size") / settings.chunk_shingles), F.lit(1)).cast("int").alias("chunks")).withColumnRenamed("component", "c")
-    placed = groups.join(share, F.col("component") == F.col("c")).select("node", "rep", "component", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    pairs = placed.select("node", "rep", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    sided = pairs.select(
-        "node",
-        F.col("rep").alias("doc_id"),
-        F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("job"),
-        F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    n_tasks = 8 * block_count(docs)
-    work = docs.join(sided.hint("merge"), "doc_id").withColumn("task", F.pmod(F.col("job"), F.lit(n_tasks)).cast("int"))
-    found = materialise(work.select("task", "job", "side", "node", "text").groupBy("task").applyInArrow(_linker(settings), "node long, links long, root long"), "near-links")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    sketches = materialise(numbered.mapInArrow(_sketcher(settings), f"row long, doc_id {kind}, node long, size int, bands array<long>, text string"), "near-sketches")
+    members = materialise(sketches.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.count("*").alias("n_copies")), "near-members")
+    n_rows, n_nodes = sketches.count(), members.count()
+    # nodes that meet others, and where
+    bands = sketches.select("row", "node", "bands").join(members.select("row").hint("merge"), "row", "left_semi").select("node", F.explode("bands").alias("key"))
+    buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("__n")).where(F.col("__n") > 1)
+    ties = materialise(join_each(bands, buckets, "key", settings.bands * n_nodes), "near-ties")
+    # chunks of the nodes of one anchor
+    tied = ties.groupBy("node").agg(F.min("low").alias("anchor")).join(members.select("node", "row", "size").hint("merge"), "node")
+    share = tied.groupBy("anchor").agg(F.greatest(F.ceil(F.count("*") / settings.chunk_nodes), F.ceil(F.sum("size") / settings.chunk_shingles), F.lit(1)).alias("parts"), F.count("*").alias("__n"))
+    placed = materialise(join_each(tied, share, "anchor", n_nodes).select("node", "row", "size", F.xxhash64("anchor", F.pmod(F.xxhash64("node"), "parts")).alias("chunk")), "near-chunks")
+    # a job for each chunk of several nodes and for each two chunks that meet in a bucket
+    met = ties.join(placed.select("node", "chunk").hint("merge"), "node").select("key", "chunk").distinct()
+    both = met.select("key", F.col("chunk").alias("a")).join(met.select("key", F.col("chunk").alias("b")).hint("merge"), "key").where("a <= b").select("a", "b").distinct()
+    filled = placed.groupBy("chunk").agg(F.sum("size").alias("size"), F.count("*").alias("nodes"))
+    side = lambda c: filled.select(F.col("chunk").alias(c), F.col("size").alias(f"size_{c}"), F.col("nodes").alias(f"nodes_{c}")).hint("merge")
+    jobs = both.join(side("a"), "a").join(side("b"), "b").where("a < b or nodes_a > 1")
+    jobs = materialise(jobs.select("a", "b", F.xxhash64("a", "b").alias("job"), (F.col("size_a") + F.when(F.col("a") < F.col("b"), F.col("size_b")).otherwise(0)).alias("weight")), "near-jobs")
+    # small jobs share tasks
+    small = jobs.where(F.col("weight") < settings.task_shingles).agg(F.sum("weight")).first()[0] or 0
+    task = F.when(F.col("weight") < settings.task_shingles, F.pmod("job", F.lit(max(8, math.ceil(small / settings.task_shingles))))).otherwise(F.col("job"))
+    dealt = jobs.select("a", "b", "job", task.alias("task"))
+    left = dealt.select(F.col("a").alias("chunk"), "task", "job", F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side"))
+    right = dealt.where("a < b").select(F.col("b").alias("chunk"), "task", "job", F.lit(2).alias("side"))
+    asked = placed.join(left.unionByName(right).hint("merge"), "chunk").select("row", "node", "task", "job", "side")
+    work = sketches.select("row", "text").join(asked.hint("merge"), "row").select("task", "job", "side", "node", "text")
+    found = materialise(work.groupBy("task").applyInArrow(_linker(settings), "node long, links long, root long"), "near-links")
     n_links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "near-classes")
-    named = members.join(classes, "node", "left").select("node", "rep", "n_copies", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("class_id")).withColumnRenamed("component", "c")
-    told = named.join(least, F.col("component") == F.col("c")).join(n_links, "node", "left").select(F.col("node").alias("own"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return sketches.select("doc_id", "node").join(told.hint("merge"), F.col("node") == F.col("own")).select("doc_id", "class_id", "n_links", "n_copies")
+    named = members.join(classes.hint("merge"), "node", "left").select("node", "rep", "n_copies", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("__n"))
+    told = join_each(named, least, "component", n_nodes).join(n_links.hint("merge"), "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", F.col("n_copies").alias("__n"))
+    out = materialise(join_each(sketches.select("doc_id", "node"), told, "node", n_rows).select("doc_id", "class_id", "n_links", "n_copies"), "near-result")
+    for used in (sketches, members, ties, placed, jobs, found, classes):
+        discard(used)
+    return out
 
 
 #: similarity_classes(documents) in DuckDB's SQL; classes by recursion over links between distinct sets

@@ -137,6 +137,8 @@ def near_rows():
             own[(37 * j + k) % 200] = f"new{k}"
         rows.append((100 + k, " ".join(own)))
     rows += [(200 + k, "short text here") for k in range(3)] + [(210, "other short text")] + [(220, "w1 w2 w3 w4 w5"), (221, "w1 w2 w3 w4 w5 w6")]
+    lonely = prose(2, 200).split()  # a near copy whose sets only rows without id hold
+    rows += [(None, " ".join(lonely)), (None, " ".join([*lonely[:50], "other", *lonely[51:]]))]
     return rows + ODD + [(None, " ".join(base)), (100, " ".join(base)), (300, prose(50, 40))]
 
 
@@ -175,6 +177,18 @@ def test_similarity_classes(spark, settings):
     rows = near_rows()
     got = sorted((tuple(r) for r in near.similarity_classes(docs_of(spark, rows), settings).collect()), key=str)
     assert got == brute_classes(rows)
+    assert sum(r[2] == 1 and r[1] is None for r in got) == 2  # the two rows without id that are near copies of each other
+
+
+def test_joining_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 3)
+    rows = spark.createDataFrame([(k if k % 2 else 1, k) for k in range(40)] + [(None, 1)], "u long, x long")
+    per_key = rows.where("u is not null").groupBy("u").agg(F.min("x").alias("m"), F.count("*").alias("__n"))
+    got = sorted(tuple(r) for r in common.join_each(rows, per_key, "u", rows.count()).collect())
+    assert got == sorted(tuple(r) for r in rows.join(per_key.drop("__n"), "u").collect())
+    edges = [(0, k) for k in range(1, 50)] + [(100, k) for k in range(60, 90)]
+    parts = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert parts == {**{k: 0 for k in range(50)}, **{k: 60 for k in range(60, 90)}, 100: 60}
 
 
 def test_similarity_of_an_empty_table(spark):
