@@ -1,20 +1,21 @@
 """Substring deduplication with repeated-phrase automata.
 
-1. Anchors. Every window of ``window`` words selects one of its shorter word
-   n-grams by least hash (winnowing), so that equal windows select equal anchors.
-   Anchors' counts over the corpus (partitioned by hash, blocks' counts added up)
-   tell which windows can recur at all.
-2. Windows that can recur are looked up by hash: the first place of each is its
-   leader, later ones learn the leader's block. Nothing else is gathered of a
-   window, however often it occurs.
-3. Confirmation. Runs of leading windows are passages. The passages of a block
-   make one shard: a pyahocorasick automaton over word ids, holding pieces of the
-   passages so placed that every window contains a whole piece. The stretches of
-   all documents that may repeat something of that shard are streamed through it;
-   each piece found is extended word by word in both directions, and windows that
-   are equal to a passage's and begin later than it are repeats. Shards that many
-   stretches ask for are dealt out to several tasks.
-4. Each document's repeats are joined to it and their words removed.
+Documents are dealt into blocks of bounded size; what blocks tell each other are
+rows keyed by a hash, one for each distinct key of a block, however often it
+occurs there.
+
+1. Phrases. Every window of ``window`` words selects one of its shorter word
+   n-grams by least hash (winnowing), so that equal windows select equal phrases.
+   Phrases that occur once in the corpus rule their windows out.
+2. Confirmation. The windows left are grouped by a 128-bit key over all blocks:
+   those that occur more than once are confirmed, and each block with such a
+   window learns its leader, the first place of all.
+3. Location. Runs of a block's confirmed windows are its passages. A
+   pyahocorasick automaton over word ids holds pieces of them, so placed that every
+   window contains a whole piece; there is one automaton for each block, so none is
+   larger than a block. All words of all its documents are streamed through it;
+   each piece found is extended in both directions, which gives every occurrence
+   of every confirmed window. Those that begin after their leader go.
 """
 
 from __future__ import annotations
@@ -22,15 +23,13 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_count, materialise
-from .lm import _split
+from .common import block_count, discard, materialise
 from .tokens import WHITESPACE, chunks, mix, window_hashes
 
-#: Text of stretches that one task streams through a shard's automaton.
-SHARD_BYTES = 8 << 20
+_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,265 +79,175 @@ def _selected(anchors: np.ndarray, where: np.ndarray) -> np.ndarray:
 
 
 def _in_order(table: pa.Table, extra: tuple[str, ...] = ()) -> pa.Table:
-    """The rows of a block in the order of their documents; every step numbers them so."""
+    """The rows of a block in the order of their documents."""
     return table.select(["doc_id", "text", "block", *extra]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def _ask_anchors(window: int, anchor: int, parts: int):
+def _ask_phrases(window: int, phrase: int):
+    """The block's distinct phrases, and whether it has more than one of each."""
+
     def run(table: pa.Table) -> pa.Table:
         h, r, _ = _tokens(table.column("text"))
-        unique, count = np.unique(_selected(*_anchors(h, r, window, anchor)), return_counts=True)
-        at = _split(unique, parts)
-        block = table.column("block")[0].as_py()
-        out = [(p, block, unique[at[p] : at[p + 1]].tobytes(), np.packbits(count[at[p] : at[p + 1]] > 1).tobytes()) for p in range(parts) if at[p + 1] > at[p]]
-        return _rows(out, [("part", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
+        unique, count = np.unique(_selected(*_anchors(h, r, window, phrase)), return_counts=True)
+        block = np.full(len(unique), table.column("block")[0].as_py(), np.int32)
+        return pa.table({"phrase": unique.view(np.int64), "block": block, "many": count > 1})
 
     return run
 
 
-def _rows(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
-
-
-def _bits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+_WINDOWS = [("k0", pa.int64()), ("k1", pa.int64()), ("block", pa.int32()), ("doc", pa.int64()), ("place", pa.int32()), ("many", pa.bool_())]
 
 
-def _answer_anchors(ask: pa.Table) -> pa.Table:
-    """For each block: which of its anchors occur more than once in the corpus."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in ask.column("keys")]
-    many = [_bits(x.as_py(), len(k)) for x, k in zip(ask.column("many"), keys, strict=True)]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    recur = ((np.bincount(at) > 1) | (np.bincount(at, weights=np.concatenate(many)) > 0))[at]
-    ends = np.cumsum([len(k) for k in keys])
-    out = [(b.as_py(), p.as_py(), np.packbits(recur[e - len(k) : e]).tobytes()) for b, p, k, e in zip(ask.column("block"), ask.column("part"), keys, ends, strict=True)]
-    return _rows(out, [("block", pa.int32()), ("part", pa.int32()), ("recur", pa.binary())])
+def _ask_windows(window: int, phrase: int):
+    """The block's distinct windows whose phrases recur: key, first place, and whether it has more than one of each."""
 
-
-def _candidates(table: pa.Table, answers: pa.Table, window: int, anchor: int, parts: int):
-    """Words of a block and the windows whose anchors recur: their hashes and where they begin, by hash."""
-    h, r, place = _tokens(table.column("text"))
-    anchors, where = _anchors(h, r, window, anchor)
-    unique = np.unique(_selected(anchors, where))
-    at = _split(unique, parts)
-    recur = np.zeros(len(unique), bool)
-    for part, data in zip(answers.column("part").to_pylist(), answers.column("recur").to_pylist(), strict=True):
-        recur[at[part] : at[part + 1]] = _bits(data, at[part + 1] - at[part])
-    begin = np.flatnonzero(anchors != 0)
-    begin = begin[recur[np.searchsorted(unique, anchors[begin])]]
-    keys = _windows(h, r, window)[begin]
-    order = np.lexsort((begin, keys))
-    return h, r, place, keys[order], begin[order]
-
-
-def _ask_windows(window: int, anchor: int, parts: int):
-    """The first place and whether there are more of each distinct candidate window of the block."""
-
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _rows([], _ASKED)
+    def run(table: pa.Table, phrases: pa.Table) -> pa.Table:
+        if not table.num_rows or not phrases.num_rows:
+            return pa.table([pa.array([], t) for _, t in _WINDOWS], [n for n, _ in _WINDOWS])
         table = _in_order(table)
-        _, r, place, keys, begin = _candidates(table, answers, window, anchor, parts)
-        own = table.column("doc_id").to_numpy()[r[begin]] if len(begin) else np.zeros(0, np.int64)
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-        more = np.diff(np.append(first, len(keys))) > 1
-        at = _split(keys[first], parts)
-        block = table.column("block")[0].as_py()
-        out = []
-        for p in range(parts):
-            if at[p + 1] > at[p]:
-                f = first[at[p] : at[p + 1]]
-                out.append((p, block, keys[f].tobytes(), own[f].tobytes(), place[begin[f]].astype(np.int32).tobytes(), np.packbits(more[at[p] : at[p + 1]]).tobytes()))
-        return _rows(out, _ASKED)
+        h, r, place = _tokens(table.column("text"))
+        anchors, _ = _anchors(h, r, window, phrase)
+        known = np.sort(phrases.column("phrase").to_numpy().view(np.uint64))
+        begin = np.flatnonzero(anchors != 0)
+        at = np.searchsorted(known, anchors[begin])
+        begin = begin[known[np.minimum(at, len(known) - 1)] == anchors[begin]]
+        k0, k1 = _windows(h, r, window)[begin], _windows(mix(h ^ _SECOND), r, window)[begin]
+        doc, place = table.column("doc_id").to_numpy()[r[begin]], place[begin]
+        order = np.lexsort((place, doc, k1, k0))
+        k0, k1 = k0[order], k1[order]
+        first = np.flatnonzero(np.append(True, (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1]))[: len(k0)])
+        many = np.diff(np.append(first, len(k0))) > 1
+        lead = order[first]
+        block = np.full(len(first), table.column("block")[0].as_py(), np.int32)
+        return pa.table({"k0": k0[first].view(np.int64), "k1": k1[first].view(np.int64), "block": block, "doc": doc[lead], "place": place[lead].astype(np.int32), "many": many})
 
     return run
 
 
-_ASKED = [("part", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("many", pa.binary())]
-
-
-def _answer_windows(ask: pa.Table) -> pa.Table:
-    """For each block's windows: the block of the leader where the window recurs, else -1."""
-    column = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in ask.column(name)]
-    keys, ids, places = column("keys", np.uint64), column("ids", np.int64), column("places", np.int32)
-    many = np.concatenate([_bits(x.as_py(), len(k)) for x, k in zip(ask.column("many"), keys, strict=True)])
-    sizes = np.array([len(k) for k in keys])
-    blocks = np.repeat(np.array(ask.column("block").to_pylist(), np.int32), sizes)
-    flat = np.concatenate(keys)
-    order = np.lexsort((blocks, np.concatenate(places), np.concatenate(ids), flat))
-    lead = np.append(True, flat[order][1:] != flat[order][:-1])
-    group = np.cumsum(lead) - 1
-    first = np.flatnonzero(lead)
-    recurs = (np.diff(np.append(first, len(flat))) > 1) | (np.bincount(group, weights=many[order]) > 0)
-    told = np.empty(len(flat), np.int32)
-    told[order] = np.where(recurs, blocks[order][first], -1)[group]
-    ends = np.cumsum(sizes)
-    out = [(b, p, told[e - n : e].tobytes()) for b, p, e, n in zip(ask.column("block").to_pylist(), ask.column("part").to_pylist(), ends.tolist(), sizes.tolist(), strict=True)]
-    return _rows(out, [("block", pa.int32()), ("part", pa.int32()), ("leader", pa.binary())])
-
-
-_ROUTED = [("shard", pa.int32()), ("passage", pa.bool_()), ("block", pa.int32()), ("row", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.string()), ("size", pa.int64())]
-
-
-def _router(window: int, anchor: int, parts: int):
-    """Passages of the block for its own shard, and its documents' stretches for the shards of their leaders."""
-
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _rows([], _ROUTED)
-        table = _in_order(table)
-        recur = answers.filter(pa.compute.is_valid(answers.column("recur"))).select(["part", "recur"])
-        leaders = answers.filter(pa.compute.is_valid(answers.column("leader"))).select(["part", "leader"])
-        _, r, place, keys, begin = _candidates(table, recur, window, anchor, parts)
-        block = table.column("block")[0].as_py()
-        ids = table.column("doc_id").to_pylist()
-        lead = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-        unique = keys[lead]
-        at = _split(unique, parts)
-        told = np.full(len(unique), -1, np.int32)
-        for part, data in zip(leaders.column("part").to_pylist(), leaders.column("leader").to_pylist(), strict=True):
-            told[at[part] : at[part + 1]] = np.frombuffer(data, np.int32)
-        shard = told[np.cumsum(lead) - 1] if len(keys) else told
-        texts, words_of, out = table.column("text"), {}, []
-
-        def stretches(begin: np.ndarray, shard: np.ndarray, passage: bool):
-            """Windows of one shard that overlap or touch, as one stretch of words."""
-            if not len(begin):
-                return
-            order = np.lexsort((begin, shard))
-            begin, shard = begin[order], shard[order]
-            cut = np.append(True, (shard[1:] != shard[:-1]) | (begin[1:] > begin[:-1] + window) | (r[begin[1:]] != r[begin[:-1]]))[: len(begin)]
-            starts = np.flatnonzero(cut)
-            for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(begin)).tolist(), strict=True):
-                row, a, b = int(r[begin[lo]]), int(place[begin[lo]]), int(place[begin[hi - 1]]) + window
-                if row not in words_of:
-                    words_of[row] = (texts[row].as_py() or "").encode("utf-8", "surrogatepass").split()
-                said = b" ".join(words_of[row][a:b]).decode("utf-8", "surrogatepass")
-                yield int(shard[lo]), passage, block, row, ids[row], a, said, len(said)
-
-        # the first of equal windows in the leader's block is the leader; all others may repeat it
-        for passage in (True, False):
-            live = (shard >= 0) & (lead & (shard == block) if passage else ~(lead & (shard == block)))
-            out += stretches(begin[live], shard[live], passage)
-        return _rows(out, _ROUTED)
-
-    return run
+class Passages:
+    """The passages of a block and the automaton of their pieces.
 
+    Words are numbers in one flat tuple; ``confirmed`` holds the first place in it of each confirmed window, in order.
+    """
 
-def _confirm(window: int):
-    """Streams a shard's stretches through the automaton of its passages."""
-    piece = (window * 3 + 4) // 5
-    stride = window - piece + 1
-
-    def run(table: pa.Table, routed: pa.Table) -> pa.Table:
-        fields = [("block", pa.int32()), ("row", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
-        spell: dict[str, int] = {}
-        passages = []
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        pieces: dict[tuple, list[tuple[int, int]]] = {}
-        for said, doc, start in sorted(zip(*(table.column(c).to_pylist() for c in ("words", "doc_id", "start")), strict=True), key=lambda x: (x[1], x[2])):
-            ids = [spell.setdefault(w, len(spell) + 1) for w in said.split(" ")]
-            for at in range(0, len(ids) - piece + 1, stride):
-                pieces.setdefault(tuple(ids[at : at + piece]), []).append((len(passages), at))
-            passages.append((ids, doc, start))
-        if not pieces or not routed.num_rows:
-            return _rows([], fields)
+    def __init__(self, words: tuple[int, ...], confirmed: np.ndarray, window: int):
+        self.words, self.window = words, window
+        self.piece = (window * 3 + 4) // 5
+        stride = window - self.piece + 1
+        cut = np.flatnonzero(np.append(True, confirmed[1:] != confirmed[:-1] + 1))
+        self.runs = list(zip(confirmed[cut].tolist(), (confirmed[np.append(cut[1:], len(confirmed)) - 1] + window).tolist(), strict=True))
+        pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for number, (lo, hi) in enumerate(self.runs):
+            for at in range(lo, hi - self.piece + 1, stride):
+                pieces.setdefault(words[at : at + self.piece], []).append((number, at))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, places in pieces.items():
-            automaton.add_word(key, places)
-        automaton.make_automaton()
-        out = []
-        for said, doc, start, block, row in zip(*(routed.column(c).to_pylist() for c in ("words", "doc_id", "start", "block", "row")), strict=True):
-            ids = tuple([spell.get(w, 0) for w in said.split(" ")])
-            done: dict[tuple[int, int], int] = {}  # (passage, shift): words of the stretch compared up to here
-            found = []
-            for end, places in automaton.iter(ids):
-                at = end - piece + 1
-                for number, offset in places:
-                    shift = at - offset
-                    if done.get((number, shift), -1) > at:
-                        continue
-                    other, lead, begin = passages[number]
-                    lo, hi = at, end + 1
-                    while lo > 0 and lo - shift > 0 and ids[lo - 1] == other[lo - 1 - shift]:
-                        lo -= 1
-                    while hi < len(ids) and hi - shift < len(other) and ids[hi] == other[hi - shift]:
-                        hi += 1
-                    done[number, shift] = hi
-                    # the same words begin earlier in the passage's document, or earlier in this one
-                    if hi - lo >= window and (lead, begin + lo - shift) < (doc, start + lo):
-                        found.append((start + lo, start + hi))
-            for lo, hi in _merge(found):
-                out.append((block, row, lo, hi))
-        return _rows(out, fields)
-
-    return run
-
-
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
-
-
-def _remover(extra: tuple[str, ...], layout: bool):
-    def run(table: pa.Table, spans: pa.Table) -> pa.Table:
-        table = _in_order(table, extra)
-        by: dict[int, list[tuple[int, int]]] = {}
-        for row, lo, hi in zip(*(spans.column(c).to_pylist() for c in ("row", "lo", "hi")), strict=True):
-            by.setdefault(row, []).append((lo, hi))
-        sizes, removed, kept = [], [], []
+            self.automaton.add_word(key, places)
+        self.automaton.make_automaton()
+
+    def occurrences(self, first: int, last: int):
+        """(lo, hi, shift) of each stretch of a window or more of words[first:last] that equals words[lo - shift : hi - shift] of a passage."""
+        w = self.words
+        done: dict[tuple[int, int], int] = {}  # (passage, shift): compared up to here
+        for end, places in self.automaton.iter(w[first:last]):
+            at = first + end - self.piece + 1
+            for number, other in places:
+                shift = at - other
+                if done.get((number, shift), -1) > at:
+                    continue
+                a, b = self.runs[number]
+                low, high = max(first, a + shift), min(last, b + shift)
+                lo, hi = at, at + self.piece
+                while lo - 16 >= low and w[lo - 16 : lo] == w[lo - 16 - shift : lo - shift]:
+                    lo -= 16
+                while lo > low and w[lo - 1] == w[lo - 1 - shift]:
+                    lo -= 1
+                while hi + 16 <= high and w[hi : hi + 16] == w[hi - shift : hi + 16 - shift]:
+                    hi += 16
+                while hi < high and w[hi] == w[hi - shift]:
+                    hi += 1
+                done[number, shift] = hi
+                if hi - lo >= self.window:
+                    yield lo, hi, shift
+
+
+def _repeated(table: pa.Table, confirmed: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the block whether it goes, and the row of each word."""
+    h, r, place = _tokens(table.column("text"))
+    later = np.zeros(len(h) + 1, np.int32)
+    if confirmed.num_rows and len(h):
+        told = confirmed.column("k0").to_numpy().view(np.uint64)
+        order = np.argsort(told)
+        told, lead_doc, lead_place = told[order], confirmed.column("doc").to_numpy()[order], confirmed.column("place").to_numpy()[order]
+        keys = _windows(h, r, window)
+        at = np.minimum(np.searchsorted(told, keys), len(told) - 1)
+        begin = np.flatnonzero((told[at] == keys) & (keys != 0))
+        _, once = np.unique(at[begin], return_index=True)
+        passages = Passages(tuple((np.unique(h, return_inverse=True)[1] + 1).tolist()), np.sort(begin[once]), window)
+        ids, own = table.column("doc_id").to_numpy(), np.bincount(r, minlength=table.num_rows)
+        last = np.cumsum(own)
+        for row in np.flatnonzero(own >= window).tolist():
+            doc = ids[row]
+            for lo, hi, shift in passages.occurrences(int(last[row] - own[row]), int(last[row])):
+                said = at[lo - shift : hi - shift - window + 1]
+                later[lo : hi - window + 1] |= (lead_doc[said] < doc) | ((lead_doc[said] == doc) & (lead_place[said] < place[lo : hi - window + 1]))
+    # a word goes if one of the windows that cover it does
+    before = np.cumsum(later) - later
+    where = np.arange(len(h))
+    return before[where + 1] > before[np.maximum(where - window + 1, 0)], r
+
+
+def _remover(window: int, names: tuple[str, ...], layout: bool):
+    def run(table: pa.Table, confirmed: pa.Table) -> pa.Table:
+        table = _in_order(table, names)
+        gone, r = _repeated(table, confirmed, window)
+        size = np.bincount(r, minlength=table.num_rows)
+        removed = np.bincount(r, weights=gone, minlength=table.num_rows).astype(np.int64)
+        last, kept = np.cumsum(size), []
         for k, text in enumerate(table.column("text").to_pylist()):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            left, at, gone = [], 0, 0
-            for lo, hi in _merge(by.get(k, [])):
-                left += words[at:lo]
-                at, gone = hi, gone + hi - lo
-            left += words[at:]
-            sizes.append(len(words))
-            removed.append(gone)
-            kept.append(text if layout and not gone else b" ".join(left).decode("utf-8", "surrogatepass"))
-        columns = [table.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *[table.column(c) for c in extra]]
-        return pa.Table.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", *extra])
+            if layout and not removed[k]:
+                kept.append(text)
+                continue
+            words = text.encode("utf-8", "surrogatepass").split()
+            if removed[k]:
+                words = [words[i] for i in np.flatnonzero(~gone[last[k] - size[k] : last[k]]).tolist()]
+            kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+        columns = [table.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *[table.column(c) for c in names]]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", *names])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 7 << 19, shard_bytes: int = SHARD_BYTES, extra: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 7 << 19, extra: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, *extra) of every row's whole text, kept being the words left, joined by one space;
-    with ``layout`` a text of which nothing goes is kept as it is. ``extra`` names further columns to carry along.
+    with ``layout`` a text of which nothing goes is kept as it is. ``extra`` names further columns to carry along, other than these.
 
     A word is a run of characters other than ASCII white space. A word goes if a window of ``window`` words that covers
     it also begins earlier: in a document of smaller doc_id, or earlier in the same one. Windows are judged on the input.
     doc_id is integral; null ids count as the largest. Of rows with equal ids, those of equal text keep one order (the
     place decides), so that equal windows at equal places of them all stay. Null texts have no words; texts of fewer words
-    than a window stay whole.
+    than a window stay whole. Phrases and confirmed windows are written to the shared folder while this is called.
     """
     n_blocks = block_count(docs, block_bytes)
-    parts = max(8, n_blocks // 2)
-    anchor = (window * 3 + 4) // 5
+    phrase = (window * 3 + 4) // 5
     text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), *extra).repartition("block")  # rows without an id or of one id are no single block
-    grouped = own.groupBy("block")
-    asked = grouped.applyInArrow(_ask_anchors(window, anchor, parts), "part int, block int, keys binary, many binary")
-    recur = asked.groupBy("part").applyInArrow(_answer_anchors, "block int, part int, recur binary")
-    wanted = grouped.cogroup(recur.groupBy("block")).applyInArrow(_ask_windows(window, anchor, parts), "part int, block int, keys binary, ids binary, places binary, many binary")
-    told = wanted.groupBy("part").applyInArrow(_answer_windows, "block int, part int, leader binary")
-    both = recur.select("block", "part", "recur", F.lit(None).cast("binary").alias("leader")).unionByName(told.select("block", "part", F.lit(None).cast("binary").alias("recur"), "leader"))
-    routed = grouped.cogroup(both.groupBy("block")).applyInArrow(_router(window, anchor, parts), "shard int, passage boolean, block int, row int, doc_id long, start int, words string, size long")
-    routed = materialise(routed, "repeats-routed")
-    # a shard goes to as many tasks as its stretches fill; its passages go to each
-    share = routed.where("not passage").groupBy("shard").agg(F.ceil(F.sum("size") / shard_bytes).cast("int").alias("n"))
-    dealt = lambda passage: routed.where(F.col("passage") == passage).join(share.withColumnRenamed("shard", "s"), F.col("shard") == F.col("s")).drop("s")
-    stretches = dealt(False).withColumn("salt", F.pmod(F.xxhash64("block", "row", "start"), F.col("n")).cast("int"))
-    passages = dealt(True).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    spans = passages.toDF(*passages.columns).groupBy("shard", "salt").cogroup(stretches.groupBy("shard", "salt")).applyInArrow(_confirm(window), "block int, row int, lo int, hi int")
-    out = grouped.cogroup(spans.groupBy("block")).applyInArrow(_remover(extra, layout), "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")))
+    names = tuple(f"extra{k}" for k in range(len(extra)))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")  # rows without an id or of one id are no single block
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text.alias("text"), block.alias("block"), *[F.col(f"`{c}`").alias(n) for c, n in zip(extra, names, strict=True)])
+    brief = own.select("doc_id", "text", "block").repartition("block").groupBy("block")
+    asked = brief.applyInArrow(_ask_phrases(window, phrase), "phrase long, block int, many boolean")
+    same = Window.partitionBy("phrase")
+    recurs = (F.count("*").over(same) > 1) | F.max("many").over(same)
+    phrases = materialise(asked.withColumn("recurs", recurs).where("recurs").select("block", "phrase"), "repeats-phrases")
+    wanted = brief.cogroup(phrases.groupBy("block")).applyInArrow(_ask_windows(window, phrase), "k0 long, k1 long, block int, doc long, place int, many boolean")
+    same = Window.partitionBy("k0", "k1")
+    led = wanted.withColumn("lead", F.min(F.struct("doc", "place")).over(same)).withColumn("recurs", (F.count("*").over(same) > 1) | F.max("many").over(same))
+    confirmed = materialise(led.where("recurs").select("block", "k0", "lead.doc", "lead.place"), "repeats-windows")
+    discard(phrases)
+    more = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(extra, names, strict=True))
+    out = own.repartition("block").groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(_remover(window, names, layout), "doc_id long, n_words long, n_removed long, kept string" + more)
+    doc_id = F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")).alias("doc_id")
+    return out.select(doc_id, "n_words", "n_removed", "kept", *[F.col(n).alias(c) for c, n in zip(extra, names, strict=True)])
 
 
 def digest(deduplicated: DataFrame) -> DataFrame:

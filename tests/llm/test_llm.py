@@ -273,7 +273,7 @@ def test_remove_repeats(spark, window, blocks):
     rows = [(k, prose(k + 500, 30) + (" " + passage if k % 3 == 0 else "") + " tail " + prose(k + 900, 25)) for k in range(12)]
     rows += [(40, passage), (41, passage + " " + passage), (42, other + "\n" + other + " x " + other), (43, "a b " * 60), (44, prose(77, 70)[:-30]), (12, rows[0][1])]
     rows += ODD + [(None, passage)]
-    got = sorted((tuple(r) for r in repeats.remove_repeats(docs_of(spark, rows), window, blocks, 300).select("doc_id", "n_words", "n_removed", "kept").collect()), key=str)
+    got = sorted((tuple(r) for r in repeats.remove_repeats(docs_of(spark, rows), window, blocks).select("doc_id", "n_words", "n_removed", "kept").collect()), key=str)
     assert got == brute_repeats(rows, window)
 
 
@@ -282,6 +282,22 @@ def test_remove_repeats_of_nothing(spark):
     assert [r.kept for r in repeats.remove_repeats(docs_of(spark, [(1, "x  y")]), layout=True).collect()] == ["x  y"]
 
 
+def test_automata_find_every_occurrence():
+    rng = random.Random(5)
+    for _ in range(40):
+        window, n = rng.choice([4, 5, 7]), 160
+        words_ = tuple(rng.randrange(1, 4) for _ in range(n))
+        first = {}
+        for k in range(100 - window + 1):
+            first.setdefault(words_[k : k + window], k)
+        chosen = {w: k for w, k in first.items() if rng.random() < 0.5}
+        if not chosen:
+            continue
+        found = repeats.Passages(words_, np.array(sorted(chosen.values())), window).occurrences(100, n)
+        seen = {(x, x - shift) for lo, hi, shift in found for x in range(lo, hi - window + 1)}
+        assert seen == {(x, chosen[words_[x : x + window]]) for x in range(100, n - window + 1) if words_[x : x + window] in chosen}
+
+
 # --- pieces
 
 
