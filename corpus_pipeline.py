@@ -10,18 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auroral.llm import decontaminate, near, pieces, quality, repeats
-from auroral.llm.common import materialise
+from auroral.llm.common import discard, materialise
 from auroral.llm.queries import table, tokenizer_path
 
 #: Documents of a lower quality score go.
 MIN_QUALITY = 0.5
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """The rows with columns doc_id, text and the others under names of our own, whatever they are called; and these names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = tuple(f"column{k}" for k in range(len(others)))
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)]), names
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of plain() with the columns of ``docs`` again; n_chars counts the text as it is."""
+    others = iter(f"column{k}" for k in range(len(docs.columns)))
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col(next(others)).alias(c) for c in docs.columns]
+    out = rows.select(*columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
-    weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality", F.lit(True))
-    extra = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.score(docs, weights, extra=extra).where(F.col("score") >= MIN_QUALITY).select(*docs.columns)
+    rows, names = plain(docs)
+    weights = quality.train(rows, table(spark, sf_dir, "labels"), "quality", F.lit(True))
+    kept = quality.score(rows, weights, extra=("text", *names)).where(F.col("score") >= MIN_QUALITY)
+    return named(kept, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,26 +45,26 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Ids may be null or repeated, so rows are compared under a number of their own, written with them so that it stays the same.
     """
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
-    classes = near.similarity_classes(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "class_id")
-    order = rows.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row").alias("__order"))
-    kept = order.join(classes.hint("merge"), "__row").groupBy("class_id").agg(F.min("__order").alias("__order")).select(F.col("__order.__row").alias("__row"))
-    return rows.join(kept.hint("merge"), "__row", "left_semi").select(*docs.columns)
+    rows, names = plain(docs)
+    rows = materialise(rows.withColumn("number", F.monotonically_increasing_id()), "pipeline-rows")
+    classes = near.similarity_classes(rows.select(F.col("number").alias("doc_id"), "text")).select(F.col("doc_id").alias("number"), "class_id")
+    order = rows.select("number", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("doc_id", "text", *names), "number").alias("order"))
+    kept = order.join(classes.hint("merge"), "number").groupBy("class_id").agg(F.min("order").alias("order")).select("order.number")
+    return named(rows.join(kept.hint("merge"), "number", "left_semi"), docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of 20-word windows that begin earlier; a document of which nothing is left goes. Others keep their text as it is."""
-    extra = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = repeats.remove_repeats(docs, window=20, extra=extra, layout=True).where("n_removed = 0 or kept <> ''")
-    return out.select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *extra).select(*docs.columns)
+    rows, names = plain(docs)
+    out = repeats.remove_repeats(rows, window=20, extra=names, layout=True).where("n_removed = 0 or kept <> ''")
+    return named(out.withColumnRenamed("kept", "text"), docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes spans that benchmark items cover; documents that they cover by more than four fifths go."""
-    extra = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=10, extra=extra)
-    out = decontaminate.remove_spans(found, min_words=1, max_coverage=0.8, extra=extra)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows, names = plain(docs)
+    found = decontaminate.scan(rows, table(spark, sf_dir, "benchmark"), window=10, extra=names)
+    return named(decontaminate.remove_spans(found, min_words=1, max_coverage=0.8, extra=names), docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +84,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each result written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        if k:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The trained classifier and the tokenizer have no counterpart in SQL.
