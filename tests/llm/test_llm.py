@@ -527,3 +527,22 @@ def test_near_copies_of_rows_with_null_and_repeated_ids(spark, tmp_path):
         docs = common.materialise(stage(spark, docs, str(tmp_path)), "test")
         assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == sorted((i or 0, t) for i, t in got)
     assert Counter(r.doc_id for r in corpus_pipeline.encode_pieces(spark, docs, str(tmp_path)).collect()) == Counter(i for i, _ in got)
+
+
+def test_pipeline_with_odd_rows_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["score", "__id", "block", "n_words", "kept", "n_removed", "spans", "items", "node", "row", "class_id", "number", "column0", "label", "a.b"]
+    fields = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    rows = [(i, t) for i, t in ODD] + [(None, prose(1, 40)), (None, prose(2, 40)), (5, prose(3, 40)), (5, prose(4, 40)), (6, prose(4, 40))]
+    spark.createDataFrame([(5, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "w1 w2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some in (rows, []):
+        docs = spark.createDataFrame([(i, t, len(t or ""), *[f"{c}!" for c in names]) for i, t in some], fields)
+        before = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.materialise(stage(spark, docs, str(tmp_path)), "test")
+            assert docs.columns == before
+            assert all(r[c] == f"{c}!" for r in docs.collect() for c in names)
+        assert docs.count() == (9 if some else 0)  # null, empty and blank texts are one class, and so are the rows of prose(4)
+        assert corpus_pipeline.encode_pieces(spark, docs, str(tmp_path)).count() == docs.count()
