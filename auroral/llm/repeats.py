@@ -11,7 +11,7 @@ occurs there.
    those that occur more than once are confirmed, and each block with such a
    window learns its leader, the first place of all.
 3. Location. Runs of a block's confirmed windows are its passages. A
-   pyahocorasick automaton over word ids holds pieces of them, so placed that every
+   pyahocorasick automaton over word numbers holds pieces of them, so placed that every
    window contains a whole piece; there is one automaton for each block, so none is
    larger than a block. All words of all its documents are streamed through it;
    each piece found is extended in both directions, which gives every occurrence
@@ -20,6 +20,8 @@ occurs there.
 
 from __future__ import annotations
 
+import math
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -124,33 +126,47 @@ def _ask_windows(window: int, phrase: int):
     return run
 
 
+def _spelled(numbers: np.ndarray) -> str:
+    """Each number as three characters, whose places have alphabets of their own: an automaton's node then has few children, and matches begin at words."""
+    base = max(2, math.ceil((int(numbers.max(initial=0)) + 1) ** (1 / 3)))
+    places = np.stack([numbers // (base * base), base + numbers // base % base, 2 * base + numbers % base], axis=1)
+    return (places.ravel() + 0x100).astype("<u4").tobytes().decode("utf-32-le")
+
+
 class Passages:
     """The passages of a block and the automaton of their pieces.
 
-    Words are numbers in one flat tuple; ``confirmed`` holds the first place in it of each confirmed window, in order.
+    ``words`` are all words of the block as numbers; ``confirmed`` holds the first place of each confirmed window, in order.
     """
 
-    def __init__(self, words: tuple[int, ...], confirmed: np.ndarray, window: int):
-        self.words, self.window = words, window
+    def __init__(self, words: np.ndarray, confirmed: np.ndarray, window: int):
+        self.window = window
         self.piece = (window * 3 + 4) // 5
         stride = window - self.piece + 1
         cut = np.flatnonzero(np.append(True, confirmed[1:] != confirmed[:-1] + 1))
-        self.runs = list(zip(confirmed[cut].tolist(), (confirmed[np.append(cut[1:], len(confirmed)) - 1] + window).tolist(), strict=True))
-        pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        lows, highs = confirmed[cut], confirmed[np.append(cut[1:], len(confirmed)) - 1] + window
+        self.runs = list(zip(lows.tolist(), highs.tolist(), strict=True))
+        inside = np.zeros(len(words) + 1, np.int64)
+        np.add.at(inside, lows, 1)
+        np.add.at(inside, highs, -1)
+        known = np.unique(words[np.cumsum(inside[:-1]) > 0])
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        self.text = _spelled(np.where(known[at] == words, at + 1, 0))  # words of no passage are all 0
+        pieces: dict[str, list[tuple[int, int]]] = {}
         for number, (lo, hi) in enumerate(self.runs):
             for at in range(lo, hi - self.piece + 1, stride):
-                pieces.setdefault(words[at : at + self.piece], []).append((number, at))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                pieces.setdefault(self.text[3 * at : 3 * (at + self.piece)], []).append((number, at))
+        self.automaton = ahocorasick.Automaton()
         for key, places in pieces.items():
             self.automaton.add_word(key, places)
         self.automaton.make_automaton()
 
     def occurrences(self, first: int, last: int):
         """(lo, hi, shift) of each stretch of a window or more of words[first:last] that equals words[lo - shift : hi - shift] of a passage."""
-        w = self.words
+        t = self.text
         done: dict[tuple[int, int], int] = {}  # (passage, shift): compared up to here
-        for end, places in self.automaton.iter(w[first:last]):
-            at = first + end - self.piece + 1
+        for end, places in self.automaton.iter(t[3 * first : 3 * last]):
+            at = first + (end + 1) // 3 - self.piece
             for number, other in places:
                 shift = at - other
                 if done.get((number, shift), -1) > at:
@@ -158,14 +174,12 @@ class Passages:
                 a, b = self.runs[number]
                 low, high = max(first, a + shift), min(last, b + shift)
                 lo, hi = at, at + self.piece
-                while lo - 16 >= low and w[lo - 16 : lo] == w[lo - 16 - shift : lo - shift]:
-                    lo -= 16
-                while lo > low and w[lo - 1] == w[lo - 1 - shift]:
-                    lo -= 1
-                while hi + 16 <= high and w[hi : hi + 16] == w[hi - shift : hi + 16 - shift]:
-                    hi += 16
-                while hi < high and w[hi] == w[hi - shift]:
-                    hi += 1
+                for step in (32, 4, 1):
+                    while lo - step >= low and t[3 * (lo - step) : 3 * lo] == t[3 * (lo - step - shift) : 3 * (lo - shift)]:
+                        lo -= step
+                for step in (256, 32, 4, 1):
+                    while hi + step <= high and t[3 * hi : 3 * (hi + step)] == t[3 * (hi - shift) : 3 * (hi + step - shift)]:
+                        hi += step
                 done[number, shift] = hi
                 if hi - lo >= self.window:
                     yield lo, hi, shift
@@ -175,7 +189,7 @@ def _repeated(table: pa.Table, confirmed: pa.Table, window: int) -> tuple[np.nda
     """For each word of the block whether it goes, and the row of each word."""
     h, r, place = _tokens(table.column("text"))
     later = np.zeros(len(h) + 1, np.int32)
-    if confirmed.num_rows and len(h):
+    if confirmed.num_rows and len(h) >= window:
         told = confirmed.column("k0").to_numpy().view(np.uint64)
         order = np.argsort(told)
         told, lead_doc, lead_place = told[order], confirmed.column("doc").to_numpy()[order], confirmed.column("place").to_numpy()[order]
@@ -183,7 +197,7 @@ def _repeated(table: pa.Table, confirmed: pa.Table, window: int) -> tuple[np.nda
         at = np.minimum(np.searchsorted(told, keys), len(told) - 1)
         begin = np.flatnonzero((told[at] == keys) & (keys != 0))
         _, once = np.unique(at[begin], return_index=True)
-        passages = Passages(tuple((np.unique(h, return_inverse=True)[1] + 1).tolist()), np.sort(begin[once]), window)
+        passages = Passages(h, np.sort(begin[once]), window)
         ids, own = table.column("doc_id").to_numpy(), np.bincount(r, minlength=table.num_rows)
         last = np.cumsum(own)
         for row in np.flatnonzero(own >= window).tolist():

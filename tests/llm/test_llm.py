@@ -293,7 +293,7 @@ def test_automata_find_every_occurrence():
         chosen = {w: k for w, k in first.items() if rng.random() < 0.5}
         if not chosen:
             continue
-        found = repeats.Passages(words_, np.array(sorted(chosen.values())), window).occurrences(100, n)
+        found = repeats.Passages(np.array(words_, np.uint64), np.array(sorted(chosen.values())), window).occurrences(100, n)
         seen = {(x, x - shift) for lo, hi, shift in found for x in range(lo, hi - window + 1)}
         assert seen == {(x, chosen[words_[x : x + window]]) for x in range(100, n - window + 1) if words_[x : x + window] in chosen}
 
