@@ -37,7 +37,7 @@ class Settings:
     band_rows: int = 6
     compare: tuple[int, ...] = (16, 32, 64, 128)
     tolerance: float = 1e-7
-    chunk_nodes: int = 512
+    chunk_nodes: int = 2048
     chunk_shingles: int = 1 << 20
     task_shingles: int = 1 << 19
 
