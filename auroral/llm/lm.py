@@ -4,8 +4,10 @@ Documents are dealt into blocks of bounded size. A block sends its distinct
 n-grams and their counts to the count table, which is partitioned by n-gram hash;
 the table adds up the blocks' counts and answers each block, in the order in which
 it asked; the block joins the answers to its documents' n-grams and sums the
-scores of each document. A frequent n-gram is one row of a block however often
-the block holds it, so it makes no partition large.
+scores of each document. A frequent n-gram is asked for once by a block however
+often the block holds it, so it makes no partition large. N-grams of one block and
+one part of the table travel in one row of the two; a part of which a block has
+none gets no row, so that there are never more rows than n-grams.
 """
 
 from __future__ import annotations
@@ -49,6 +51,11 @@ def _split(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
+def _rows(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
 def _asker(order: int, parts: int, counted: bool):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -57,20 +64,16 @@ def _asker(order: int, parts: int, counted: bool):
         for k, keys in enumerate(grams):
             unique, count = np.unique(keys[keys != 0], return_counts=True)
             at = _split(unique, parts)
-            for p in range(parts):
+            for p in np.flatnonzero(np.diff(at)).tolist():
                 own = slice(at[p], at[p + 1])
-                if k == 0 or at[p + 1] > at[p]:
-                    tally = count[own].astype(np.uint32).tobytes() if counted else b""
-                    out.append((p, block, k + 1, len(rows) if counted and k == 0 else 0, unique[own].tobytes(), tally))
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "block", "k", "tokens", "keys", "counts"])
+                out.append((p, block, k + 1, unique[own].tobytes(), count[own].astype(np.uint32).tobytes() if counted else b""))
+        return _rows(out, [("part", pa.int32()), ("block", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     return run
 
 
 def _table(ask: pa.Table) -> pa.Table:
     """The counts of one part's n-grams over all blocks, for each block that asked."""
-    tokens = sum(ask.column("tokens").to_pylist())
     orders = np.array(ask.column("k").to_pylist())
     out = []
     for k in sorted(set(orders.tolist())):
@@ -78,23 +81,22 @@ def _table(ask: pa.Table) -> pa.Table:
         keys = [np.frombuffer(ask.column("keys")[i].as_py(), np.uint64) for i in own]
         counts = [np.frombuffer(c, np.uint32) if (c := ask.column("counts")[i].as_py()) else np.zeros(len(x), np.uint32) for i, x in zip(own, keys, strict=True)]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts))[at] if len(at) else np.zeros(0)
+        total = np.bincount(at, weights=np.concatenate(counts))[at].astype(np.uint64)
+        wide = bool(total.max() >= 1 << 32)
+        told = total if wide else total.astype(np.uint32)
         ends = np.cumsum([len(x) for x in keys])
         for i, end, x in zip(own, ends, keys, strict=True):
-            out.append((ask.column("block")[i].as_py(), ask.column("part")[i].as_py(), k, tokens, total[end - len(x) : end].astype(np.uint64).tobytes() if total.max(initial=0) >= 1 << 32 else total[end - len(x) : end].astype(np.uint32).tobytes(), bool(total.max(initial=0) >= 1 << 32)))
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "part", "k", "tokens", "counts", "wide"])
+            out.append((ask.column("block")[i].as_py(), ask.column("part")[i].as_py(), k, told[end - len(x) : end].tobytes(), wide))
+    return _rows(out, [("block", pa.int32()), ("part", pa.int32()), ("k", pa.int32()), ("counts", pa.binary()), ("wide", pa.bool_())])
 
 
-def _scorer(order: int, min_count: int, alpha: float):
+def _scorer(order: int, min_count: int, alpha: float, tokens: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         grams, rows = _grams(table.column("text"), order)
         n = table.num_rows
         by: dict[int, list[tuple[int, np.ndarray]]] = {k: [] for k in range(1, order + 1)}
-        tokens = 0
-        for part, k, total, data, wide in zip(*(answers.column(c).to_pylist() for c in ("part", "k", "tokens", "counts", "wide")), strict=True):
+        for part, k, data, wide in zip(*(answers.column(c).to_pylist() for c in ("part", "k", "counts", "wide")), strict=True):
             by[k].append((part, np.frombuffer(data, np.uint64 if wide else np.uint32)))
-            tokens = max(tokens, total)
         counts = []
         for k, keys in enumerate(grams):
             unique, at = np.unique(keys, return_inverse=True)
@@ -143,15 +145,17 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, min_
         return df.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("block")).repartition("block")
 
     own = blocks(docs, n_blocks)
-    ask = "part int, block int, k int, tokens long, keys binary, counts binary"
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    tokens = (docs if corpus is None else corpus).agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
+    ask = "part int, block int, k int, keys binary, counts binary"
     asked = own.groupBy("block").applyInArrow(_asker(order, parts, corpus is None), ask)
     if corpus is not None:
         told = blocks(corpus.select("doc_id", "text"), block_count(corpus, block_bytes)).groupBy("block").applyInArrow(_asker(order, parts, True), ask)
         asked = asked.unionByName(told.withColumn("block", -1 - F.col("block")))
-    answers = asked.groupBy("part").applyInArrow(_table, "block int, part int, k int, tokens long, counts binary, wide boolean")
+    answers = asked.groupBy("part").applyInArrow(_table, "block int, part int, k int, counts binary, wide boolean")
     if corpus is not None:
         answers = answers.where("block >= 0")
-    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(order, min_count, alpha), f"doc_id {kind}, n_words long, log_score double")
+    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(order, min_count, alpha, tokens), f"doc_id {kind}, n_words long, log_score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
