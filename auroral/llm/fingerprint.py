@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import materialise, text_bytes
 
 _PAIR = 0x0000000100000001
 SHORT_CHARS = 400
@@ -108,11 +108,13 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
 
 
-def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
-    """For each row of (doc_id, text): n_chars, edited_sha256, fingerprint, edited_fingerprint (16 hex digits), near_edited, near_next.
+def fingerprint_with_edits(docs: DataFrame, radius: int = 3, every: int = 100) -> DataFrame:
+    """For each row of (doc_id, text): n_chars, edited_sha256, fingerprint, edited_fingerprint (16 hex digits), near_edited, near_next, n_near.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the next document.
-    Each distinct text is fingerprinted once. Repeated rows each give a row; null texts are empty.
+    Each distinct text is fingerprinted once. n_near is given for rows whose doc_id is divisible by ``every`` (null for
+    others): how many other rows have a fingerprint within ``radius`` bits of this one's, by within_radius(). Repeated rows
+    each give a row; null texts are empty.
     """
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
@@ -122,15 +124,27 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     prints = simhash(both, ["k0", "k1"])
     named = lambda p: prints.select(F.col("k0").alias(f"{p}0"), F.col("k1").alias(f"{p}1"), F.col("fp").alias(f"{p}_fp"))
     out = keyed.drop("text", "edited").join(named("t"), ["t0", "t1"]).join(named("e"), ["e0", "e1"]).join(named("n"), ["n0", "n1"])
+    out = materialise(out.select("doc_id", "n_chars", "edited_sha256", "t_fp", "e_fp", "n_fp"), "simhash-prints")
+    asks = F.col("doc_id") % every == 0
+    rows = out.groupBy(F.col("t_fp").alias("fp")).agg(F.count("*").alias("rows"))
+    found = within_radius(out.where(asks).select(F.col("t_fp").alias("fp")), rows, radius, carry=("rows",))
+    n_near = found.groupBy("query_fp").agg((F.sum("rows") - 1).alias("n_near"))
+    told = out.where(asks).join(n_near.hint("merge"), F.col("t_fp") == F.col("query_fp")).drop("query_fp")
+    told = told.unionByName(out.where(~F.coalesce(asks, F.lit(False))).withColumn("n_near", F.lit(None).cast("long")))
     spell = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return out.select("doc_id", "n_chars", "edited_sha256", spell("t_fp").alias("fingerprint"), spell("e_fp").alias("edited_fingerprint"), likeness(F.col("t_fp"), F.col("e_fp")).alias("near_edited"), likeness(F.col("t_fp"), F.col("n_fp")).alias("near_next"))
+    return told.select("doc_id", "n_chars", "edited_sha256", spell("t_fp").alias("fingerprint"), spell("e_fp").alias("edited_fingerprint"), likeness(F.col("t_fp"), F.col("e_fp")).alias("near_edited"), likeness(F.col("t_fp"), F.col("n_fp")).alias("near_next"), "n_near")
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(query_fp, fp, distance) for all distinct fingerprints of ``prints`` within ``radius`` bits of a distinct one of ``queries``.
+#: Rows of prints that share a key of a block table are dealt out to so many tasks.
+SALTS = 8
 
-    Both have a long column fp; rows with null are left out. No fingerprint is missed: there is a table for every choice
-    of ``blocks - radius`` blocks, and a pair is returned by the first table in which it meets.
+
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 6, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_fp, fp, distance, *carry) for all distinct fingerprints of ``prints`` within ``radius`` bits of a distinct one of ``queries``.
+
+    Both have a long column fp; rows with null are left out. ``carry`` names columns of ``prints``, which then has one row
+    for each fp. No fingerprint is missed: there is a table for every choice of ``blocks - radius`` blocks, and a pair is
+    returned by the first table in which it meets.
     """
     if not 0 <= radius < blocks <= 64:
         raise ValueError("0 <= radius < blocks <= 64")
@@ -138,10 +152,13 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks
     masks = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(blocks)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     tables = [signed(sum(masks[k] for k in keep)) for keep in combinations(range(blocks), blocks - radius)]
-    spread = lambda df, name: df.where("fp is not null").select(F.col("fp").alias(name)).distinct().select(name, F.posexplode(F.array(*[F.col(name).bitwiseAND(F.lit(m)) for m in tables])).alias("table", "key"))
     masks_sql = F.array(*[F.lit(m) for m in tables])
+    keys = lambda fp: F.posexplode(F.array(*[F.col(fp).bitwiseAND(F.lit(m)) for m in tables])).alias("table", "key")
+    asked = queries.where("fp is not null").select(F.col("fp").alias("query_fp")).distinct()
+    left = asked.select("query_fp", keys("query_fp")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = prints.where("fp is not null").select("fp", *carry)
+    right = (held if carry else held.distinct()).select("fp", *carry, keys("fp"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
     differs = F.col("query_fp").bitwiseXOR(F.col("fp"))
     first = F.array_position(F.transform(masks_sql, lambda m: differs.bitwiseAND(m) == 0), True)
-    left, right = spread(queries, "query_fp"), spread(prints, "fp")
-    met = left.join(right, (left["table"] == right["table"]) & (left["key"] == right["key"]) & (F.bit_count(differs) <= radius) & (first == left["table"] + 1))
-    return met.select("query_fp", "fp", F.bit_count(differs).alias("distance"))
+    met = left.join(right.hint("merge"), (left["table"] == right["table"]) & (left["key"] == right["key"]) & (left["salt"] == right["salt"]) & (F.bit_count(differs) <= radius) & (first == left["table"] + 1))
+    return met.select("query_fp", "fp", F.bit_count(differs).alias("distance"), *carry)

@@ -358,6 +358,7 @@ def brute_fp(text):
 
 def test_fingerprints(spark):
     rows = [(k, prose(k, 5 + 9 * k)) for k in range(12)] + ODD + [(None, "null id"), (950, "same id"), (950, "same  id"), (960, "exact"), (961, "exact")]
+    rows += [(1000, prose(5, 400)), (1001, prose(5, 400) + " more"), (1100, prose(5, 400)), (1002, prose(5, 400)[:-3])]
     got = fingerprint.fingerprint_with_edits(docs_of(spark, rows)).collect()
     order = sorted(((i, t or "") for i, t in rows), key=lambda x: (-(x[0] if x[0] is not None else -1), x[1]))
     want = []
@@ -366,8 +367,10 @@ def test_fingerprints(spark):
         cut = len(t) // 3
         edited = t[: len(t) - cut] + after[:cut]
         a, b, c = brute_fp(t), brute_fp(edited), brute_fp(after)
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{a:016x}", f"{b:016x}", 1 - (a ^ b).bit_count() / 64, 1 - (a ^ c).bit_count() / 64))
+        near_ = sum((a ^ brute_fp(other)).bit_count() <= 3 for _, other in order) - 1 if i is not None and i % 100 == 0 else None
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{a:016x}", f"{b:016x}", 1 - (a ^ b).bit_count() / 64, 1 - (a ^ c).bit_count() / 64, near_))
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    assert max(r.n_near for r in got if r.doc_id == 1000) >= 1
     assert fingerprint.fingerprint_with_edits(docs_of(spark, [])).count() == 0
 
 
