@@ -187,14 +187,16 @@ def fir_normalised(spark, sf_dir):
     return s.with_columns(z=convolution.normalise(s, "y", "gradient")).df.select("event_id", r6("z").alias("y"))
 
 
-_T = "lag(value, 6) OVER w AS x3, lag(value, 4) OVER w AS x2, lag(value, 2) OVER w AS x1, value AS x0, row_number() OVER w AS rn"
+_T = ", ".join(f"lag(value, {2 * k}) OVER w AS x{k}" for k in range(5)) + ", row_number() OVER w AS rn"
+_S = ", ".join(f"sqrt((x{k + 1} - x{k}) ** 2 + (x{k + 2} - x{k + 1}) ** 2) AS s{k}" for k in range(3))
+_A = ", ".join(f"acos(greatest(-1, least(1, CASE WHEN s{k} > 1e-10 AND s{k + 1} > 1e-10 THEN ((x{k + 1} - x{k}) * (x{k + 2} - x{k + 1}) + (x{k + 2} - x{k + 1}) * (x{k + 3} - x{k + 2})) / (s{k} * s{k + 1}) ELSE 0 END))) AS a{k}" for k in range(2))
 
 
-@query(f"""{EV}, l AS (SELECT event_id, {_T} FROM ev {W}),
-g AS (SELECT event_id, rn, sqrt((x1 - x0) ** 2 + (x2 - x1) ** 2) AS s1, sqrt((x2 - x1) ** 2 + (x3 - x2) ** 2) AS s2, sqrt((x2 - x0) ** 2 + (x3 - x1) ** 2) AS whole FROM l)
-SELECT event_id, CASE WHEN rn > 6 THEN round(greatest(s1, s2), 6) END AS jump_mag, CASE WHEN rn > 6 THEN round(CASE WHEN s1 + s2 > 0 THEN whole / (s1 + s2) ELSE 0 END, 6) END AS path_eff, CASE WHEN rn > 6 THEN 0.0::DOUBLE END AS turn_var FROM g""")
+@query(f"""{EV}, l AS (SELECT event_id, {_T} FROM ev {W}), g AS (SELECT *, {_S}, sqrt((x3 - x0) ** 2 + (x4 - x1) ** 2) AS whole FROM l), t AS (SELECT *, {_A} FROM g)
+SELECT event_id, CASE WHEN rn > 8 THEN round(greatest(s0, s1, s2), 6) END AS jump_mag, CASE WHEN rn > 8 THEN round(CASE WHEN s0 + s1 + s2 > 0 THEN whole / (s0 + s1 + s2) ELSE 0 END, 6) END AS path_eff,
+CASE WHEN rn > 8 THEN round((a0 - a1) ** 2 / 4, 6) END AS turn_var FROM t""")
 def takens_traj(spark, sf_dir):
-    s = convolution.add_takens_features(ev(spark, sf_dir), "value", 4, 2)
+    s = convolution.add_takens_features(ev(spark, sf_dir), "value", 5, 2)
     return s.df.select("event_id", *[r6(f"value_embedding_2d_{f}").alias(f) for f in ("jump_mag", "path_eff", "turn_var")])
 
 
@@ -214,12 +216,12 @@ def pairs_2d(spark, sf_dir):
     return rows.select("vec_id", F.size("p").cast("long").alias("n_pairs"), F.col("p")[0]["x"].alias("x0"), F.col("p")[0]["y"].alias("y0"), F.element_at("p", -1)["y"].alias("y_last"))
 
 
-@query(f"""{EV}, l AS (SELECT event_id, rn, vs FROM (SELECT event_id, row_number() OVER w AS rn, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 3 PRECEDING) AS vs, 0 AS z FROM ev {W}))
-SELECT event_id, round(list_sum(vs), 4) AS total, len(vs) AS size FROM l WHERE rn % 10 = 0""")
+@query(f"""{EV}, l AS (SELECT event_id, rn, vs FROM (SELECT event_id, row_number() OVER w AS rn, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 50 PRECEDING) AS vs, 0 AS z FROM ev {W}))
+SELECT event_id, round(list_sum(vs), 4) AS total, len(vs) AS size FROM l""")
 def shape_snapshot(spark, sf_dir):
     s = ev(spark, sf_dir)
-    s = s.with_columns(p=F.array(F.col("value")), rn=s.row_number())
-    out = convolution.shape_snapshots(s, "p", F.col("rn") % 10 == 0, 3)
+    s = s.with_columns(p=F.array(F.col("value")))
+    out = convolution.shape_snapshots(s, "p", F.lit(True))
     return out.df.select("event_id", F.round(F.aggregate("p_snapshot", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("p_snapshot").cast("long").alias("size"))
 
 
@@ -708,15 +710,86 @@ def contributions(spark, sf_dir):
     return model.path_contributions(fitted, rows, names).select("hour", "bias", "contributions")
 
 
+#: A stand-in for each measured column, over the columns of ``hr``.
+STAND_INS = {
+    features.SPEED: "v", features.DENSITY: "n + v / 977", features.TEMPERATURE: "v * 100 + n", features.BETA: "n / v", features.BX: "bx", features.BY: '"by"', features.BZ: "bz + v / 9973", features.B: "abs(bx) + v / 1000",
+    features.PRESSURE: "n / 10 + v / 991", features.FIELD: "v * bz * -1e-3", features.ALPHA: "ae / 1000 + v / 983", features.DST: "dst", features.AE: "ae",
+}
+
+
+def measured(spark: SparkSession, sf_dir: str) -> Series:
+    rows = hr(spark, sf_dir).df
+    return Series(rows.select("hour", *[F.expr(e.replace('"', "`")).alias(c) for c, e in STAND_INS.items()]), ("hour",))
+
+
+def _domain_sql(specs: tuple[features.Derived, ...]) -> str:
+    """The features of domain() in SQL: deviation, median, trend, embedding and convolution of each column, then their lags."""
+    ctes, columns, lags = [], [], []
+    values = ", ".join(f"CAST({STAND_INS[d.column]} AS DOUBLE) AS c{i}" for i, d in enumerate(specs))
+    ctes.append(f"x AS (SELECT hour, row_number() OVER (ORDER BY hour) - 1 AS rn, {values} FROM hr)")
+    sofar, joins, delays = "(ORDER BY rn ROWS UNBOUNDED PRECEDING)", [], []
+    for i, d in enumerate(specs):
+        name, c = features.plain(d.column), f"c{i}"
+        if d.window:
+            last = f"(ORDER BY rn ROWS {d.window - 1} PRECEDING)"
+            for label, near, far in (("std", f"stddev_samp({c})", f"stddev_samp({c})"), ("rolling_median", f"quantile_cont({c}, 0.5)", f"avg({c})")):
+                columns.append((f"{name}_{label}_{d.window}r", f"coalesce(CASE WHEN count({c}) OVER {last} >= 3 THEN {near} OVER {last} END, CASE WHEN count({c}) OVER {sofar} >= 3 THEN {far} OVER {sofar} END)"))
+            step = strided.stride(d.window, d.overlap)
+            ctes += [
+                f"w{i} AS (SELECT unnest(range(CAST(greatest(ceil((rn - {d.window - 1}) / {step}.0), 0) AS BIGINT), CAST(floor(rn / {step}.0) AS BIGINT) + 1)) AS k, {c} AS x, rn FROM x)",
+                f"g{i} AS (SELECT k, list(x) FILTER (x IS NOT NULL) AS v, max(rn) AS e FROM w{i} GROUP BY k HAVING count(x) >= 3)",
+                f"p{i} AS (SELECT k, e, v, lag(v) OVER (ORDER BY k) AS u FROM g{i})",
+                f"m{i} AS (SELECT k, e, x, sum(m) AS m FROM (SELECT k, e, unnest(v) AS x, 1.0::DOUBLE / len(v) AS m FROM p{i} WHERE u IS NOT NULL UNION ALL SELECT k, e, unnest(u), -1.0::DOUBLE / len(u) FROM p{i} WHERE u IS NOT NULL) GROUP BY ALL)",
+                f"d{i} AS (SELECT k, e, sum(abs(s) * coalesce(gap, 0)) AS d FROM (SELECT k, e, sum(m) OVER (PARTITION BY k ORDER BY x) AS s, lead(x) OVER (PARTITION BY k ORDER BY x) - x AS gap FROM m{i}) GROUP BY ALL)",
+                f"b{i} AS (SELECT e, arg_max(d, k) AS d FROM d{i} GROUP BY e)",
+                f"""t{i} AS (SELECT rn, CASE WHEN n1 = n0 THEN w0 ELSE w0 + (w1 - w0) * (rn - n0) / (n1 - n0) END AS d FROM (SELECT x.rn, last_value(d IGNORE NULLS) OVER b AS w0, first_value(d IGNORE NULLS) OVER a AS w1,
+ last_value(CASE WHEN d IS NOT NULL THEN x.rn END IGNORE NULLS) OVER b AS n0, first_value(CASE WHEN d IS NOT NULL THEN x.rn END IGNORE NULLS) OVER a AS n1 FROM x LEFT JOIN b{i} ON x.rn = b{i}.e
+ WINDOW b AS (ORDER BY x.rn ROWS UNBOUNDED PRECEDING), a AS (ORDER BY x.rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))""",
+            ]
+            joins.append(f"JOIN t{i} USING (rn)")
+            columns.append((strided.cdf_trend_name(name, d.window), f"t{i}.d"))
+            lags += [(f"{f}_lag_{k}", f'lag("{f}", {k}) OVER (ORDER BY rn)') for f, _ in columns[-3:] for k in d.rolled]
+        if d.takens:
+            m, tau = d.takens
+            y = [f"y{i}_{k}" for k in range(m)]
+            delays += [f"lag({c}, {k * tau}) OVER (ORDER BY rn) AS {y[k]}" for k in range(m)]
+            norm = [f"sqrt(({y[k + 1]} - {y[k]}) ** 2 + ({y[k + 2]} - {y[k + 1]}) ** 2)" for k in range(m - 2)]
+            ready = " AND ".join(f"{v} IS NOT NULL" for v in y)
+            turns = [f"CASE WHEN {norm[k]} > 1e-10 AND {norm[k + 1]} > 1e-10 THEN acos(greatest(-1, least(1, (({y[k + 1]} - {y[k]}) * ({y[k + 2]} - {y[k + 1]}) + ({y[k + 2]} - {y[k + 1]}) * ({y[k + 3]} - {y[k + 2]})) / ({norm[k]} * {norm[k + 1]})))) ELSE acos(0) END" for k in range(m - 3)]
+            total = " + ".join(norm)
+            span = f"sqrt(({y[m - 2]} - {y[0]}) ** 2 + ({y[m - 1]} - {y[1]}) ** 2)"
+            for label, value in (("jump_mag", f"greatest({', '.join(norm)})"), ("path_eff", f"CASE WHEN {total} > 0 THEN {span} / ({total}) ELSE 0 END"), ("turn_var", f"list_var_pop([{', '.join(turns)}])")):
+                columns.append((f"{name}_embedding_2d_{label}", f"CASE WHEN {ready} THEN {value} END"))
+        for kind in d.kernels:
+            coefficients, scale = convolution.KERNELS[kind]
+            terms = " + ".join(f"({v / scale!r}::DOUBLE) * lag({c}, {j}, 0.0) OVER (ORDER BY rn)" for j, v in enumerate(reversed(coefficients)))
+            columns.append((f"conv_{kind}_{convolution.clean_name(name)}", terms))
+        lags += [(f"{name}_lag_{k}", f"lag({c}, {k}) OVER (ORDER BY rn)") for k in d.own]
+    ctes.append(f"y AS (SELECT *{''.join(', ' + v for v in delays)} FROM x)")
+    ctes.append("f AS (SELECT hour, rn, " + ", ".join(f"c{i}" for i in range(len(specs))) + ", " + ", ".join(f'{e} AS "{n}"' for n, e in columns) + f" FROM y {' '.join(joins)})")
+    shown = [(n, f'"{n}"') for n, _ in columns] + lags
+    return f"{HR}, {', '.join(ctes)} SELECT hour, " + ", ".join(f'round({e}, 4) AS "{n}"' for n, e in shown) + " FROM f"
+
+
+def _domain(specs: tuple[features.Derived, ...]):
+    def run(spark, sf_dir):
+        base = measured(spark, sf_dir)
+        base = Series(features.undotted(base.df), base.order_by)
+        out = features.domain(base, specs).df
+        return out.select("hour", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in out.columns if c not in base.df.columns])
+
+    return run
+
+
+for _name, _specs in (("solar", features.SOLAR), ("magnetic", features.MAGNETIC), ("others", features.OTHERS)):
+    _QUERIES[f"features_{_name}"], _SQL[f"features_{_name}"] = _domain(_specs), _domain_sql(_specs)
+
+
 @query()
 def feature_pipeline(spark, sf_dir):
-    """The flagship: all feature domains on a stand-in series of hours."""
-    base = hr(spark, sf_dir).df
-    named = base.select(
-        "hour", F.col("v").alias(features.SPEED), F.col("n").alias(features.DENSITY), F.col("bx").alias(features.BX), F.col("by").alias(features.BY), F.col("bz").alias(features.BZ), F.abs("bx").alias(features.B),
-        F.col("dst").alias(features.DST), F.col("ae").alias(features.AE), (F.col("v") * 100).alias(features.TEMPERATURE), (F.col("n") / 10).alias(features.PRESSURE), (F.col("v") * F.col("bz") * -1e-3).alias(features.FIELD), (F.col("n") / F.col("v")).alias(features.BETA), (F.col("ae") / 1000).alias(features.ALPHA),
-    )
-    return features.compute_features(Series(named, ("hour",))).df
+    """The flagship: states and all feature domains on a stand-in series of hours, with the target four hours ahead."""
+    df = features.forecast_frame(measured(spark, sf_dir)).df
+    return features.undotted(df)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

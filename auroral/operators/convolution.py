@@ -124,9 +124,16 @@ def pairs_2d(name: str) -> Column:
     return F.zip_with(F.slice(a, 1, n), F.slice(F.concat(a, F.array(null)), 2, n), pair)
 
 
-def trajectory_features(values: list[Column], name: str, all_features: bool = False) -> dict[str, Column]:
+def path_lengths(values: list[Column]) -> list[Column]:
+    """Lengths of the segments of the path through the consecutive pairs of the values."""
+    return [F.sqrt((b - a) * (b - a) + (c - b) * (c - b)) for a, b, c in zip(values[:-2], values[1:-1], values[2:], strict=True)]
+
+
+def trajectory_features(values: list[Column], name: str, all_features: bool = False, norms: list[Column] | None = None) -> dict[str, Column]:
     """Of the path through the consecutive pairs of m values: longest segment, straightness, variance of turning angles.
 
+    ``norms`` are columns that hold path_lengths() already; every use of an expression would be planned anew.
+
     With ``all_features`` also aspect ratio of the bounding box, compactness (area by the shoelace rule over perimeter
     squared, times 4 pi) and the variance of segments relative to their mean.
     """
@@ -136,7 +143,7 @@ def trajectory_features(values: list[Column], name: str, all_features: bool = Fa
         zero = F.when(functools.reduce(operator.and_, [v.isNotNull() for v in values]), F.lit(0.0))
         return {f"{name}_jump_mag": zero, f"{name}_path_eff": zero, f"{name}_turn_var": zero}
     moves = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(points[:-1], points[1:], strict=True)]
-    norms = [F.sqrt(dx * dx + dy * dy) for dx, dy in moves]
+    norms = norms or path_lengths(values)
     total = functools.reduce(operator.add, norms)
     span = F.sqrt((points[-1][0] - points[0][0]) ** 2 + (points[-1][1] - points[0][1]) ** 2)
     whole = functools.reduce(operator.and_, [v.isNotNull() for v in values])
@@ -164,9 +171,20 @@ def trajectory_features(values: list[Column], name: str, all_features: bool = Fa
     return out
 
 
+def with_trajectories(series: Series, specs: dict[str, tuple[int, int]], all_features: bool = False) -> Series:
+    """``{column}_embedding_2d_{jump_mag,path_eff,turn_var}`` for each column's (m, tau), in three projections: delays, segments, features."""
+    delays = {f"_y{i}_{k}": y for i, (c, (m, tau)) in enumerate(specs.items()) for k, y in enumerate(takens_columns(series, c, m, tau))}
+    held = [[F.col(f"_y{i}_{k}") for k in range(m)] for i, (m, _) in enumerate(specs.values())]
+    lengths = {f"_s{i}_{k}": y for i, ys in enumerate(held) for k, y in enumerate(path_lengths(ys))}
+    new: dict[str, Column] = {}
+    for i, (c, (m, _)) in enumerate(specs.items()):
+        new |= trajectory_features(held[i], f"{c}_embedding_2d", all_features, [F.col(f"_s{i}_{k}") for k in range(m - 2)])
+    return series.with_columns(**delays).with_columns(**lengths).with_columns(**new).drop(*delays, *lengths) if specs else series
+
+
 def add_takens_features(series: Series, column: str, m: int, tau: int, all_features: bool = False) -> Series:
     """``{column}_embedding_2d_{jump_mag,path_eff,turn_var}`` from scalar lags, without arrays."""
-    return series.with_columns(**trajectory_features(takens_columns(series, column, m, tau), f"{column}_embedding_2d", all_features))
+    return with_trajectories(series, {column: (m, tau)}, all_features)
 
 
 def shape_snapshots(series: Series, pairs: str, rows: Column, window: int = 50) -> Series:

@@ -7,52 +7,62 @@ in one pass; a level is one projection, never a chain of single columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auroral.functions.transforms import Pipeline, SignedLog, SinhArcsinh, transform_derived
 from auroral.operators import state
-from auroral.operators.convolution import causal_convolution, clean_name, kernel, takens_columns, trajectory_features
+from auroral.operators.convolution import causal_convolution, clean_name, kernel, with_trajectories
+from auroral.operators.lag import target_history
 from auroral.operators.rolling import rolling_median, rolling_std
 from auroral.operators.strided import add_cdf_trends, cdf_trend_name
 from auroral.series import Series
 
+#: Names of the measured columns.
 BZ, BY, BX, B = "BZ, nT (GSM)", "BY, nT (GSM)", "BX, nT (GSE, GSM)", "Scalar B, nT"
 SPEED, DENSITY, TEMPERATURE = "SW Plasma Speed, km/s", "SW Proton Density, N/cm^3", "SW Plasma Temperature, K"
-FIELD, BETA, PRESSURE, ALPHA = "E elecrtric field", "Plasma Beta", "Flow pressure", "Alpha/Prot ratio"
+FIELD, BETA, PRESSURE, ALPHA = "E elecrtric field", "Plasma Beta", "Flow pressure", "Alpha/Prot. ratio"
 DST, AE = "Dst-index, nT", "AE-index, nT"
 ENERGY, TAIL, COUPLING = "energy_loading_state", "magnetotail_loading_state", "coupling_efficiency_state"
+#: Columns that only serve the states and go once those are there.
+HELPERS = ("Vector B Magnitude,nT", "Lat. Angle of B (GSE)", "Long. Angle of B (GSE)", BX, "Magnetosonic Much num.", AE)
 
 
 @dataclass(frozen=True)
 class Derived:
-    """What a domain derives from one column. ``takens`` is (m, tau); lags are of the column and its rolling features."""
+    """What a domain derives from one column. ``window`` 0 means no rolling features; ``takens`` is (m, tau).
+
+    ``rolled`` are the lags of the rolling features, ``own`` those of the column itself.
+    """
 
     column: str
-    window: int
-    overlap: float
+    window: int = 0
+    overlap: float = 0.0
     takens: tuple[int, int] | None = None
     kernels: tuple[str, ...] = ()
-    lags: tuple[int, ...] = (0, 4, 8)
+    rolled: tuple[int, ...] = (4, 8)
+    own: tuple[int, ...] = (4, 8)
 
 
 #: The domains' assignments.
 SOLAR = (
-    Derived(SPEED, 24, 0.0, (5, 1), ("enhancement_short", "enhancement_long"), (0, 8, 12)),
-    Derived(DENSITY, 24, 0.0, (6, 3), ("compression_short", "compression_long"), (0, 8, 12)),
-    Derived(TEMPERATURE, 24, 0.0, (5, 2), ("compression_short", "enhancement_long"), (0, 8, 12)),
-    Derived(PRESSURE, 24, 0.0, (6, 2), (), (0, 8, 12)),
+    Derived(SPEED, 24, 0.0, (5, 1), ("enhancement_short", "enhancement_long"), rolled=(8, 12), own=(8, 12)),
+    Derived(TEMPERATURE, 24, 0.0, (6, 3), ("compression_short", "enhancement_long"), rolled=(8, 12), own=(8, 12)),
+    Derived(DENSITY, 24, 0.0, (5, 2), ("compression_short", "compression_long"), rolled=(8, 12), own=(8, 12)),
+    Derived(BETA, 24, 0.0, (6, 2), rolled=(8, 12), own=(8, 12)),
 )
 MAGNETIC = (
     Derived(BZ, 12, 0.3, (4, 1), ("storm_onset_short", "storm_onset_long")),
     Derived(B, 12, 0.3, (4, 1), ("compression_short", "enhancement_long")),
+    Derived(BY),
 )
 OTHERS = (
-    Derived(FIELD, 24, 0.3, (5, 2)),
-    Derived(BETA, 24, 0.3, (4, 1)),
-    Derived(ALPHA, 24, 0.3, (5, 2), (), (0, 8, 12)),
+    Derived(PRESSURE, 24, 0.3, (5, 2), ("compression_short", "compression_long")),
+    Derived(FIELD, 24, 0.3, (4, 1)),
+    Derived(ALPHA, 24, 0.3, (5, 2), own=(8, 12)),
 )
 
 #: The transforms of base columns.
@@ -66,24 +76,46 @@ TRANSFORMS: dict[str, Pipeline] = {
 RECOVERY = ((8, -50), (24, -100), (48, -150))
 
 
+def plain(name: str) -> str:
+    """A column's name as it is used inside: without dots, which are paths to Spark."""
+    return name.replace(".", "")
+
+
+def undotted(df: DataFrame) -> DataFrame:
+    return df.toDF(*[plain(c) for c in df.columns])
+
+
+def dotted(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Columns that derive from one of ``names`` carry its dots again."""
+    out = list(df.columns)
+    for name in names:
+        out = [c.replace(plain(name), name) for c in out]
+    return df.toDF(*out)
+
+
+def rolled_names(d: Derived, trend: bool = True) -> list[str]:
+    c = plain(d.column)
+    return [f"{c}_std_{d.window}r", f"{c}_rolling_median_{d.window}r"] + ([cdf_trend_name(c, d.window)] if trend else []) if d.window else []
+
+
 def domain(series: Series, specs: tuple[Derived, ...], trend: bool = True, source: Series | None = None) -> Series:
-    """Rolling deviation, median and distribution trend, delay-embedding and convolution features of each column, then their lags."""
+    """Rolling deviation, median and distribution trend, delay-embedding and convolution features of each column, then their lags. Names carry no dots."""
     new: dict[str, Column] = {}
     for d in specs:
-        new[f"{d.column}_std_{d.window}r"] = rolling_std(series, d.column, d.window)
-        new[f"{d.column}_rolling_median_{d.window}r"] = rolling_median(series, d.column, d.window)
-        if d.takens:
-            new |= trajectory_features(takens_columns(series, d.column, *d.takens), f"{d.column}_embedding_2d")
+        c = plain(d.column)
+        if d.window:
+            new[f"{c}_std_{d.window}r"] = rolling_std(series, c, d.window)
+            new[f"{c}_rolling_median_{d.window}r"] = rolling_median(series, c, d.window)
         for k in d.kernels:
-            new[f"conv_{k}_{clean_name(d.column)}"] = causal_convolution(series, d.column, kernel(k))
-    out = series.with_columns(**new)
+            new[f"conv_{k}_{clean_name(c)}"] = causal_convolution(series, c, kernel(k))
+    out = with_trajectories(series.with_columns(**new), {plain(d.column): d.takens for d in specs if d.takens})
     if trend:
-        out = add_cdf_trends(out, [(d.column, d.window, d.overlap) for d in specs], source=source)
+        out = add_cdf_trends(out, [(plain(d.column), d.window, d.overlap) for d in specs if d.window], source=source)
     lagged: dict[str, Column] = {}
     for d in specs:
-        bases = [d.column, f"{d.column}_std_{d.window}r", f"{d.column}_rolling_median_{d.window}r"] + ([cdf_trend_name(d.column, d.window)] if trend else [])
-        for c in bases:
-            lagged |= {f"{c}_lag_{k}": F.lag(F.col(f"`{c}`"), k).over(out.window) for k in d.lags if k}
+        for c in rolled_names(d, trend):
+            lagged |= {f"{c}_lag_{k}": F.lag(F.col(f"`{c}`"), k).over(out.window) for k in d.rolled}
+        lagged |= {f"{plain(d.column)}_lag_{k}": F.lag(F.col(f"`{plain(d.column)}`"), k).over(out.window) for k in d.own}
     return out.with_columns(**lagged)
 
 
@@ -102,21 +134,36 @@ def magnetosphere(series: Series) -> Series:
     return s.with_columns(**{f"{n}_lag_{k}": F.lag(n, k).over(s.window) for n in names for k in (4, 8)})
 
 
-def compute_features(series: Series, transforms: dict[str, Pipeline] = TRANSFORMS, compat: bool = False, trend: bool = True) -> Series:
-    """All domains on raw inputs, transformed once.
+def compute_features(series: Series, transforms: dict[str, Pipeline] = TRANSFORMS, compat: bool = False, trend: bool = True, target_transform: Pipeline | None = None) -> Series:
+    """States and all domains on raw inputs, transformed once; the target by ``target_transform``; HELPERS are dropped.
 
     With ``compat`` the transforms are applied as often as a frame that is transformed after each domain has it: to inputs
     and states four times, to solar features three times, to magnetic ones twice, to others once; each domain then
     sees inputs that the domains before have transformed.
     """
-    s = magnetosphere(series)
-    if not compat:
-        for specs in (SOLAR, MAGNETIC, OTHERS):
-            s = domain(s, specs, trend, series)
-        return Series(transform_derived(s.df, transforms), s.order_by, s.partition_by)
-    s = Series(transform_derived(s.df, transforms), s.order_by, s.partition_by)
+    named = [c for c in series.df.columns if "." in c]
+    inputs = Series(undotted(series.df), series.order_by, series.partition_by)
+    pipelines = {plain(c): p for c, p in transforms.items()}
+    s = magnetosphere(inputs)
+    if target_transform is not None:
+        s = s.with_columns(**{DST: target_transform.apply(F.col(DST))})
+    if compat:
+        s = Series(transform_derived(s.df, pipelines), s.order_by, s.partition_by)
     for times, specs in enumerate((SOLAR, MAGNETIC, OTHERS), 1):
-        source = Series(transform_derived(series.df, transforms, times), series.order_by, series.partition_by)
+        source = Series(transform_derived(inputs.df, pipelines, times), s.order_by, s.partition_by) if compat else inputs
         s = domain(s, specs, trend, source)
-        s = Series(transform_derived(s.df, transforms), s.order_by, s.partition_by)
-    return s
+        if compat:
+            s = Series(transform_derived(s.df, pipelines), s.order_by, s.partition_by)
+    df = s.df if compat else transform_derived(s.df, pipelines)
+    df = df.drop(*[plain(c) for c in HELPERS])
+    return Series(dotted(df, named), s.order_by, s.partition_by)
+
+
+def forecast_frame(series: Series, horizon: int = 4, history: int = 4, **options) -> Series:
+    """compute_features() with the target's present and past values as features and, in its place, its value ``horizon`` rows ahead.
+
+    Rows without such a value are dropped.
+    """
+    s = target_history(compute_features(series, **options), DST, history)
+    ahead = s.with_columns(**{DST: F.lead(DST, horizon).over(s.window)})
+    return Series(ahead.df.where(F.col(DST).isNotNull()), s.order_by, s.partition_by)

@@ -58,3 +58,18 @@ def test_ice_query_takes_the_rows_and_points_of_the_reference(spark, monkeypatch
     monkeypatch.setattr(model, "ice_curve", lambda fitted, rows, names, feature, key, n, points: (n, points))
     n, points = catalogue.ice_curve(spark, "")
     assert n >= 300 and points >= 60
+
+
+def test_forecast_frame_has_177_columns(spark):
+    from pyspark.sql import functions as F
+
+    from auroral.plans import features as P
+    from auroral.series import Series
+
+    measured = ["Vector B Magnitude,nT", "Lat. Angle of B (GSE)", "Long. Angle of B (GSE)", P.BX, P.BY, P.BZ, P.B, P.SPEED, P.DENSITY, P.TEMPERATURE, P.BETA, P.PRESSURE, P.FIELD, "Magnetosonic Much num.", P.DST, P.AE, P.ALPHA]
+    rows = spark.range(40).select(F.col("id").alias("full_date"), *[(F.sin(F.col("id") * (k + 1)) * 50 + k).alias(c) for k, c in enumerate(measured)], F.lit(24).alias("solar_cycle"), F.lit("max").alias("solar_phase"))
+    out = P.forecast_frame(Series(rows, ("full_date",))).df
+    assert len(out.columns) == len(set(out.columns)) == 177
+    assert {"Alpha/Prot. ratio_std_24r_lag_4", "Alpha/Prot. ratio_lag_12", f"{P.BY}_lag_8", f"{P.PRESSURE}_lag_4", "conv_compression_long_Flow_pressure", f"{P.BETA}_embedding_2d_turn_var"} <= set(out.columns)
+    assert not {P.AE, P.BX, "Lat. Angle of B (GSE)", f"{P.PRESSURE}_lag_12", f"{P.ALPHA}_lag_4"} & set(out.columns)
+    assert out.count() == 36
