@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets are one node. Bands of MinHash values put nodes
 into buckets; only nodes that meet in a bucket can be similar. A node's anchor is
-the least node of all its buckets, and the nodes of one anchor make chunks of
-bounded size. Two chunks that meet in a bucket are a job, and so is each chunk by
+the least node that a few steps from bucket to bucket reach, so that a group of
+copies has one, and the nodes of one anchor make chunks of bounded size. Two chunks that meet in a bucket are a job, and so is each chunk by
 itself: its pairs are compared by a few MinHash values at a time, dropping a pair
 once the posterior probability that it reaches the threshold is below the
 tolerance, and the pairs left exactly, by their shingle sets. A job returns the
@@ -235,8 +235,14 @@ def similarity_classes(docs: DataFrame, settings: Settings = Settings()) -> Data
     bands = sketches.select("row", "node", "bands").join(members.select("row").hint("merge"), "row", "left_semi").select("node", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("__n")).where(F.col("__n") > 1)
     ties = materialise(join_each(bands, buckets, "key", settings.bands * n_nodes), "near-ties")
+    n_ties = ties.count()
     # chunks of the nodes of one anchor
-    tied = ties.groupBy("node").agg(F.min("low").alias("anchor")).join(members.select("node", "row", "size").hint("merge"), "node")
+    anchors = ties.groupBy("node").agg(F.min("low").alias("anchor"))
+    for _ in range(2):
+        reach = ties.select("key", "node").join(anchors.hint("merge"), "node").groupBy("key").agg(F.min("anchor").alias("anchor"), F.count("*").alias("__n"))
+        passed = join_each(ties.select("key", "node"), reach, "key", n_ties).groupBy("node").agg(F.min("anchor").alias("anchor"))
+        anchors = materialise(passed, "near-anchors")
+    tied = anchors.join(members.select("node", "row", "size").hint("merge"), "node")
     share = tied.groupBy("anchor").agg(F.greatest(F.ceil(F.count("*") / settings.chunk_nodes), F.ceil(F.sum("size") / settings.chunk_shingles), F.lit(1)).alias("parts"), F.count("*").alias("__n"))
     placed = materialise(join_each(tied, share, "anchor", n_nodes).select("node", "row", "size", F.xxhash64("anchor", F.pmod(F.xxhash64("node"), "parts")).alias("chunk")), "near-chunks")
     # a job for each chunk of several nodes and for each two chunks that meet in a bucket
@@ -261,7 +267,7 @@ def similarity_classes(docs: DataFrame, settings: Settings = Settings()) -> Data
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("__n"))
     told = join_each(named, least, "component", n_nodes).join(n_links.hint("merge"), "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", F.col("n_copies").alias("__n"))
     out = materialise(join_each(sketches.select("doc_id", "node"), told, "node", n_rows).select("doc_id", "class_id", "n_links", "n_copies"), "near-result")
-    for used in (sketches, members, ties, placed, jobs, found, classes):
+    for used in (sketches, members, ties, anchors, placed, jobs, found, classes):
         discard(used)
     return out
 
