@@ -37,12 +37,12 @@ class Settings:
     min_n: int = 3
     max_n: int = 5
     max_rows: int = 8000
-    epochs: int = 3
+    epochs: int = 6
     rate: float = 0.5
     batch: int = 16
     scale: float = 100.0
-    decay: float = 1e-6
-    prior: float = 200.0
+    decay: float = 1e-2
+    prior: float = 600.0
     min_docs: int = 1
 
 
