@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .tokens import WORDS, chunks
 
 #: Words of items in one automaton; more items make more shards, each a pass of its own.
 SHARD_WORDS = 200_000
+#: Shards that one job passes the documents through, and that the driver holds, at once.
+PASSES = 8
 
 
 class SuffixAutomaton:
@@ -120,11 +123,15 @@ def item_words(text: str | None) -> list[bytes]:
     return np.where(kind, lower, 32).astype(np.uint8).tobytes().split(b" ") if len(data) else []
 
 
-def _shards(items: DataFrame, shard_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+def _shards(items: DataFrame, shard_words: int, window: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items of about ``shard_words`` words in all. A longer item is cut; its parts overlap by a window less a word, so that each window is in one."""
     held, words = [], 0
     for item, text in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        own = [w for w in item_words(text) if w]
-        if own:
+        whole = [w for w in item_words(text) if w]
+        for at in range(0, len(whole), shard_words):
+            own = whole[at : at + shard_words + window - 1]
+            if at and len(own) < window:
+                break
             if held and words + len(own) > shard_words:
                 yield held
                 held, words = [], 0
@@ -220,10 +227,16 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int =
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
     out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *extra)
     context = docs.sparkSession.sparkContext
-    shards = [context.broadcast(shard) for shard in _shards(items, shard_words)]
-    for shard in shards or [None]:
-        out = out.mapInArrow(_scanner(shard, window, extra), schema)
-    return out
+    held = []
+    for shard in _shards(items, shard_words, window):
+        if len(held) == PASSES:  # what these found is written down before the next are read
+            out = materialise(out, "decontaminate-found")
+            for done in held:
+                done.destroy()
+            held = []
+        held.append(context.broadcast(shard))
+        out = out.mapInArrow(_scanner(held[-1], window, extra), schema)
+    return out if held else out.mapInArrow(_scanner(None, window, extra), schema)
 
 
 def remove_spans(scanned: DataFrame, min_words: int = 10, max_coverage: float = 0.8, extra: tuple[str, ...] = ()) -> DataFrame:

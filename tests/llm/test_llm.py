@@ -421,8 +421,9 @@ def brute_hits(rows, items, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shard", [10**6, 15])
-def test_decontamination(spark, shard):
+@pytest.mark.parametrize("shard", [10**6, 15, 5])
+def test_decontamination(spark, shard, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASSES", 3)
     items = [(k, prose(k + 30, 14, 40)) for k in range(4)] + [(7, "Tiny, item"), (8, ""), (9, None), (10, "w1"), (11, prose(31, 14, 40)), (None, prose(99, 12, 40)), (7, "another w2 w3")]
     rows = [(k, prose(k, 50, 40) + " " + prose(30 + k % 5, 14, 40).upper().replace(" ", "-") + " end") for k in range(12)]
     rows += [(50, "A tiny ITEM! tiny  item"), (51, prose(99, 12, 40)), (52, prose(30, 9, 40))] + ODD + [(None, "w1 w1"), (50, "w1")]
