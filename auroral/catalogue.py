@@ -459,7 +459,7 @@ def range_join_phase(spark, sf_dir):
 def left_join_daily(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     daily = orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("orders")).where("orders > 5")
-    return ingest.join_daily(orders, daily, "o_orderdate", "day", small=False).select("o_orderkey", "orders")
+    return ingest.join_daily(orders, daily, "o_orderdate", "day").select("o_orderkey", "orders")
 
 
 def _holes(spark, sf_dir) -> Series:
@@ -792,6 +792,16 @@ def feature_pipeline(spark, sf_dir):
     return features.undotted(df)
 
 
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-12 12:00:00'")
+def date_range(spark, sf_dir):
+    return clean.date_range(table(spark, sf_dir, "events"), "ts", "2024-01-05 00:00:00", "2024-01-12 12:00:00").select("event_id")
+
+
+@query(f"{EV} SELECT event_id FROM (SELECT event_id, row_number() OVER w - 1 AS place FROM ev {W}) WHERE place >= 10 AND place < 40")
+def row_slice(spark, sf_dir):
+    return clean.row_slice(ev(spark, sf_dir), 10, 40).df.select("event_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

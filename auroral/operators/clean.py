@@ -106,3 +106,21 @@ def clean_column_name(name: str) -> str:
     while "__" in name:
         name = name.replace("__", "_")
     return name.strip("_")
+
+
+def date_range(df: DataFrame, time: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows from ``first`` to ``last``, both included; an end that is None is open. Rows without a time go."""
+    kept = F.col(time).isNotNull()
+    if first is not None:
+        kept = kept & (F.col(time) >= F.lit(first).cast(df.schema[time].dataType))
+    if last is not None:
+        kept = kept & (F.col(time) <= F.lit(last).cast(df.schema[time].dataType))
+    return df.where(kept)
+
+
+def row_slice(series: Series, start: int = 0, stop: int | None = None) -> Series:
+    """Rows ``start`` up to but without ``stop`` of each series, counted from 0."""
+    place = F.col("_place")
+    kept = place >= start if stop is None else (place >= start) & (place < stop)
+    numbered = series.with_columns(_place=series.row_number() - 1)
+    return Series(numbered.df.where(kept).drop("_place"), series.order_by, series.partition_by)

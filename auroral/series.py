@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -71,14 +72,26 @@ def clean(column: str | Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder. Where none is set, a local session gets a temporary one and a cluster an error."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="auroral-"))
+    return df.checkpoint()
+
+
 def chunked(series: Series, rows: int, halo: int) -> Series:
     """A long series cut into overlapping chunks, so that bounded causal frames can be computed chunk by chunk.
 
-    Rows get a number in the order (a range sort, then counts per task; no task sees all rows), a chunk of ``rows``
+    Rows get a number in the order (a range sort that is written down, then counts per task; no task sees all rows), a chunk of ``rows``
     rows, and each chunk also gets the ``halo`` rows before it, flagged ``is_halo``. Compute, then drop_halo().
     """
     keys = [F.col(c) for c in series.order_by]
-    spread = series.df.repartitionByRange(*keys).withColumn("_task", F.spark_partition_id())
+    # written down, so that the counts and the rows below see the same tasks whatever is computed again
+    spread = checkpointed(series.df.repartitionByRange(*keys).withColumn("_task", F.spark_partition_id()))
     local = Window.partitionBy(*series.partition_by, "_task").orderBy(*series.order_by)
     counts = spread.groupBy(*series.partition_by, "_task").agg(F.count("*").alias("_n"))
     offsets = counts.select(*series.partition_by, F.col("_task").alias("_t"), (F.sum("_n").over(Window.partitionBy(*(series.partition_by or [F.lit(1)])).orderBy("_task")) - F.col("_n")).alias("_off"))

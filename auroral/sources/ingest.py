@@ -86,7 +86,16 @@ def phase_columns(time: Column, phases: list[tuple[int, str, object, object]], c
     return cycle, phase
 
 
-def join_daily(rows: DataFrame, daily: DataFrame, time: str, day: str, columns: list[str] | None = None, small: bool = True) -> DataFrame:
-    """Left join of each row with its day's row. ``small`` (a row a day) lets the side table be broadcast."""
-    side = daily.select(F.col(day).alias("_day"), *(columns or [c for c in daily.columns if c != day]))
-    return rows.join(F.broadcast(side) if small else side, F.to_date(time) == F.col("_day"), "left").drop("_day")
+def join_daily(rows: DataFrame, daily: DataFrame, time: str, day: str, columns: list[str] | None = None, complete: bool = False) -> DataFrame:
+    """Left join of each row with its day's row; Spark broadcasts the side table if it finds it small.
+
+    With ``complete`` rows that are left without any of the columns' values are an error (a job counts them).
+    """
+    names = columns or [c for c in daily.columns if c != day]
+    side = daily.select(F.col(day).alias("_day"), *names)
+    out = rows.join(side, F.to_date(time) == F.col("_day"), "left").drop("_day")
+    if complete:
+        missing = out.where(F.greatest(*[F.col(f"`{c}`").isNull() for c in names], F.lit(False))).count()
+        if missing:
+            raise ValueError(f"{missing} rows lack daily values")
+    return out

@@ -251,3 +251,14 @@ def test_edges_do_not_fail(spark, values):
     s = state.loading_state(s, "x", 2.0, "e")
     assert s.df.count() == len(values)
     assert events.entities(s.with_columns(l=events.storm_flag("x")), "l").count() == 0
+
+
+def test_daily_values_must_be_complete(spark):
+    from auroral.sources import ingest
+
+    rows = spark.sql("SELECT timestamp_ntz '2024-01-01 05:00:00' AS t UNION ALL SELECT timestamp_ntz '2024-01-02 23:00:00'")
+    daily = spark.sql("SELECT date '2024-01-01' AS day, 1.5D AS flux UNION ALL SELECT date '2024-01-02', 2.5D")
+    assert sorted(r.flux for r in ingest.join_daily(rows, daily, "t", "day", complete=True).collect()) == [1.5, 2.5]
+    assert [r.flux for r in ingest.join_daily(rows, daily.limit(1), "t", "day").orderBy("t").collect()] == [1.5, None]
+    with pytest.raises(ValueError):
+        ingest.join_daily(rows, daily.limit(1), "t", "day", complete=True).count()
