@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, join_each, materialise
+from .common import connected_components, discard, give_back, join_each, materialise
 from .tokens import WHITESPACE, chunks, mix
 
 _EMPTY = np.uint64(0x5DEECE66D)
@@ -119,6 +119,7 @@ def _sketcher(settings: Settings):
                 bands = pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)
                 row, doc_id, text = (batch.column(k).slice(lo, n) for k in range(3))
                 yield pa.RecordBatch.from_arrays([row, doc_id, pa.array(node), pa.array(size, pa.int32()), bands, text], ["row", "doc_id", "node", "size", "bands", "text"])
+        give_back()
 
     return run
 
@@ -210,6 +211,8 @@ def _linker(settings: Settings):
             out_node += wanted[members[hit]].tolist()
             out_links += degree[hit].tolist()
             out_root += root[hit].tolist()
+        sets, values = [], None
+        give_back()
         return pa.table({"node": pa.array(out_node, pa.int64()), "links": pa.array(out_links, pa.int64()), "root": pa.array(out_root, pa.int64())})
 
     return run

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_count, discard, materialise
+from .common import block_count, discard, give_back, materialise
 from .tokens import WHITESPACE, chunks, mix, window_hashes
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
@@ -89,6 +89,7 @@ def _ask_phrases(window: int, phrase: int):
     """The block's distinct phrases, and whether it has more than one of each."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         h, r, _ = _tokens(table.column("text"))
         unique, count = np.unique(_selected(*_anchors(h, r, window, phrase)), return_counts=True)
         block = np.full(len(unique), table.column("block")[0].as_py(), np.int32)
@@ -104,6 +105,7 @@ def _ask_windows(window: int, phrase: int):
     """The block's distinct windows whose phrases recur: key, first place, and whether it has more than one of each."""
 
     def run(table: pa.Table, phrases: pa.Table) -> pa.Table:
+        give_back()
         if not table.num_rows or not phrases.num_rows:
             return pa.table([pa.array([], t) for _, t in _WINDOWS], [n for n, _ in _WINDOWS])
         table = _in_order(table)
@@ -213,8 +215,10 @@ def _repeated(table: pa.Table, confirmed: pa.Table, window: int) -> tuple[np.nda
 
 def _remover(window: int, names: tuple[str, ...], layout: bool):
     def run(table: pa.Table, confirmed: pa.Table) -> pa.Table:
+        give_back()
         table = _in_order(table, names)
         gone, r = _repeated(table, confirmed, window)
+        give_back()
         size = np.bincount(r, minlength=table.num_rows)
         removed = np.bincount(r, weights=gone, minlength=table.num_rows).astype(np.int64)
         last, kept = np.cumsum(size), []
