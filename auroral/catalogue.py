@@ -341,7 +341,17 @@ def plasma(spark, sf_dir):
     return hr(spark, sf_dir).df.select("hour", r6(physics.dynamic_pressure(n, v), 3).alias("pressure"), r6(physics.electric_field(v, F.col("bz")) + 1e-9, 4).alias("field"), r6(physics.alfven_mach(v, F.col("bx"), n), 4).alias("mach"))
 
 
-@query()
+_PEAKS = f"""{EV}, r AS (SELECT event_id, user_id, 1 - d AS x, row_number() OVER w AS rn, lag(1 - d) OVER w AS before, lead(1 - d) OVER w AS after FROM ev {W}),
+runs AS (SELECT user_id, x, min(rn) AS a, max(rn) AS b FROM (SELECT *, sum(CASE WHEN x = before THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY rn) AS g FROM r) GROUP BY user_id, g, x),
+tops AS (SELECT user_id, (a + b) // 2 AS p, x AS h FROM (SELECT *, lag(x) OVER o AS l, lead(x) OVER o AS n FROM runs WINDOW o AS (PARTITION BY user_id ORDER BY a)) WHERE l < x AND n < x AND x >= 50),
+sides AS (SELECT user_id, p, h, coalesce(max(rn) FILTER (rn < p AND x > h), 0) AS lo, coalesce(min(rn) FILTER (rn > p AND x > h), 1000000000) AS hi FROM tops JOIN r USING (user_id) GROUP BY ALL),
+deep AS (SELECT user_id, p, h, h - greatest(min(x) FILTER (rn > lo AND rn <= p), min(x) FILTER (rn >= p AND rn < hi)) AS depth FROM sides JOIN r USING (user_id) GROUP BY user_id, p, h),
+wide AS (SELECT user_id, p, arg_max(rn + CASE WHEN x < h - depth / 2 THEN (h - depth / 2 - x) / (after - x) ELSE 0 END, rn) FILTER (rn < p AND x <= h - depth / 2) AS l,
+ arg_min(rn - CASE WHEN x < h - depth / 2 THEN (h - depth / 2 - x) / (before - x) ELSE 0 END, rn) FILTER (rn > p AND x <= h - depth / 2) AS n FROM deep JOIN r USING (user_id) WHERE depth >= 15 GROUP BY user_id, p),
+peaks AS (SELECT user_id, p FROM wide WHERE n - l >= 1)"""
+
+
+@query(f"{_PEAKS} SELECT event_id, p IS NOT NULL AS is_peak FROM r LEFT JOIN peaks ON r.user_id = peaks.user_id AND r.rn = peaks.p")
 def storm_peaks(spark, sf_dir):
     s = state.storm_peaks(ev(spark, sf_dir), "d", -50, 15, 1)
     return s.df.select("event_id", "is_peak")
