@@ -2,13 +2,15 @@
 
 One array of bit masks holds a Bloom filter for every language: bit L of a slot
 belongs to language L's filter, so that the masks at an n-gram's slots, and-ed,
-are all languages that contain it. A text's count for a language is the number of
+are all languages that contain it. A mask has 64 bits; for every 64 languages there
+is one more array. A text's count for a language is the number of
 its n-grams with that bit, less the false positives that the filter's fill makes
 likely; the largest corrected count decides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,8 @@ from pyspark.sql.column import Column
 
 from .tokens import LOWER, CHUNK_BYTES, chunks, classes, mix
 
-MAX_LANGUAGES = 64
+#: Languages of one mask.
+WORD = 64
 #: Letters and non-ASCII bytes stay, everything else is one gap.
 _LETTERS = classes((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0x80, 0xFF, 1))
 
@@ -29,19 +32,22 @@ _LETTERS = classes((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0x80, 0xFF, 1))
 class Settings:
     """``per_language`` bounds the sampled documents of a language (in expectation); ``bits`` and ``probes`` size the filters.
 
-    An n-gram is put into the filter of each language where its share is at least ``share`` of its largest share in any.
+    By default a filter holds every n-gram of its language's sample. ``share`` leaves out those whose share in the language is
+    under that part of their largest share in any, ``min_count`` those that occur less often.
     """
 
-    sizes: tuple[int, ...] = (3, 4)
-    bits: int = 20
+    sizes: tuple[int, ...] = (3, 4, 5)
+    bits: int = 21
     probes: int = 2
     per_language: int = 1500
-    share: float = 0.2
-    min_count: int = 2
+    share: float = 0.0
+    min_count: int = 1
 
 
 @dataclass
 class Model:
+    """``masks`` holds 2**bits slots for every 64 languages, one array after the other."""
+
     languages: list[str]
     masks: np.ndarray
     false_rate: np.ndarray
@@ -110,43 +116,43 @@ def train(docs: DataFrame, use: Column, settings: Settings = Settings()) -> Mode
     """Filters from a bounded sample of the documents where ``use`` holds and lang and text are not null.
 
     A language's sample is the rows whose hash falls into a share that gives ``settings.per_language`` of them; a
-    language with fewer is used whole. More than 64 languages are an error; none gives a model that answers ``und``.
+    language with fewer is used whole. Masks take 8 * 2**bits bytes for every 64 languages; no language gives a model that answers ``und``.
     """
     rows = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = dict(rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect())
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = dict(rows.groupBy("lang").count().collect())  # a row for each language
     languages = sorted(counts)
+    size = 1 << settings.bits
     if not languages:
-        return Model([], np.zeros(1 << settings.bits, np.uint64), np.zeros(0))
-    chosen = F.lit(False)
-    for lang in languages:
-        part = F.lit(True) if counts[lang] <= settings.per_language else F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(counts[lang])) < settings.per_language
-        chosen = chosen | ((F.col("lang") == lang) & part)
-    by = rows.where(chosen).select("lang", "text").mapInArrow(_counter(settings), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # how many n-grams a language has at all, then the filters: each n-gram sets at most `probes` of the 2**bits slots
-    total = {r[0]: r[1] for r in by.groupBy("lang").agg(F.sum("n")).collect()}
-    share = by.withColumn("p", F.col("n") / F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(total.get(lang, 1)))])[F.col("lang")])
-    bit = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)])[F.col("lang")]
-    best = share.groupBy("gram").agg(F.max("p").alias("best"))
-    kept = share.join(best, "gram").where((F.col("p") >= settings.share * F.col("best")) & (F.col("n") >= settings.min_count))
-    mask = kept.withColumn("bit", bit).groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+        return Model([], np.zeros(size, np.uint64), np.zeros(0))
+    told = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
+    chosen = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), told(counts)) < settings.per_language
+    kept = rows.where(chosen).select("lang", "text").mapInArrow(_counter(settings), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    if settings.min_count > 1 or settings.share > 0:
+        total = {r[0]: float(r[1]) for r in kept.groupBy("lang").agg(F.sum("n")).collect()}
+        shares = kept.withColumn("p", F.col("n") / told(dict.fromkeys(languages, 1.0) | total))
+        best = shares.groupBy("gram").agg(F.max("p").alias("best"))
+        kept = shares.join(best, "gram").where((F.col("p") >= settings.share * F.col("best")) & (F.col("n") >= settings.min_count))
+    # each n-gram sets at most `probes` of the slots of each array
+    placed = kept.withColumns({"word": told({lang: k // WORD for k, lang in enumerate(languages)}), "bit": told({lang: k % WORD for k, lang in enumerate(languages)})})
+    mask = placed.groupBy("gram", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    words = math.ceil(len(languages) / WORD)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.zeros(1 << settings.bits, np.uint64)
+        masks = np.zeros(words * size, np.uint64)
         for batch in batches:
             keys = batch.column(0).to_numpy().astype(np.uint64)
-            own = batch.column(1).to_numpy().astype(np.uint64)
+            base = batch.column(1).to_numpy().astype(np.int64) * size
+            own = batch.column(2).to_numpy().astype(np.uint64)
             for at in _slots(keys, settings):
-                np.bitwise_or.at(masks, at, own)
+                np.bitwise_or.at(masks, base + at, own)
         where = np.flatnonzero(masks)
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(masks[where].astype(np.int64))], ["slot", "mask"])
 
     slots = mask.mapInArrow(build, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    got = slots.toArrow()  # at most 2**bits rows
-    masks = np.zeros(1 << settings.bits, np.uint64)
+    got = slots.toArrow()  # at most 2**bits rows for every 64 languages
+    masks = np.zeros(words * size, np.uint64)
     masks[got.column(0).to_numpy()] = got.column(1).to_numpy().astype(np.uint64)
-    fill = np.array([np.count_nonzero(masks >> np.uint64(k) & np.uint64(1)) / len(masks) for k in range(len(languages))])
+    fill = np.array([np.count_nonzero(masks[k // WORD * size :][:size] >> np.uint64(k % WORD) & np.uint64(1)) / size for k in range(len(languages))])
     return Model(languages, masks, fill**settings.probes)
 
 
@@ -156,12 +162,12 @@ def predict(docs: DataFrame, model: Model, settings: Settings = Settings(), extr
     ``und`` with score 0 if the text is null or has no letter; else the language of the largest corrected count (the
     first in order among equals), and its share of all languages' corrected counts (1 / languages where all are 0).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
+    narrow = np.uint8 if len(model.languages) <= 8 else np.uint64
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.languages, model.masks.astype(narrow), model.false_rate))  # 2**bits slots for every 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        count = len(m.languages)
-        slots = m.masks.astype(np.uint8) if count <= 8 else m.masks
+        count, slots = len(m.languages), m.masks
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             letters = np.zeros(batch.num_rows, bool)
@@ -173,14 +179,16 @@ def predict(docs: DataFrame, model: Model, settings: Settings = Settings(), extr
                 letters[i] = any(c.isalpha() for c in texts[i].as_py() or "")
             for lo, n, keys, rows in grams(texts, settings):
                 probes = _slots(keys, settings)
-                mask = slots[probes[0]]
-                for at in probes[1:]:
-                    mask = mask & slots[at]
                 total = np.bincount(rows, minlength=n)
-                for k in range(count):
-                    hits = np.bincount(rows[(mask >> mask.dtype.type(k) & mask.dtype.type(1)).astype(bool)], minlength=n)
-                    f = m.false_rate[k]
-                    scores[lo : lo + n, k] = np.maximum((hits - total * f) / max(1 - f, 1e-9), 0)
+                for first in range(0, count, WORD):
+                    base = first // WORD << settings.bits
+                    mask = slots[base + probes[0]]
+                    for at in probes[1:]:
+                        mask = mask & slots[base + at]
+                    for k in range(first, min(first + WORD, count)):
+                        hits = np.bincount(rows[(mask >> mask.dtype.type(k - first) & mask.dtype.type(1)).astype(bool)], minlength=n)
+                        f = m.false_rate[k]
+                        scores[lo : lo + n, k] = np.maximum((hits - total * f) / max(1 - f, 1e-9), 0)
             best = scores.argmax(axis=1)
             whole = scores.sum(axis=1)
             share = np.where(whole > 0, scores[np.arange(len(best)), best] / np.where(whole > 0, whole, 1), 1 / max(count, 1))

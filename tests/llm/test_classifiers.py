@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from auroral.llm import langid, quality, tokens, toxicity
 
@@ -172,3 +173,20 @@ def test_language_counts_from_given_filters(spark):
         else:
             assert rows[k].lang_pred == model.languages[int(np.argmax(corrected))]
             assert rows[k].score == pytest.approx(max(corrected) / sum(corrected) if sum(corrected) else 1 / 3)
+
+
+def test_filters_hold_every_gram_of_every_language(spark):
+    """More languages than a mask has bits; production settings but for the size."""
+    spell = lambda k: "".join(chr(97 + d) for d in (k // 26, k % 26))
+    own = [" ".join(f"{spell(k)}{w}{spell(k)}" for w in ("oqo", "uxu", "yjy")) for k in range(70)]
+    rows = [(3 * k, f"shared beginning {t}", f"l{k:02}") for k, t in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    settings = langid.Settings(bits=14)
+    model = langid.train(docs, F.lit(True), settings)
+    assert model.languages == [lang for _, _, lang in rows] and len(model.masks) == 2 << 14
+    for k, (_, text, _) in enumerate(rows):
+        for _, _, keys, _ in langid.grams(pa.array([text]), settings):
+            for at in langid._slots(keys, settings):
+                assert (model.masks[(k // 64 << 14) + at] >> np.uint64(k % 64) & np.uint64(1)).all()
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs.select("doc_id", F.lit(None).cast("string").alias("lang"), "text"), model, settings).collect()}
+    assert got == {i: lang for i, _, lang in rows}
