@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, langid, lm, near, pieces, quality, repeats, toxicity
+from . import bytepairs, chat, decontaminate, fingerprint, langid, lm, near, pieces, quality, repeats, toxicity
 from .common import fold
 
 
@@ -72,8 +72,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_jaccard_join, op3_lm_score, op4_substring_dedup, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity]
+    found = [op1_quality, op2_jaccard_join, op3_lm_score, op4_substring_dedup, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity, op11_byte_bpe]
     return {f.__name__: f for f in found}
 
 
