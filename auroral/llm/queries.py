@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepairs, chat, decontaminate, fingerprint, langid, lm, near, pieces, quality, repeats, toxicity
+from . import bytepairs, chat, decontaminate, fingerprint, langid, lm, near, pieces, quality, repeats, toxicity, vectorcodes
 from .common import fold
 
 
@@ -76,10 +76,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_jaccard_join, op3_lm_score, op4_substring_dedup, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity, op11_byte_bpe]
+    found = [op1_quality, op2_jaccard_join, op3_lm_score, op4_substring_dedup, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity, op11_byte_bpe, op13_vector_codes]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": near.ORACLE_SQL, "op3_lm_score": lm.ORACLE_SQL, "op4_substring_dedup": repeats.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
+    return {"op2_jaccard_join": near.ORACLE_SQL, "op3_lm_score": lm.ORACLE_SQL, "op4_substring_dedup": repeats.ORACLE_SQL, "op7_decontamination": decontaminate.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL, "op13_vector_codes": vectorcodes.oracle_sql()}
