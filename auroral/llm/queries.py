@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepairs, chat, decontaminate, fingerprint, langid, lm, near, pieces, quality, repeats, toxicity, vectorcodes
+from . import alignment, bytepairs, chat, decontaminate, fingerprint, langid, lm, near, pieces, quality, repeats, toxicity, vectorcodes
 from .common import fold
 
 
@@ -76,12 +76,16 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_jaccard_join, op3_lm_score, op4_substring_dedup, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity, op11_byte_bpe, op13_vector_codes]
+    found = [op1_quality, op2_jaccard_join, op3_lm_score, op4_substring_dedup, op5_sentencepiece, op6_simhash, op7_decontamination, op8_language_id, op9_chat_formatting, op10_toxicity, op11_byte_bpe, op12_alignment, op13_vector_codes]
     return {f.__name__: f for f in found}
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, join_each, materialise
+from .common import give_back, join_each, materialise
 
 SCALE = 1024
 LEAF = 8
