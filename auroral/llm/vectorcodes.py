@@ -2,9 +2,9 @@
 
 A vector is cut into equal parts; each part has a codebook of ``entries`` integer vectors, which are few
 and go to the tasks as kd-trees in a broadcast each round. A part's nearest entry is found by branch and
-bound: all parts of a batch walk their tree at once, each with a stack of its own, and nodes whose bound
-equals the best distance are visited too, so that of equally near entries the lowest index wins. Tasks
-return sums and counts for each entry; Spark adds them up and the driver keeps the codebooks alone.
+bound: the parts of a batch first go down to the leaf where they lie, then each node is searched by those
+whose best distance its box doesn't exceed. Equal bounds are visited too, so that of equally near entries the
+lowest index wins. Tasks return sums and counts for each entry; Spark adds them up and the driver keeps the codebooks alone.
 """
 
 from __future__ import annotations
@@ -22,20 +22,20 @@ from pyspark.sql import functions as F
 from .common import give_back, join_each, materialise
 
 SCALE = 1024
-LEAF = 8
+LEAF = 32
 #: Vectors that walk the trees at a time.
-BATCH = 1 << 13
+BATCH = 1 << 12
 
 
 def number_type(bound: int, width: int) -> type:
     """The fastest type in which squared distances of ``width`` components within +-bound are exact."""
-    most = width * (2 * bound) ** 2
+    most = 4 * width * bound**2  # also what |x|^2 - 2 x c + |c|^2 is made of
     return np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
 
 
 @dataclass
 class KdTree:
-    """Nodes as arrays: bounding box, children (-1: leaf) and, for leaves, ``LEAF`` entry indexes at most (-1: none), ascending."""
+    """Nodes as arrays: bounding box, children (-1: leaf), the dimension and value that part them and, for leaves, ``LEAF`` entry indexes at most (-1: none), ascending."""
 
     entries: np.ndarray
     low: np.ndarray
@@ -43,14 +43,15 @@ class KdTree:
     left: np.ndarray
     right: np.ndarray
     members: np.ndarray
-    depth: int
+    dim: np.ndarray
+    split: np.ndarray
 
     @classmethod
     def build(cls, entries: np.ndarray) -> KdTree:
         """Halves the entries at the median of the dimension in which they spread most."""
-        low, high, left, right, members = [], [], [], [], []
+        low, high, left, right, members, dims, splits = [], [], [], [], [], [], []
 
-        def grow(index: np.ndarray) -> tuple[int, int]:
+        def grow(index: np.ndarray) -> int:
             node = len(low)
             some = entries[index]
             low.append(some.min(0))
@@ -58,57 +59,69 @@ class KdTree:
             left.append(-1)
             right.append(-1)
             members.append(np.full(LEAF, -1))
-            if len(index) <= LEAF:
-                members[node][: len(index)] = np.sort(index)
-                return node, 1
             dim = int(np.argmax(high[node] - low[node]))
             order = index[np.argsort(some[:, dim], kind="stable")]
-            left[node], a = grow(order[: len(order) // 2])
-            right[node], b = grow(order[len(order) // 2 :])
-            return node, 1 + max(a, b)
+            dims.append(dim)
+            splits.append(entries[order[(len(order) - 1) // 2], dim])
+            if len(index) <= LEAF:
+                members[node][: len(index)] = np.sort(index)
+            else:
+                left[node] = grow(order[: (len(order) + 1) // 2])
+                right[node] = grow(order[(len(order) + 1) // 2 :])
+            return node
 
-        _, depth = grow(np.arange(len(entries)))
-        return cls(entries, np.array(low), np.array(high), np.array(left), np.array(right), np.array(members), depth)
+        grow(np.arange(len(entries)))
+        return cls(entries, np.array(low), np.array(high), np.array(left), np.array(right), np.array(members), np.array(dims), np.array(splits))
 
-    def _bound(self, x: np.ndarray, node: np.ndarray, exact: type) -> np.ndarray:
-        """Squared distances of the vectors to the boxes of the nodes."""
-        off = np.maximum(np.maximum(self.low[node] - x, x - self.high[node]), 0).astype(exact, copy=False)
-        return (off * off).sum(1)
+    def _bound(self, x: np.ndarray, node: int) -> np.ndarray:
+        """Squared distances of the vectors to the node's box."""
+        off = np.maximum(self.low[node] - x, x - self.high[node])
+        np.maximum(off, 0, out=off)
+        return (off * off).sum(1) if x.dtype == object else np.einsum("ij,ij->i", off, off)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each vector's nearest entry, the lowest among equals, and the squared distance. ``x`` and the entries have one type."""
-        n, exact = len(x), x.dtype.type if x.dtype != object else object
-        far = math.inf if exact is not np.int64 else np.iinfo(np.int64).max
-        best, index = np.full(n, far, exact), np.full(n, len(self.entries))
-        nodes = np.zeros((n, self.depth + 1), np.int64)
-        bounds = np.zeros((n, self.depth + 1), exact)
-        top = np.ones(n, np.int64)  # the root is on each stack
-        row = np.arange(n)
-        while len(row):
-            top[row] -= 1
-            node = nodes[row, top[row]]
-            near = (bounds[row, top[row]] <= best[row]).astype(bool)
-            at, node = row[near], node[near]
-            leaf = self.left[node] < 0
-            some, tips = at[leaf], self.members[node[leaf]]
-            if len(some):
-                off = self.entries[tips] - x[some][:, None, :]
-                apart = (off * off).sum(2)
-                apart[tips < 0] = far
-                least = apart.min(1)
-                which = np.where((apart == least[:, None]).astype(bool) & (tips >= 0), tips, len(self.entries)).min(1)
-                better = ((least < best[some]) | (least == best[some]) & (which < index[some])).astype(bool)
-                best[some[better]], index[some[better]] = least[better], which[better]
-            some, inner = at[~leaf], node[~leaf]
-            if len(some):
-                a, b = self.left[inner], self.right[inner]
-                to_a, to_b = self._bound(x[some], a, exact), self._bound(x[some], b, exact)
-                first = (to_a <= to_b).astype(bool)
-                place = top[some]
-                nodes[some, place], bounds[some, place] = np.where(first, b, a), np.where(first, to_b, to_a)
-                nodes[some, place + 1], bounds[some, place + 1] = np.where(first, a, b), np.where(first, to_a, to_b)
-                top[some] += 2
-            row = row[top[row] > 0]
+        n, kind = len(x), x.dtype
+        best = np.full(n, np.iinfo(np.int64).max if kind == np.int64 else math.inf, kind)
+        index = np.full(n, len(self.entries))
+        everyone = np.arange(n)
+
+        def compare(node: int, rows: np.ndarray) -> None:
+            tips = self.members[node]
+            tips = tips[tips >= 0]
+            some, entries = x[rows], self.entries[tips]
+            # exact, as the type was chosen to hold four times what these terms can be
+            apart = (some * some).sum(1)[:, None] - 2 * (some @ entries.T) + (entries * entries).sum(1)
+            which = apart.argmin(1)  # the first of equals: tips ascend
+            least, which = apart[np.arange(len(rows)), which], tips[which]
+            better = ((least < best[rows]) | (least == best[rows]) & (which < index[rows])).astype(bool)
+            best[rows[better]], index[rows[better]] = least[better], which[better]
+
+        def descend(node: int, rows: np.ndarray) -> None:
+            """To the leaf in whose direction each vector lies: a first distance to prune by."""
+            if not len(rows):
+                return
+            if self.left[node] < 0:
+                compare(node, rows)
+                return
+            left = (x[rows, self.dim[node]] <= self.split[node]).astype(bool)
+            descend(self.left[node], rows[left])
+            descend(self.right[node], rows[~left])
+
+        def search(node: int, rows: np.ndarray) -> None:
+            """Every node whose bound is the best distance or less, equal ones included."""
+            rows = rows[(self._bound(x[rows], node) <= best[rows]).astype(bool)]
+            if not len(rows):
+                return
+            if self.left[node] < 0:
+                compare(node, rows)
+                return
+            search(self.left[node], rows)
+            search(self.right[node], rows)
+
+        if n:
+            descend(0, everyone)
+            search(0, everyone)
         return index, best
 
 
