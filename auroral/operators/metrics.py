@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def entity_matches(true: DataFrame, predicted: DataFrame, tolerance: int = 2, ke
     t, p = spread(true, "t"), spread(predicted, "p")
     on = F.col("tb") == F.col("pb")
     for k in keys:
-        on = on & (F.col(f"t_{k}") == F.col(f"p_{k}"))
+        on = on & F.col(f"t_{k}").eqNullSafe(F.col(f"p_{k}"))
     met = t.join(p, on).where(F.col("tb") == F.greatest("tlo", "plo"))
     ds, de = F.abs(F.col("ps") - F.col("ts")), F.abs(F.col("pe") - F.col("te"))
     overlap = (F.col("ps") <= F.col("te")) & (F.col("ts") <= F.col("pe"))
@@ -244,11 +246,39 @@ def focal_loss(label: Column, margin: Column, alpha: float = 0.25, gamma: float
 
 
 def focal_gradient(label: Column, margin: Column, alpha: float = 0.25, gamma: float = 2.0) -> tuple[Column, Column]:
-    """First derivative of the focal loss by the margin, and a positive curvature (p (1 - p) times the loss's weight)."""
+    """First derivative of the focal loss by the margin, and a positive stand-in for the second: (gamma + 1) times the class weight, p, and (1 - p) to gamma (classes swapped for 0)."""
     from auroral.functions.transforms import sigmoid
 
     p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), sigmoid(margin)))
     up = alpha * F.pow(1 - p, F.lit(gamma)) * (gamma * p * F.log(p) - (1 - p))
     down = (1 - alpha) * F.pow(p, F.lit(gamma)) * (p - gamma * (1 - p) * F.log(1 - p))
-    weight = F.when(label == 1, alpha * F.pow(1 - p, F.lit(gamma))).otherwise((1 - alpha) * F.pow(p, F.lit(gamma)))
-    return F.when(label == 1, up).otherwise(down), F.greatest(weight * p * (1 - p), F.lit(1e-6))
+    curve = F.when(label == 1, alpha * p * F.pow(1 - p, F.lit(gamma))).otherwise((1 - alpha) * (1 - p) * F.pow(p, F.lit(gamma))) * (gamma + 1)
+    return F.when(label == 1, up).otherwise(down), F.greatest(curve, F.lit(1e-7))
+
+
+def _softmax_of(label: Column, margins: Column, classes: int) -> tuple[list[Column], Column]:
+    """Each class's probability and that of the label."""
+    top = F.array_max(margins)
+    powers = [F.exp(margins[k] - top) for k in range(classes)]
+    total = sum(powers[1:], powers[0])
+    p = [x / total for x in powers]
+    return p, F.element_at(F.array(*p), label.cast("int") + 1)
+
+
+def multiclass_focal_loss(label: Column, margins: Column, classes: int, gamma: float = 2.0) -> Column:
+    """Focal loss of a label 0 to classes - 1 and an array of margins; average it."""
+    _, own = _softmax_of(label, margins, classes)
+    own = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), own))
+    return -F.pow(1 - own, F.lit(gamma)) * F.log(own)
+
+
+def multiclass_focal_gradient(label: Column, margins: Column, classes: int, gamma: float = 2.0, class_weights: Sequence[float] | None = None, exact: bool = False) -> list[tuple[Column, Column]]:
+    """(gradient, curvature) for each class: (p - [class is label]) times a factor of the label's probability q, and (1 - q)^gamma p (1 - p).
+
+    The factor is (1 - q)^gamma + gamma (1 - q)^(gamma - 1) q log q; the derivative of the loss has a minus there, which ``exact`` gives.
+    """
+    p, own = _softmax_of(label, margins, classes)
+    base, more = F.pow(1 - own, F.lit(gamma)), gamma * F.pow(1 - own, F.lit(gamma - 1)) * F.log(F.greatest(own, F.lit(1e-15))) * own
+    factor = base - more if exact else base + more
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in class_weights]), label.cast("int") + 1) if class_weights is not None else F.lit(1.0)
+    return [(factor * (x - (label == k).cast("double")) * weight, F.greatest(base * x * (1 - x), F.lit(1e-6)) * weight) for k, x in enumerate(p)]
