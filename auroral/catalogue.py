@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auroral.functions import transforms as X
-from auroral.operators import clean, convolution, decompose, events, lag, metrics, model, physics, rolling, state, strided
+from auroral.operators import boosting, clean, convolution, decompose, events, lag, metrics, model, physics, rolling, state, strided, trees
 from auroral.plans import features
 from auroral.series import Series, chunked, drop_halo
 from auroral.sources import ingest
@@ -717,7 +717,64 @@ def ice_curve(spark, sf_dir):
 @query()
 def contributions(spark, sf_dir):
     rows, names, fitted = _forecast(spark, sf_dir)
-    return model.path_contributions(fitted, rows, names).select("hour", "bias", "contributions")
+    return trees.contributions(trees.from_gbt(fitted, names, model.MISSING), trees.sample(rows, "hour")).select("hour", "bias", "contributions")
+
+
+@query()
+def interaction_top(spark, sf_dir):
+    """A sample of 1000 rows and the ten features that interact most, as the plot takes them."""
+    rows, names, fitted = _forecast(spark, sf_dir)
+    return trees.top_interactions(trees.interaction_strengths(trees.from_gbt(fitted, names, model.MISSING), trees.sample(rows, "hour")))
+
+
+STUMP_FEATURES = {"l_quantity": [10.0, 20.0, 30.0, 40.0], "l_discount": [0.025, 0.055, 0.085], "l_tax": [0.015, 0.045]}
+
+
+def _stumps(spark, sf_dir) -> tuple[DataFrame, trees.Forest]:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *STUMP_FEATURES, "l_extendedprice")
+    return rows, boosting.train(rows, list(STUMP_FEATURES), "l_extendedprice", settings=boosting.Settings(rounds=2, depth=1, rate=0.5), cuts=list(STUMP_FEATURES.values()))
+
+
+def _stump_sql(turn: int, margin: str) -> str:
+    """The best split of round ``turn`` (a row: feature, cut, leaf values, rows on both sides), where ``margin`` is what the rounds before give."""
+    cuts = ", ".join(f"({f}, {b}, {c}::DOUBLE)" for f, cs in enumerate(STUMP_FEATURES.values()) for b, c in enumerate(cs))
+    unit = boosting.UNIT
+    return f"""g{turn} AS MATERIALIZED (SELECT x0, x1, x2, round(({margin} - y) * {unit})::HUGEINT AS g FROM l),
+c{turn} AS (SELECT f, b, c, sum(g) FILTER (x <= c) / {unit}::DOUBLE AS gl, sum(g) FILTER (x > c) / {unit}::DOUBLE AS gr, count(*) FILTER (x <= c) AS nl, count(*) FILTER (x > c) AS nr
+ FROM (SELECT f, b, c, g, CASE f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS x FROM g{turn}, (VALUES {cuts}) AS t(f, b, c)) GROUP BY f, b, c),
+t{turn} AS MATERIALIZED (SELECT f, c, nl, nr, -0.5 * gl / (nl + 1) AS vl, -0.5 * gr / (nr + 1) AS vr FROM c{turn} ORDER BY gl * gl / (nl + 1) + gr * gr / (nr + 1) - (gl + gr) * (gl + gr) / (nl + nr + 1) DESC, f, b LIMIT 1)"""
+
+
+def _stump_value(turn: int, *x: str) -> str:
+    return f"(SELECT CASE WHEN CASE f WHEN 0 THEN {x[0]} WHEN 1 THEN {x[1]} ELSE {x[2]} END <= c THEN vl ELSE vr END FROM t{turn})"
+
+
+_STUMPS = f"""WITH l AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_discount AS x1, l_tax AS x2, l_extendedprice AS y FROM lineitem),
+{_stump_sql(1, "0.0")}, {_stump_sql(2, _stump_value(1, "x0", "x1", "x2"))}"""
+
+
+@query(f"{_STUMPS} SELECT l_orderkey, l_linenumber, round({_stump_value(1, 'x0', 'x1', 'x2')} + {_stump_value(2, 'x0', 'x1', 'x2')}, 4) AS prediction FROM l")
+def boosted_stumps(spark, sf_dir):
+    rows, forest = _stumps(spark, sf_dir)
+    return trees.predict(forest, rows).select("l_orderkey", "l_linenumber", F.round(F.col("margins")[0], 4).alias("prediction"))
+
+
+_STUMP_PART = " + ".join(f"coalesce((SELECT CASE WHEN x{{k}} <= c THEN vl ELSE vr END - (vl * nl + vr * nr) / (nl + nr) FROM t{turn} WHERE f = {{k}}), 0)" for turn in (1, 2))
+
+
+@query(f"""{_STUMPS} SELECT l_orderkey, l_linenumber, {', '.join(f'round({_STUMP_PART.format(k=k)}, 4) AS c{k}' for k in range(3))},
+round((SELECT (vl * nl + vr * nr) / (nl + nr) FROM t1) + (SELECT (vl * nl + vr * nr) / (nl + nr) FROM t2), 4) AS bias FROM l""")
+def stump_contributions(spark, sf_dir):
+    rows, forest = _stumps(spark, sf_dir)
+    return trees.contributions(forest, rows).select("l_orderkey", "l_linenumber", *[F.round(F.col("contributions")[k], 4).alias(f"c{k}") for k in range(3)], F.round("bias", 4).alias("bias"))
+
+
+@query(f"""{_STUMPS}, q AS (SELECT quantile_cont(x0, 0.01) AS lo, quantile_cont(x0, 0.99) AS hi FROM l), v AS (SELECT lo + (hi - lo) * k / 10 AS value FROM q, (SELECT unnest(range(11)) AS k)),
+p AS (SELECT value, {_stump_value(1, 'value', 'x1', 'x2')} + {_stump_value(2, 'value', 'x1', 'x2')} AS p FROM l, v)
+SELECT value, round(avg(p), 4) AS mean, round(quantile_cont(p, 0.25), 4) AS q25, round(quantile_cont(p, 0.75), 4) AS q75 FROM p GROUP BY value""")
+def ice_stumps(spark, sf_dir):
+    rows, forest = _stumps(spark, sf_dir)
+    return trees.ice(forest, rows, "l_quantity", 11).select("value", *[F.round(c, 4).alias(c) for c in ("mean", "q25", "q75")])
 
 
 #: A stand-in for each measured column, over the columns of ``hr``.

@@ -229,12 +229,14 @@ def train(
     start: Sequence[float] | None = None,
     cuts: list[list[float]] | None = None,
     watch: Callable[[int, float], bool] | None = None,
+    staged: Callable[[DataFrame], float] | None = None,
 ) -> Forest:
     """A forest for ``objective``. Missing values (null, NaN) go where they gain more; rows without a label or with no positive weight are left out.
 
     ``constraints`` are groups of feature numbers as interaction_constraints() writes them: a path uses features of one group only. With ``validation``
     (a boolean column; its rows aren't trained on) ``watch(round, loss)`` hears its loss each round and ends training by returning True, and
-    ``patience`` rounds without a better one end it, too; the forest then has the rounds up to the best. Jobs run while this is called.
+    ``patience`` rounds without a better one end it, too; the forest then has the rounds up to the best. With ``staged`` watch hears what that makes of
+    the validation rows (label, weight, margins) instead. Jobs run while this is called.
     """
     objective = objective or squared()
     n = len(features)
@@ -286,11 +288,11 @@ def train(
             written, since = checkpointed(_advanced(written, since, n)), []
         if validation:
             after = _advanced(written, since, n).where("valid")
-            loss = after.agg((F.sum(objective.loss(F.col("label"), F.col("margins")) * F.col("weight")) / F.sum("weight")).alias("l")).first().l
+            loss = None if staged and not settings.patience else after.agg((F.sum(objective.loss(F.col("label"), F.col("margins")) * F.col("weight")) / F.sum("weight")).alias("l")).first().l
             loss = math.inf if loss is None else loss
             if loss < best_loss:
                 best_loss, best_round = loss, len(trees)
-            if (watch and watch(turn, loss)) or (settings.patience and len(trees) - best_round >= settings.patience):
+            if (watch and watch(turn, staged(after) if staged else loss)) or (settings.patience and len(trees) - best_round >= settings.patience):
                 break
     kept = trees[:best_round] if validation and settings.patience else trees
     return Forest(tuple(features), tuple(t for round_ in kept for t in round_), tuple(k for round_ in kept for k in range(len(round_))), start)

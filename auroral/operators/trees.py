@@ -279,3 +279,11 @@ def top_interactions(strengths: DataFrame, k: int = 10) -> DataFrame:
     best = apart.groupBy("feature").agg(F.sum("mean_abs").alias("s")).orderBy(F.desc("s"), "feature").limit(k)  # k rows
     ranked = best.agg(F.collect_list(F.struct((-F.col("s")).alias("s"), "feature")).alias("x")).select(F.posexplode(F.array_sort("x")).alias("p", "x")).select(F.col("x.feature").alias("feature"), (F.col("p") + 1).alias("rank"))
     return apart.join(F.broadcast(ranked), "feature").join(F.broadcast(ranked.select(F.col("feature").alias("other"))), "other").select("feature", "other", "mean_abs", "rank")
+
+
+def ice(forest: Forest, df: DataFrame, feature: str, points: int = 60, output: int = 0) -> DataFrame:
+    """(value, mean, q25, q75): predictions of all rows of ``df`` with ``feature`` set to each of a grid from its 1st to its 99th percentile. Take a sample() of large tables."""
+    low, high = df.agg(F.percentile(F.col(f"`{feature}`"), F.array(F.lit(0.01), F.lit(0.99))).alias("q")).first()["q"] or (None, None)
+    grid = F.array(*[F.lit(low + (high - low) * k / (points - 1)) for k in range(points)]) if low is not None else F.expr("cast(array() as array<double>)")
+    shown = predict(forest, df.withColumn(feature, F.explode(grid)), "__m").select(F.col(f"`{feature}`").alias("value"), F.col("__m")[output].alias("p"))
+    return shown.groupBy("value").agg(F.avg("p").alias("mean"), F.percentile("p", 0.25).alias("q25"), F.percentile("p", 0.75).alias("q75"))
