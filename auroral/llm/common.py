@@ -64,10 +64,10 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` documents with their label, in one partition: those of least hash among rows where ``use`` holds.
+    """At most ``max_rows`` documents with their label, in one partition: those of least hash among ids where ``use`` holds, one row for each.
 
-    Null ids and labels are left out; an id with several labels gets the largest. Only chosen ids
-    (``max_rows`` at most) are broadcast.
+    Null ids and labels are left out; an id with several labels gets the largest, an id with several texts that of least hash (then the
+    least text), so that the sample doesn't depend on how rows are dealt out. Only chosen ids (``max_rows`` at most) are broadcast.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & use)
@@ -76,7 +76,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(max_rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x")).select("doc_id", "x.text", "x.label").coalesce(1)
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -2,9 +2,8 @@
 
 A text's terms are its pairs of consecutive words (its one word, if it has no
 pair), and for short texts also its three-character pieces. Each term's 64-bit
-hash votes, with the term's weight, for or against each bit. Two bits share one
-long sum (bit j in the lower 31 bits, bit j + 32 above), so that 32 sums count
-all votes in one hash aggregation.
+hash votes, with the term's weight, for or against each bit; one hash
+aggregation counts the votes.
 
 ``within_radius`` finds fingerprints within a Hamming radius by permuted block
 tables: the bits are cut into blocks, and two fingerprints that differ in at most
@@ -21,11 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_bytes
 
-_PAIR = 0x0000000100000001
 SHORT_CHARS = 400
+#: Votes of a pair of short words; fine enough that the weight of pieces has no jump at SHORT_CHARS.
+UNIT = 64
 #: Rows are put in order within buckets of neighbouring ids of about this much text.
 BUCKET_BYTES = 14 << 20
-MAX_BUCKETS = 1000
+MAX_BUCKETS = 10_000
 
 
 def terms(text: Column) -> Column:
@@ -49,20 +49,21 @@ def terms(text: Column) -> Column:
 def simhash(texts: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, fp long) of rows (*keys, text), one for each distinct key.
 
-    A key must determine its text. Each occurrence of a term votes with the term's weight: a pair with 1, and 1 more for
-    each of its words of over three characters; a piece with up to 8, the less the longer the text. Bits are set where the
-    votes for them are more than half. Null texts are empty.
+    A key must determine its text; rows of one key add up in proportion, which changes no bit. Each occurrence of a term votes
+    with the term's weight: a pair with UNIT, and UNIT more for each of its words of over three characters; a piece with up to 8 UNIT,
+    falling to nothing in equal steps as the text grows to ``SHORT_CHARS``. Bits are set where the votes for them are more than half.
+    Null texts are empty. A bit's votes have a long of their own: at 3 UNIT for each of 20,000 words, 2 * 10**12 copies fit.
     """
     text = F.coalesce("text", F.lit(""))
-    piece_weight = F.greatest(F.lit(1), F.ceil((SHORT_CHARS - F.length(text)) / (SHORT_CHARS / 8))).cast("long")
+    piece_weight = F.greatest(F.lit(1), F.floor((SHORT_CHARS - F.length(text)) * (8 * UNIT) / SHORT_CHARS)).cast("long")
     voted = texts.select(*keys, piece_weight.alias("pw"), F.explode(terms(text)).alias("t")).select(*keys, "pw", "t.a", "t.b")
-    weighed = voted.select(*keys, F.xxhash64("a", "b").alias("h"), F.expr("if(b is null, pw, 1L + if(length(a) > 3, 1L, 0L) + if(length(b) > 3, 1L, 0L))").alias("w"))
-    sums = [F.sum(F.expr(f"(shiftrightunsigned(h, {j}) & {_PAIR}L) * w")).alias(f"v{j}") for j in range(32)]
+    weighed = voted.select(*keys, F.xxhash64("a", "b").alias("h"), F.expr(f"if(b is null, pw, {UNIT}L * (1L + if(length(a) > 3, 1L, 0L) + if(length(b) > 3, 1L, 0L)))").alias("w"))
+    sums = [F.sum(F.expr(f"(shiftrightunsigned(h, {j}) & 1L) * w")).alias(f"v{j}") for j in range(64)]
     counted = weighed.groupBy(*keys).agg(F.sum("w").alias("all"), *sums)
-    low = [F.when(F.expr(f"(v{j} & 4294967295L) * 2 > all"), F.lit(1 << j)).otherwise(F.lit(0).cast("long")) for j in range(32)]
-    high = [F.when(F.expr(f"shiftrightunsigned(v{j}, 32) * 2 > all"), F.expr(f"shiftleft(1L, {j + 32})")).otherwise(F.lit(0).cast("long")) for j in range(32)]
-    fp = low[0]
-    for bit in [*low[1:], *high]:
+    # half of all votes from both sides: nothing is doubled, so nothing overflows
+    bits = [F.when(F.col(f"v{j}") > F.col("all") - F.col(f"v{j}"), F.expr(f"shiftleft(1L, {j})")).otherwise(F.lit(0).cast("long")) for j in range(64)]
+    fp = bits[0]
+    for bit in bits[1:]:
         fp = fp.bitwiseOR(bit)
     return counted.select(*keys, fp.alias("fp"))
 
@@ -81,7 +82,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = max(1, min(MAX_BUCKETS, text_bytes(docs) // BUCKET_BYTES))
     ids = docs.select(F.col("doc_id").cast("long").alias("i"))
-    cuts = sorted(set(ids.agg(F.percentile_approx("i", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(1.0)), F.lit(10_000))).first()[0] or [])) if n > 1 else []
+    cuts = sorted(set(ids.agg(F.percentile_approx("i", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(1.0)), F.lit(100_000))).first()[0] or [])) if n > 1 else []
     if cuts:
         bucket = lambda c: F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < c)), F.lit(0))
     else:
@@ -100,7 +101,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         ghosts = rows.join(F.broadcast(firsts), key == F.col("i")).select("b", F.lit(1).alias("later"), "doc_id", "text")
         own = own.unionByName(ghosts)
     order = Window.partitionBy("b").orderBy("later", F.col("doc_id").desc_nulls_last(), "text")
-    return own.withColumn("next_text", F.lead("text").over(order)).where("later = 0").select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    # only where no row has an id is there no such first row: all are one bucket then, whose last is followed by its first
+    first = F.first("text").over(order)
+    return own.withColumns({"next_text": F.lead("text").over(order), "first_text": first}).where("later = 0").select("doc_id", "text", F.coalesce("next_text", "first_text").alias("next_text"))
 
 
 def text_key(text: Column) -> list[Column]:
@@ -112,7 +115,7 @@ def fingerprint_with_edits(docs: DataFrame, radius: int = 3, every: int = 100) -
     """For each row of (doc_id, text): n_chars, edited_sha256, fingerprint, edited_fingerprint (16 hex digits), near_edited, near_next, n_near.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the next document.
-    Each distinct text is fingerprinted once. n_near is given for rows whose doc_id is divisible by ``every`` (null for
+    Copies of a text share one row of votes. n_near is given for rows whose doc_id is divisible by ``every`` (null for
     others): how many other rows have a fingerprint within ``radius`` bits of this one's, by within_radius(). Repeated rows
     each give a row; null texts are empty.
     """

@@ -346,8 +346,8 @@ def brute_fp(text):
 
     terms = []
     w = re.split(r"\s+", text, flags=re.ASCII)
-    terms += [(h(a, b), 1 + (len(a) > 3) + (len(b) > 3)) for a, b in pairwise(w)]
-    weight = max(1, math.ceil((400 - len(text)) / 50))
+    terms += [(h(a, b), 64 * (1 + (len(a) > 3) + (len(b) > 3))) for a, b in pairwise(w)]
+    weight = max(1, math.floor((400 - len(text)) * 512 / 400))
     if len(w) < 2:
         terms.append((h(text, None), weight))
     if 1 <= len(text) < 400:
@@ -374,6 +374,32 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint_with_edits(docs_of(spark, [])).count() == 0
 
 
+def test_votes_of_many_copies_fit(spark):
+    text = " ".join(["boilerplate notice"] * 2000)
+    copies = spark.range(20000).select("id", F.lit(text).alias("text"), F.lit(1).alias("k"))
+    one = fingerprint.simhash(docs_of(spark, [(1, text)]), ["doc_id"]).first().fp
+    # two sums in a long would hold 2**31 votes: 4000 terms of 192 pass that with 2797 copies
+    assert [r.fp for r in fingerprint.simhash(copies.limit(3000), ["k"]).collect()] == [one]
+
+
+def test_fingerprints_hardly_change_where_pieces_end(spark):
+    texts = {n: (prose(9, 200))[:n] for n in (398, 399, 400, 401)}
+    got = {r.doc_id: r.fp for r in fingerprint.simhash(docs_of(spark, list(texts.items())), ["doc_id"]).collect()}
+    assert all((got[n] ^ got[n + 1]).bit_count() <= 6 for n in (398, 399, 400))
+
+
+def test_next_text_without_any_id(spark):
+    got = fingerprint.with_next(docs_of(spark, [(None, "b"), (None, "a"), (None, "c")])).collect()
+    assert sorted((r.text, r.next_text) for r in got) == [("a", "b"), ("b", "c"), ("c", "a")]
+
+
+def test_samples_do_not_depend_on_how_rows_are_dealt_out(spark):
+    rows = [(k % 5, f"text {k}") for k in range(100)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, quality int")
+    found = [sorted(tuple(r) for r in common.labelled_sample(docs_of(spark, rows[::step]).unionByName(docs_of(spark, rows)).repartition(n), labels, "quality", F.lit(True), 5).collect()) for n, step in ((1, 1), (3, 7), (8, 3))]
+    assert found[0] == found[1] == found[2] and [r[0] for r in found[0]] == list(range(5))
+
+
 def test_neighbours_across_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_BYTES", 200)
     rows = [(k * 7 % 101, f"t{k}") for k in range(60)]
