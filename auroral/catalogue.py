@@ -365,13 +365,26 @@ def recovery_given_peaks(spark, sf_dir):
     return state.recovery_state(s, "d", "peak", 24, -50).df.select("event_id", r6("recovery_state_lookback_24_thresh_-50", 5).alias("recovery"))
 
 
-@query()
+@query(f"""{_PEAKS}, m AS (SELECT r.event_id, r.user_id, r.rn, ev.d, p IS NOT NULL AS peak FROM r JOIN ev USING (event_id) LEFT JOIN peaks ON r.user_id = peaks.user_id AND r.rn = peaks.p),
+q AS (SELECT *, lag(d, 1) OVER o AS d1, lag(d, 2) OVER o AS d2, rn - last_value(CASE WHEN peak THEN rn END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS el FROM m WINDOW o AS (PARTITION BY user_id ORDER BY rn))
+SELECT event_id, CASE WHEN el <= 24 THEN round(least(el / 24.0, 1.0) * (1 + 0.5 * CASE WHEN d1 IS NULL OR d2 IS NULL THEN 0 ELSE greatest(d - d1, 0) + greatest(d1 - d2, 0) END), 6) END AS recovery FROM q""")
 def recovery_state(spark, sf_dir):
     s = state.storm_peaks(ev(spark, sf_dir), "d", -50, 15, 1)
     return state.recovery_state(s, "d", "is_peak", 24, -50).df.select("event_id", r6("recovery_state_lookback_24_thresh_-50").alias("recovery"))
 
 
-@query()
+_PERIODS = f"""{EV}, r AS (SELECT user_id, -d AS x, row_number() OVER w AS rn, lag(-d) OVER w AS before FROM ev {W}),
+runs AS (SELECT user_id, x, min(rn) AS a, max(rn) AS b FROM (SELECT *, sum(CASE WHEN x = before THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY rn) AS g FROM r) GROUP BY user_id, g, x),
+tops AS (SELECT user_id, (a + b) // 2 AS p, x AS h FROM (SELECT *, lag(x) OVER o AS l, lead(x) OVER o AS n FROM runs WINDOW o AS (PARTITION BY user_id ORDER BY a)) WHERE l < x AND n < x),
+far AS (SELECT user_id, unnest(list_reduce(list([p] ORDER BY h DESC, p DESC), lambda kept, q: CASE WHEN len(list_filter(kept, lambda y: abs(y - q[1]) < 12)) = 0 THEN list_concat(kept, q) ELSE kept END)) AS p FROM tops GROUP BY user_id),
+sides AS (SELECT t.user_id, t.p, h, coalesce(max(rn) FILTER (rn < t.p AND x > h), 0) AS lo, coalesce(min(rn) FILTER (rn > t.p AND x > h), 1000000000) AS hi FROM tops t JOIN far ON t.user_id = far.user_id AND t.p = far.p JOIN r ON r.user_id = t.user_id WHERE h > 30 GROUP BY ALL),
+deep AS (SELECT s.user_id, p FROM sides s JOIN r ON r.user_id = s.user_id GROUP BY s.user_id, p, h HAVING h - greatest(min(x) FILTER (rn > lo AND rn <= p), min(x) FILTER (rn >= p AND rn < hi)) >= 15),
+spans AS (SELECT d.user_id, p, coalesce(max(rn) FILTER (rn BETWEEN p - 71 AND p - 1 AND x < 30), p) AS s, coalesce(min(rn) FILTER (rn BETWEEN p + 1 AND p + 119 AND x < 30), p) AS e FROM deep d JOIN r ON r.user_id = d.user_id GROUP BY d.user_id, p),
+kept AS (SELECT user_id, s, e, coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS upto FROM spans WHERE e - s >= 2),
+numbered AS (SELECT *, sum(CASE WHEN s > upto THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS storm FROM kept)"""
+
+
+@query(f"{_PERIODS} SELECT user_id, CAST(storm AS BIGINT) AS storm, min(s) AS start, max(e) AS \"end\" FROM numbered GROUP BY user_id, storm")
 def storm_periods(spark, sf_dir):
     return state.storm_periods(ev(spark, sf_dir), "d", threshold=-30, min_duration=2)
 

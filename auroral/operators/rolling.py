@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auroral.scan import Recursion, recursions
 from auroral.series import Series
 
 
@@ -38,7 +39,7 @@ def recursion_rows(keep: float) -> int:
 
 
 def ewm(series: Series, column: str, span: int) -> Column:
-    """Exponential mean, weights not adjusted: the first value seeds it; missing values keep the last mean."""
+    """Exponential mean, weights not adjusted: the first value seeds it; missing values keep the last mean. For chunks, with a halo of recursion_rows(); moving_average() scans series of any length."""
     alpha = 2 / (span + 1)
     rows = recursion_rows(1 - alpha)
     values = F.collect_list(column).over(series.last(rows))
@@ -52,7 +53,7 @@ def moving_average(series: Series, column: str, method: str, window: int = 5, sp
     if method == "rolling":
         new = {f"{column}_ma_{window}": F.avg(c).over(last)}
     elif method == "ewm":
-        new = {f"{column}_ewm_{span or window}": ewm(series, column, span or window)}
+        return recursions(series, [Recursion(column, f"{column}_ewm_{span or window}", 1 - 2 / ((span or window) + 1), hold=True, seed=True)])
     elif method == "median":
         new = {f"{column}_median_{window}": F.percentile(c, 0.5).over(last)}
     elif method == "bollinger":

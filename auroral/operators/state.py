@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auroral.operators.rolling import recursion_rows
+from auroral.operators.peaks import long_peaks
+from auroral.scan import Recursion, recursions
 from auroral.series import Series, clean
 
 
@@ -28,19 +29,16 @@ def tail_input(n: Column, v: Column, bz: Column, threshold: float = 3.0) -> Colu
     return F.when(ready, F.greatest(F.lit(0.0), threshold - bz) * F.greatest(v, F.lit(1.0)) * F.greatest(n, F.lit(1e-6)) * 1e-4)
 
 
-def loading_state(series: Series, inputs: str, tau: float, name: str) -> Series:
-    """s = a x + (1 - a) s before, with a = 1 - exp(-1 / tau); it begins, and begins anew after a missing input, at a x.
+def loading_states(series: Series, states: dict[str, tuple[str, float]]) -> Series:
+    """For each name an (input column, tau): s = a x + (1 - a) s before, with a = 1 - exp(-1 / tau); it begins, and begins anew after a missing input, at a x.
 
-    A missing input begins a new island; within an island the state is a fold over as many rows as doubles can tell apart.
+    All of them in one scan over tasks, whatever the length of a series.
     """
-    alpha = 1 - math.exp(-1 / tau)
-    rows = recursion_rows(1 - alpha)
-    island = F.sum(F.col(inputs).isNull().cast("int")).over(series.so_far)
-    marked = series.with_columns(_island=island)
-    own = Series(marked.df, series.order_by, (*series.partition_by, "_island"))
-    held = F.collect_list(inputs).over(own.last(rows))
-    folded = F.aggregate(held, F.lit(0.0), lambda s, x: s * (1 - alpha) + x * alpha)
-    return Series(own.df.withColumn(name, F.when(F.col(inputs).isNotNull(), folded)).drop("_island"), series.order_by, series.partition_by)
+    return recursions(series, [Recursion(inputs, name, math.exp(-1 / tau)) for name, (inputs, tau) in states.items()])
+
+
+def loading_state(series: Series, inputs: str, tau: float, name: str) -> Series:
+    return loading_states(series, {name: (inputs, tau)})
 
 
 def coupling_efficiency(dst: Column, ae: Column, n: Column, v: Column, bx: Column, by: Column, bz: Column, epsilon: float = 1.0) -> Column:
@@ -111,9 +109,11 @@ def find_peaks(x: np.ndarray, height: float | None = None, distance: int | None
 def with_peaks(series: Series, column: str, peaks: dict[str, dict], sign: float = -1.0, offset: float = 1.0) -> Series:
     """For each name in ``peaks``, a flag of the peaks of sign * x + offset that pass its filters, in each series. Looks at later rows.
 
-    Rows must be unique by partition and order. The peaks of a series depend on all of it: a series is one task's work, of
-    which only the keys and the value are moved, for all names at once.
+    Series may be of any length, unless a filter asks for a ``distance``: whether a peak stays then depends on all others, so that a series is
+    one task's work, of which only the keys and the value are moved; orders must be unique within a series for that.
     """
+    if not any("distance" in f for f in peaks.values()):
+        return long_peaks(series, column, peaks, sign, offset)
     keys = [*series.partition_by, *series.order_by]
     names = list(peaks)
     schema = series.df.select(*keys).schema
@@ -132,7 +132,9 @@ def with_peaks(series: Series, column: str, peaks: dict[str, dict], sign: float
 
     found = series.df.select(*keys, column).groupBy(*series.partition_by).applyInPandas(run, schema)
     some = functools.reduce(lambda a, b: a | b, [F.col(n) for n in names])
-    return Series(series.df.join(found.where(some), keys, "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in names}), series.order_by, series.partition_by)
+    told = found.where(some).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *names)
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return Series(series.df.join(told, same, "left").drop(*[f"_k_{k}" for k in keys]).withColumns({n: F.coalesce(n, F.lit(False)) for n in names}), series.order_by, series.partition_by)
 
 
 def storm_filter(threshold: float = -50, prominence: float = 15, min_duration: float = 2) -> dict:
@@ -148,7 +150,7 @@ def recovery_state(series: Series, column: str, peak: str, lookback: int = 24, t
     """From the last peak strictly before, within ``lookback`` rows: elapsed share (24 rows are 1) times 1 plus half the two last rises."""
     x, w = F.col(column), series.window
     numbered = series.with_columns(_rn=series.row_number())
-    elapsed = F.col("_rn") - F.last(F.when(F.col(peak), F.col("_rn")), True).over(numbered.before)
+    elapsed = F.col("_rn") - F.max(F.when(F.col(peak), F.col("_rn"))).over(w.rowsBetween(-lookback, -1))
     x1, x2 = F.lag(x, 1).over(w), F.lag(x, 2).over(w)
     rate = F.coalesce(F.greatest(x - x1, F.lit(0.0)) * F.when(x1.isNotNull(), 1) + F.greatest(x1 - x2, F.lit(0.0)) * F.when(x1.isNotNull() & x2.isNotNull(), 1), F.lit(0.0))
     state = F.when(x.isNotNull() & (elapsed <= lookback), F.least(elapsed / 24.0, F.lit(1.0)) * (1 + 0.5 * rate))

@@ -124,8 +124,7 @@ def magnetosphere(series: Series) -> Series:
     c = F.col
     s = state.with_peaks(series, DST, {f"_peak{k}": state.storm_filter(threshold) for k, (_, threshold) in enumerate(RECOVERY)})
     s = s.with_columns(_e=state.energy_input(c(DENSITY), c(SPEED), c(BX), c(BY), c(BZ)), _t=state.tail_input(c(DENSITY), c(SPEED), c(BZ)))
-    s = state.loading_state(s, "_e", 8.5, ENERGY)
-    s = state.loading_state(s, "_t", 2.0, TAIL).drop("_e", "_t")
+    s = state.loading_states(s, {ENERGY: ("_e", 8.5), TAIL: ("_t", 2.0)}).drop("_e", "_t")
     s = s.with_columns(**{COUPLING: state.coupling_efficiency(c(DST), c(AE), c(DENSITY), c(SPEED), c(BX), c(BY), c(BZ))})
     names = [ENERGY, TAIL, COUPLING]
     for k, (lookback, threshold) in enumerate(RECOVERY):

@@ -262,3 +262,17 @@ def test_daily_values_must_be_complete(spark):
     assert [r.flux for r in ingest.join_daily(rows, daily.limit(1), "t", "day").orderBy("t").collect()] == [1.5, None]
     with pytest.raises(ValueError):
         ingest.join_daily(rows, daily.limit(1), "t", "day", complete=True).count()
+
+
+def test_null_series_keep_their_peaks_and_matches(spark):
+    x = [float(v) for v in (0, -10, -80, -90, -70, -20, 0, -60, -75, -10, 5, 0, -3, -90, -2)]
+    rows = [(u, k, v) for u in (1, None) for k, v in enumerate(x)]
+    s = Series(spark.createDataFrame(rows, "u int, t int, d double"), ("t",), ("u",))
+    for filters in ({"height": 50, "prominence": 15, "width": 1}, {"distance": 4, "prominence": 5}):
+        got = state.with_peaks(s, "d", {"p": filters}).df.where("p").collect()
+        assert sorted(r.t for r in got if r.u == 1) == sorted(r.t for r in got if r.u is None) == state.find_peaks(1 - np.array(x), **filters).tolist()
+    storms = state.storm_periods(s, "d", threshold=-30, min_duration=2).collect()
+    assert [(r.start, r.end) for r in storms if r.u == 1] == [(r.start, r.end) for r in storms if r.u is None] != []
+    labelled = s.with_columns(y=(F.col("d") <= -50).cast("int"))
+    m = metrics.boundary_metrics(labelled, "y", "y").first()
+    assert (m.exact_precision, m.exact_recall, m.n_true) == (1.0, 1.0, 6)
