@@ -9,13 +9,15 @@ occurs there.
    Phrases that occur once in the corpus rule their windows out.
 2. Confirmation. The windows left are grouped by a 128-bit key over all blocks:
    those that occur more than once are confirmed, and each block with such a
-   window learns its leader, the first place of all.
-3. Location. Runs of a block's confirmed windows are its passages. A
-   pyahocorasick automaton over word numbers holds pieces of them, so placed that every
-   window contains a whole piece; there is one automaton for each block, so none is
-   larger than a block. All words of all its documents are streamed through it;
-   each piece found is extended in both directions, which gives every occurrence
-   of every confirmed window. Those that begin after their leader go.
+   window learns one place of it in the block, where its words can be read, and
+   its leader, the first place of all.
+3. Location. Runs of the places that confirmation gave are a block's passages.
+   A pyahocorasick automaton over word numbers holds pieces of them, so placed that every
+   window contains a whole piece; windows whose piece many passages share are
+   keys of their own, in further automata of bounded size. All words of all
+   the block's documents are streamed through these; a piece found is extended in both
+   directions. This gives every occurrence of every confirmed window, and nothing else
+   does: no window is looked up. Those that begin after their leader go.
 """
 
 from __future__ import annotations
@@ -98,11 +100,15 @@ def _ask_phrases(window: int, phrase: int):
     return run
 
 
-_WINDOWS = [("k0", pa.int64()), ("k1", pa.int64()), ("block", pa.int32()), ("doc", pa.int64()), ("place", pa.int32()), ("many", pa.bool_())]
+_WINDOWS = [("k0", pa.int64()), ("k1", pa.int64()), ("block", pa.int32()), ("doc", pa.int64()), ("place", pa.int32()), ("at", pa.int32()), ("many", pa.bool_())]
+#: A piece that more places share is not extended at each of them.
+SHARED = 4
+#: Windows that are keys of one automaton.
+SHARD = 1 << 15
 
 
 def _ask_windows(window: int, phrase: int):
-    """The block's distinct windows whose phrases recur: key, first place, and whether it has more than one of each."""
+    """The block's distinct windows whose phrases recur: key, first place (also as the number of the block's word), and whether it has more than one of each."""
 
     def run(table: pa.Table, phrases: pa.Table) -> pa.Table:
         give_back()
@@ -123,7 +129,7 @@ def _ask_windows(window: int, phrase: int):
         many = np.diff(np.append(first, len(k0))) > 1
         lead = order[first]
         block = np.full(len(first), table.column("block")[0].as_py(), np.int32)
-        return pa.table({"k0": k0[first].view(np.int64), "k1": k1[first].view(np.int64), "block": block, "doc": doc[lead], "place": place[lead].astype(np.int32), "many": many})
+        return pa.table({"k0": k0[first].view(np.int64), "k1": k1[first].view(np.int64), "block": block, "doc": doc[lead], "place": place[lead].astype(np.int32), "at": begin[lead].astype(np.int32), "many": many})
 
     return run
 
@@ -136,9 +142,9 @@ def _spelled(numbers: np.ndarray) -> str:
 
 
 class Passages:
-    """The passages of a block and the automaton of their pieces.
+    """The passages of a block and the automata of their pieces.
 
-    ``words`` are all words of the block as numbers; ``confirmed`` holds the first place of each confirmed window, in order.
+    ``words`` are all words of the block as numbers; ``confirmed`` holds a place of each distinct confirmed window, in order.
     """
 
     def __init__(self, words: np.ndarray, confirmed: np.ndarray, window: int):
@@ -159,15 +165,31 @@ class Passages:
             for at in range(lo, hi - self.piece + 1, stride):
                 pieces.setdefault(self.text[3 * at : 3 * (at + self.piece)], []).append((number, at))
         self.automaton = ahocorasick.Automaton()
+        whole = []  # windows whose one piece is shared
         for key, places in pieces.items():
-            self.automaton.add_word(key, places)
+            if len(places) <= SHARED:
+                self.automaton.add_word(key, places)
+                continue
+            for number, at in places:
+                lo, hi = self.runs[number]
+                whole += range(max(lo, at - stride + 1), min(at, hi - window) + 1)
         self.automaton.make_automaton()
+        self.whole = []
+        for k in range(0, len(whole), SHARD):
+            shard = ahocorasick.Automaton()
+            for at in whole[k : k + SHARD]:
+                shard.add_word(self.text[3 * at : 3 * (at + window)], at)
+            shard.make_automaton()
+            self.whole.append(shard)
 
     def occurrences(self, first: int, last: int):
-        """(lo, hi, shift) of each stretch of a window or more of words[first:last] that equals words[lo - shift : hi - shift] of a passage."""
+        """(lo, hi, shift) of each stretch of a window or more of words[first:last] that equals words[lo - shift : hi - shift] of a passage.
+
+        Takes time in proportion to the words and to what is returned: a place has ``SHARED`` extensions at most, and windows found whole are results.
+        """
         t = self.text
         done: dict[tuple[int, int], int] = {}  # (passage, shift): compared up to here
-        for end, places in self.automaton.iter(t[3 * first : 3 * last]):
+        for end, places in self.automaton.iter(t[3 * first : 3 * last]) if len(self.automaton) else ():
             at = first + (end + 1) // 3 - self.piece
             for number, other in places:
                 shift = at - other
@@ -185,6 +207,10 @@ class Passages:
                 done[number, shift] = hi
                 if hi - lo >= self.window:
                     yield lo, hi, shift
+        for shard in self.whole:
+            for end, other in shard.iter(t[3 * first : 3 * last]):
+                hi = first + (end + 1) // 3
+                yield hi - self.window, hi, hi - self.window - other
 
 
 def _repeated(table: pa.Table, confirmed: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,20 +218,18 @@ def _repeated(table: pa.Table, confirmed: pa.Table, window: int) -> tuple[np.nda
     h, r, place = _tokens(table.column("text"))
     later = np.zeros(len(h) + 1, np.int32)
     if confirmed.num_rows and len(h) >= window:
-        told = confirmed.column("k0").to_numpy().view(np.uint64)
-        order = np.argsort(told)
-        told, lead_doc, lead_place = told[order], confirmed.column("doc").to_numpy()[order], confirmed.column("place").to_numpy()[order]
-        keys = _windows(h, r, window)
-        at = np.minimum(np.searchsorted(told, keys), len(told) - 1)
-        begin = np.flatnonzero((told[at] == keys) & (keys != 0))
-        _, once = np.unique(at[begin], return_index=True)
-        passages = Passages(h, np.sort(begin[once]), window)
+        at = confirmed.column("at").to_numpy()
+        order = np.argsort(at)
+        at, lead_doc, lead_place = at[order], confirmed.column("doc").to_numpy()[order], confirmed.column("place").to_numpy()[order]
+        number = np.zeros(len(h), np.int32)  # of the window that confirmation saw here
+        number[at] = np.arange(len(at))
+        passages = Passages(h, at.astype(np.int64), window)
         ids, own = table.column("doc_id").to_numpy(), np.bincount(r, minlength=table.num_rows)
         last = np.cumsum(own)
         for row in np.flatnonzero(own >= window).tolist():
             doc = ids[row]
             for lo, hi, shift in passages.occurrences(int(last[row] - own[row]), int(last[row])):
-                said = at[lo - shift : hi - shift - window + 1]
+                said = number[lo - shift : hi - shift - window + 1]
                 later[lo : hi - window + 1] |= (lead_doc[said] < doc) | ((lead_doc[said] == doc) & (lead_place[said] < place[lo : hi - window + 1]))
     # a word goes if one of the windows that cover it does
     before = np.cumsum(later) - later
@@ -257,10 +281,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 7 << 19
     same = Window.partitionBy("phrase")
     recurs = (F.count("*").over(same) > 1) | F.max("many").over(same)
     phrases = materialise(asked.withColumn("recurs", recurs).where("recurs").select("block", "phrase"), "repeats-phrases")
-    wanted = brief.cogroup(phrases.groupBy("block")).applyInArrow(_ask_windows(window, phrase), "k0 long, k1 long, block int, doc long, place int, many boolean")
+    wanted = brief.cogroup(phrases.groupBy("block")).applyInArrow(_ask_windows(window, phrase), "k0 long, k1 long, block int, doc long, place int, at int, many boolean")
     same = Window.partitionBy("k0", "k1")
     led = wanted.withColumn("lead", F.min(F.struct("doc", "place")).over(same)).withColumn("recurs", (F.count("*").over(same) > 1) | F.max("many").over(same))
-    confirmed = materialise(led.where("recurs").select("block", "k0", "lead.doc", "lead.place"), "repeats-windows")
+    confirmed = materialise(led.where("recurs").select("block", "at", "lead.doc", "lead.place"), "repeats-windows")
     discard(phrases)
     more = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(extra, names, strict=True))
     out = own.repartition("block").groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(_remover(window, names, layout), "doc_id long, n_words long, n_removed long, kept string" + more)

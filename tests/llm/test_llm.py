@@ -298,6 +298,45 @@ def test_automata_find_every_occurrence():
         assert seen == {(x, chosen[words_[x : x + window]]) for x in range(100, n - window + 1) if words_[x : x + window] in chosen}
 
 
+def test_time_grows_with_the_words_where_passages_share_a_piece():
+    """Licence headers with a variable tail: up to a whole block of them, each twice."""
+    import time
+
+    def took(n):
+        rng = np.random.default_rng(n)
+        tails = rng.integers(100, 10**6, (n // 40, 8))
+        passages = np.concatenate([np.tile(np.arange(1, 13), (len(tails), 1)), tails], axis=1)
+        text = np.concatenate([passages, passages]).ravel().astype(np.uint64)
+        began = time.monotonic()
+        found = list(repeats.Passages(text, np.arange(len(tails)) * 20, 20).occurrences(0, len(text)))
+        assert len(found) >= 2 * len(tails) and {lo for lo, hi, _ in found if lo % 20 == 0} == set(range(0, len(text), 20))
+        return time.monotonic() - began
+
+    took(2000)
+    few, many = took(40_000), took(600_000)
+    assert many < 15 * few * 4  # 15 times the words; with a list to walk for each hit it would be 225 times
+
+
+def test_shared_pieces_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD", 7)
+    rng = random.Random(3)
+    for shared in (0, 1, 4):
+        monkeypatch.setattr(repeats, "SHARED", shared)
+        for _ in range(30):
+            window, n = rng.choice([4, 5, 7]), 200
+            text = tuple(rng.randrange(1, 3) for _ in range(n))
+            first = {}
+            for k in range(n - window + 1):
+                first.setdefault(text[k : k + window], k)
+            chosen = {w: k for w, k in first.items() if rng.random() < 0.6}
+            if not chosen:
+                continue
+            found = repeats.Passages(np.array(text, np.uint64), np.array(sorted(chosen.values())), window).occurrences(0, n)
+            seen = {(x, x - shift) for lo, hi, shift in found for x in range(lo, hi - window + 1)}
+            assert {x for x, _ in seen} == {x for x in range(n - window + 1) if text[x : x + window] in chosen}
+            assert all(text[x : x + window] == text[y : y + window] for x, y in seen)
+
+
 # --- pieces
 
 
