@@ -37,20 +37,43 @@ def test_constraints():
         grouping.interaction_constraints(names, "none")
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [("a", f"2024-01-01 00:{k:02d}:00", float(k % 7)) for k in range(30)] + [("b", f"2024-01-01 00:{k:02d}:30", float(k)) for k in range(5)]
-    df = spark.createDataFrame(rows, "s string, t string, x double").withColumn("t", F.to_timestamp("t"))
-    for k in range(2):
-        df.where((F.minute("t") >= 15) == bool(k)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("s string, t timestamp, x double").option("maxFilesPerTrigger", 10).json(str(tmp_path / "in"))
-    query = causal.causal_features(stream, "s", "t", "x", lags=(1,), window=3).writeStream.format("memory").queryName("causal").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = spark.table("causal").orderBy("s", "t").collect()
-    assert len(got) == 35
-    a = [r for r in got if r.s == "a"]
-    x = [float(k % 7) for k in range(30)]
-    assert [r.lag_1 for r in a][1:] == x[:-1]
-    assert np.allclose([r["mean"] for r in a], [np.mean(x[max(0, k - 2) : k + 1]) for k in range(30)])
+def stream_of(spark, folder, batches, **options):
+    """What comes out where each list of rows is a batch; the last batch is far in the future, so that all others are told."""
+    for k, rows in enumerate([*batches, [("end", "2030-01-01 00:00:00", 0, 0.0)], [("end", "2030-01-02 00:00:00", 0, 0.0)]]):
+        spark.createDataFrame(rows, "s string, t string, k long, x double").withColumn("t", F.to_timestamp("t")).coalesce(1).write.mode("append").json(f"{folder}/in")
+        source = spark.readStream.schema("s string, t timestamp, k long, x double").json(f"{folder}/in")
+        features = causal.causal_features(source, "s", "t", "x", lags=(1,), window=3, tie="k", **options)
+        query = features.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = spark.read.parquet(f"{folder}/out").where("s <> 'end' or s is null").collect()
+    return sorted(((r.s or "", str(r.t), r.x, r.lag_1, r["mean"], r.conv, r.state) for r in got), key=str)
+
+
+def test_a_stream_cut_anyhow_gives_the_rows_of_one_batch(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(s, f"2024-01-01 00:{m:02d}:00", k, float(rng.integers(0, 9))) for s in ("a", None) for m in range(20) for k in range(2 if m % 5 == 0 else 1)]
+    one = stream_of(spark, str(tmp_path / "one"), [rows])
+    order = [rows[i] for i in np.argsort([r[1] for r in rows], kind="stable")]
+    order[3:9] = order[3:9][::-1]  # out of order, but not late
+    some = stream_of(spark, str(tmp_path / "some"), [order[:5], order[5:6], order[6:31], order[31:]])
+    assert one == some and len(one) == len(rows)
+    x = [r[3] for r in sorted((r for r in rows if r[0] == "a"), key=lambda r: (r[1], r[2]))]
+    a = [r for r in one if r[0] == "a"]
+    assert sorted(r[2] for r in a) == sorted(x)
+    by_time = {}
+    for k, r in enumerate(sorted((r for r in rows if r[0] == "a"), key=lambda r: (r[1], r[2]))):
+        by_time.setdefault(r[1], []).append((x[k - 1] if k else None, float(np.mean(x[max(0, k - 2) : k + 1]))))
+    for t, want in by_time.items():
+        assert sorted(((r[3], r[4]) for r in a if r[1] == t), key=str) == sorted(want, key=str)
+
+
+def test_late_rows_are_left_out_and_idle_series_forgotten(spark, tmp_path):
+    first, late = [("a", "2024-01-01 00:00:00", 0, 1.0), ("a", "2024-01-01 00:01:00", 0, 2.0), ("b", "2024-01-02 00:00:00", 0, 5.0)], [("a", "2024-01-01 00:00:30", 0, 9.0), ("b", "2024-01-03 00:00:00", 0, 6.0)]
+    again = [("a", "2024-01-04 00:00:00", 0, 3.0)]
+    for idle, before in ((None, 2.0), (3600, None)):
+        got = stream_of(spark, str(tmp_path / f"idle{idle}"), [first, late, again], idle_seconds=idle)
+        a = [r for r in got if r[0] == "a"]
+        assert [r[2] for r in a] == [1.0, 2.0, 3.0] and a[-1][3] == before
 
 
 def test_ice_query_takes_the_rows_and_points_of_the_reference(spark, monkeypatch):
