@@ -7,6 +7,7 @@ events by hour as one series of several variables; ``od``, orders by day.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from auroral.functions import transforms as X
 from auroral.operators import boosting, clean, convolution, decompose, events, lag, metrics, model, physics, rolling, state, strided, trees
 from auroral.plans import features
-from auroral.series import Series, chunked, drop_halo
+from auroral.series import Series, chunked, drop_halo, shared_folder
 from auroral.sources import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -429,14 +430,21 @@ def category_dist(spark, sf_dir):
 
 @query(f"""{EV}, l AS (SELECT event_id, value, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 47 PRECEDING) AS vs FROM ev) SELECT event_id, CASE WHEN len(vs) >= 10 THEN round(len(list_filter(vs, lambda x: x <= value)) / len(vs), 6) END AS rank FROM l""")
 def adaptive_severity_rank(spark, sf_dir):
-    s = ev(spark, sf_dir)
-    return s.df.select("event_id", r6(events.severity_rank(s, "value", 48)).alias("rank"))
+    return events.severity_rank(ev(spark, sf_dir), "value", 48, name="rank").df.select("event_id", r6("rank").alias("rank"))
 
 
-@query()
+#: The normal distribution by its power series (terms z ** (2 k + 1) / (1 * 3 * ... * (2 k + 1))), its inverse by Newton's method from 0.
+_PHI = "(0.5 + {z} * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(100), lambda k: exp(k * ln({z} * {z} + 1e-300) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))))"
+_QUANTILE = "list_reduce(list_transform(range(16), lambda i: 0.0::DOUBLE), lambda z, i: z - (" + _PHI.format(z="z") + " - p) * sqrt(2 * pi()) * exp(z * z / 2))"
+
+
+@query(f"""{EV}, l AS (SELECT event_id, value, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 47 PRECEDING) AS vs FROM ev),
+r AS (SELECT event_id, CASE WHEN len(vs) >= 10 THEN greatest(0.001, least(0.999, len(list_filter(vs, lambda x: x <= value)) / len(vs))) END AS p FROM l),
+z AS (SELECT p, {_QUANTILE} AS z FROM (SELECT DISTINCT p FROM r WHERE p IS NOT NULL))
+SELECT event_id, round(z, 6) AS severity, round(p, 6) AS risk FROM r LEFT JOIN z USING (p)""")
 def adaptive_severity(spark, sf_dir):
     s = events.adaptive_severity(ev(spark, sf_dir), "value", 2)
-    return s.df.select("event_id", "severity", events.normal_cdf("severity").alias("risk"))
+    return s.df.select("event_id", r6("severity").alias("severity"), r6(events.normal_cdf("severity")).alias("risk"))
 
 
 @query(f"""{EV}, f AS (SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER {SOFAR}, first_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS x FROM ev)
@@ -882,6 +890,121 @@ def row_slice(spark, sf_dir):
     return clean.row_slice(ev(spark, sf_dir), 10, 40).df.select("event_id")
 
 
+# --- reports, readers and array forms
+
+
+@query("SELECT max(l_quantity) AS max_l_quantity, max(l_extendedprice) AS max_l_extendedprice, max(l_discount) AS max_l_discount FROM lineitem")
+def max_report(spark, sf_dir):
+    return clean.max_report(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+@query("""WITH q AS (SELECT 50 - value AS t, [30 - value, 50 - value / 2, 60 - value / 4, 80.0::DOUBLE] AS q FROM events), r AS (SELECT t <= -50 AS s, q[4] - q[1] AS w, (CAST(q[1] <= -50 AS INT) + CAST(q[2] <= -50 AS INT) + CAST(q[3] <= -50 AS INT) + CAST(q[4] <= -50 AS INT)) / 4.0 AS r FROM q)
+SELECT count_if(s AND r >= 0.7) AS tp, count_if(NOT s AND r >= 0.7) AS fp, count_if(s AND r < 0.7) AS fn, count_if(NOT s AND r < 0.7) AS tn, round(avg(r) FILTER (s), 6) AS mean_risk_storm, round(avg(r) FILTER (NOT s), 6) AS mean_risk_quiet,
+ round(stddev_pop(r) FILTER (s), 6) AS std_risk_storm, round(stddev_pop(r) FILTER (NOT s), 6) AS std_risk_quiet, round(avg(w) FILTER (s), 6) AS spread_storm, round(avg(w) FILTER (NOT s), 6) AS spread_quiet, count_if(s AND w < 10) AS collapsed_storm,
+ round(avg(CAST(s AS INT)) FILTER (r >= 0.9), 6) AS confident_accuracy, count_if(r >= 0.9) AS n_confident FROM r""")
+def quantile_risk(spark, sf_dir):
+    v = F.col("value")
+    rows = ev(spark, sf_dir).df.select(F.col("d").alias("t"), F.array(30 - v, 50 - v / 2, 60 - v / 4, F.lit(80.0)).alias("q"))
+    out = metrics.quantile_risk_report(rows, "t", "q", [0.05, 0.25, 0.5, 0.95], trust=0.7, method="proportion")
+    return out.select(*[r6(c).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
+_RISKS = f"""WITH x AS (SELECT CAST(event_type = 'purchase' AS INT) AS y, (value - 250) / 100 AS z FROM events), u AS (SELECT z, {_PHI.format(z='z')} AS r FROM (SELECT DISTINCT z FROM x)), s AS (SELECT y, r FROM x JOIN u USING (z))"""
+
+
+@query(f"""{_RISKS} SELECT count_if(y = 1 AND r >= 0.85) AS tp, count_if(y = 0 AND r >= 0.85) AS fp, count_if(y = 1 AND r < 0.85) AS fn, count_if(y = 0 AND r < 0.85) AS tn FROM s""")
+def severity_confusion(spark, sf_dir):
+    rows = ev(spark, sf_dir).df.select(((F.col("value") - 250) / 100).alias("z"), (F.col("event_type") == "purchase").alias("storm"))
+    return metrics.severity_evaluation(rows, "z", "storm")[0].select("tp", "fp", "fn", "tn")
+
+
+@query(f"""{_RISKS}, c AS (SELECT r, sum(sum(y)) OVER o AS tp, sum(count(*)) OVER o AS n FROM s GROUP BY r WINDOW o AS (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT r, 2 * (tp / n) * (tp / (SELECT sum(y) FROM s)) / (tp / n + tp / (SELECT sum(y) FROM s) + 1e-8) AS f1 FROM c)
+SELECT round(r, 6) AS threshold, round(f1, 6) AS best_f1 FROM f ORDER BY f1 DESC, r LIMIT 1""")
+def severity_threshold(spark, sf_dir):
+    rows = ev(spark, sf_dir).df.select(((F.col("value") - 250) / 100).alias("z"), (F.col("event_type") == "purchase").alias("storm"))
+    return metrics.severity_evaluation(rows, "z", "storm")[1].select(r6("threshold").alias("threshold"), r6("best_f1").alias("best_f1"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(exp(l_discount) / (exp(l_discount) + exp(l_tax) + exp(l_quantity / 25)), 9) AS p0, round(exp(l_tax) / (exp(l_discount) + exp(l_tax) + exp(l_quantity / 25)), 9) AS p1, round(exp(l_quantity / 25) / (exp(l_discount) + exp(l_tax) + exp(l_quantity / 25)), 9) AS p2 FROM lineitem")
+def softmax(spark, sf_dir):
+    p = X.softmax(F.array("l_discount", "l_tax", F.col("l_quantity") / 25))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p")).select("l_orderkey", "l_linenumber", *[r6(F.col("p")[k], 9).alias(f"p{k}") for k in range(3)])
+
+
+def _causal_terms(name: str) -> str:
+    values, scale = convolution.CAUSAL_KERNELS[name]
+    return " + ".join(f"({c / scale!r}::DOUBLE) * " + (f"lag(value, {j}, 0.0) OVER w" if j else "value") for j, c in enumerate(reversed(values)))
+
+
+@query(f"{EV} SELECT event_id, {', '.join(f'round({_causal_terms(n)}, 6) AS {n}' for n in convolution.CAUSAL_KERNELS)} FROM ev {W}")
+def causal_kernels(spark, sf_dir):
+    s = ev(spark, sf_dir)
+    made = {n: convolution.causal_convolution(s, "value", convolution.kernel(n, convolution.CAUSAL_KERNELS)) for n in convolution.CAUSAL_KERNELS}
+    return s.with_columns(**made).df.select("event_id", *[r6(n).alias(n) for n in made])
+
+
+@query(f"""{EV}, o AS (SELECT event_id, user_id, ts, value AS x, CASE WHEN value < 400 THEN value END AS ok, d AS y, CASE WHEN d < 0 THEN d END AS fine FROM ev)
+SELECT user_id, ts, event_id, round(CASE WHEN x >= 400 THEN CASE WHEN count(ok) OVER a >= 3 THEN avg(ok) OVER a END ELSE x END, 6) AS value, round(CASE WHEN y >= 0 THEN CASE WHEN count(fine) OVER a >= 3 THEN avg(fine) OVER a END ELSE y END, 6) AS d FROM o
+WINDOW a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)""")
+def process_means(spark, sf_dir):
+    out = ingest.process_series(ev(spark, sf_dir), {"value": 400, "d": 0}, ["value", "d"]).df
+    return out.select("user_id", "ts", "event_id", r6("value").alias("value"), r6("d").alias("d"))
+
+
+@query("SELECT user_id, CAST(CASE WHEN n // 3 >= 8760 THEN 8760 WHEN n // 3 >= 4380 THEN 4380 WHEN n // 3 >= 2160 THEN 2160 WHEN n // 3 >= 672 THEN 672 WHEN n // 3 >= 168 THEN 168 WHEN n // 3 >= 24 THEN 24 ELSE greatest(24, least(n // 10, 168)) END AS INT) AS period FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def periodicity(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", decompose.periodicity(F.col("n")).alias("period"))
+
+
+_SIGNED = "sign({x}) * (exp(abs({x})) - 1)"
+
+
+@query(f"""{EV}, f AS (SELECT event_type, {_SIGNED.format(x='d / 100')} AS t, {_SIGNED.format(x='(d + 20) / 110')} AS p FROM ev), m AS (SELECT event_type, count(*) AS n, avg(abs(t - p)) AS mae, avg((t - p) ** 2) AS mse,
+ count_if(t <= -5 AND p <= -5) AS tp, count_if(t > -5 AND p <= -5) AS fp, count_if(t <= -5 AND p > -5) AS fn FROM f GROUP BY event_type)
+SELECT event_type, n, round(mae, 6) AS mae, round(mse, 6) AS mse, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM m""")
+def metrics_by_split(spark, sf_dir):
+    rows = ev(spark, sf_dir).df.select("event_type", (F.col("d") / 100).alias("t"), ((F.col("d") + 20) / 110).alias("p"))
+    out = metrics.metrics_by_split(rows, "t", "p", "event_type", X.Pipeline((X.SignedLog(),)), -5)
+    return out.select("event_type", "n", *[r6(c).alias(c) for c in ("mae", "mse", "precision", "recall")])
+
+
+@query(f"SELECT event_id, [round({_SIGNED.format(x='(50 - value) / 100')}, 6), round({_SIGNED.format(x='value / 200')}, 6), NULL] AS raw, [round(sign(50 - value) * ln(1 + abs(50 - value)), 6), round(ln(1 + value), 6)] AS logs FROM events")
+def array_transforms(spark, sf_dir):
+    s, log = ev(spark, sf_dir).df, X.Pipeline((X.SignedLog(),))
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    raw = X.map_array(F.array(F.col("d") / 100, F.col("value") / 200, F.lit(None).cast("double")), log, inverse=True)
+    return s.select("event_id", rounded(raw).alias("raw"), rounded(X.map_array(F.array("d", "value"), log)).alias("logs"))
+
+
+def _written(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, floor(avg(value) * 4) / 4 AS v, max(value) AS ae FROM events GROUP BY 1)
+SELECT CAST(year(hour) AS INT) AS "YEAR", CAST(dayofyear(hour) AS INT) AS "DOY", CAST(hour(hour) AS INT) AS "Hour", v AS "SW Plasma Speed, km/s", CASE WHEN v < 240 THEN NULL ELSE ae END AS "AE-index, nT", hour AS full_date FROM h""")
+def read_observations(spark, sf_dir):
+    """Events by hour, written as a body of fields between white space with its format file, and read again."""
+    rows = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("h")).agg((F.floor(F.avg("value") * 4) / 4).alias("v"), F.max("value").alias("ae"))
+    field = lambda c: F.lpad(c.cast("string"), 9, " ")
+    body, form = _written(spark, "observations"), _written(spark, "format")
+    text = F.concat(F.date_format("h", "yyyy"), F.lit(" "), F.lpad(F.dayofyear("h").cast("string"), 3, " "), F.lit(" "), F.lpad(F.hour("h").cast("string"), 2, " "), field(F.col("v")), F.when(F.col("v") < 240, F.lit("      n/a")).otherwise(field(F.col("ae"))), F.lit("  0.0"))
+    rows.select(text.alias("value")).write.text(body)
+    lines = ["                ITEMS                      FORMAT", " ", " 1 YEAR                          I4", " 2 DOY                           I4", " 3 Hour                          I3", " 4 SW Plasma Speed, km/s         F9.2", " 5 AE-index, nT                  F9.2", " 6 Unused                        F5.1"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(form)
+    return ingest.read_observations(spark, form, body, ("Unused",))
+
+
+@query("""WITH p AS (SELECT CAST(o_orderkey % 7 AS INT) AS c, o_orderpriority AS phase, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY ALL)
+SELECT c AS cycle_count, phase, a::TIMESTAMP AS start_date, b::TIMESTAMP + INTERVAL '23:59:59' AS end_date FROM p""")
+def read_phases(spark, sf_dir):
+    """Intervals of orders, written as a table of phases and read again."""
+    path = _written(spark, "phases")
+    rows = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 7).alias("cycle_count"), F.col("o_orderpriority").alias("phase")).agg(F.min(F.to_date("o_orderdate")).alias("start_date"), F.max(F.to_date("o_orderdate")).alias("end_date"))
+    rows.write.option("header", True).csv(path)
+    return ingest.read_phases(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -161,6 +161,11 @@ class Pipeline:
         return functools.reduce(lambda c, t: t.inverse(c), reversed(self.steps), x)
 
 
+def map_array(values: Column, pipeline: Transform | Pipeline, inverse: bool = False) -> Column:
+    """A fitted pipeline over each element of an array (null to null), or its inverse."""
+    return F.transform(values, lambda x: pipeline.inverse(x) if inverse else pipeline.apply(x))
+
+
 def transform_columns(df: DataFrame, pipelines: dict[str, Pipeline]) -> DataFrame:
     """Each column by its own pipeline, in place."""
     return df.withColumns({c: p.apply(F.col(c)) for c, p in pipelines.items()})

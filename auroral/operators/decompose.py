@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auroral.operators.lag import fill
@@ -17,6 +18,14 @@ def estimate_periodicity(n: int, max_period: int | None = None) -> int:
     return fitting[-1] if fitting else max(24, min(n // 10, 168))
 
 
+def periodicity(n: Column) -> Column:
+    """estimate_periodicity() of a column of lengths: the longest of PERIODS that fits three times, else a tenth of the rows between a day and a week."""
+    out = F.greatest(F.lit(24), F.least(F.floor(n / 10), F.lit(168)))
+    for p in PERIODS:
+        out = F.when(F.floor(n / 3) >= p, F.lit(p)).otherwise(out)
+    return out.cast("int")
+
+
 def decompose(series: Series, column: str, period: int, model: str = "additive", components: tuple[str, ...] = ("trend", "seasonal", "resid"), extrapolate: bool = True) -> Series:
     """``{column}_trend``, ``_seasonal`` and ``_resid``; series of fewer than two periods get none (null columns).
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auroral.functions.transforms import Pipeline
+from auroral.scan import running_totals
 from auroral.series import Series
 
 
@@ -108,13 +110,18 @@ def boundary_metrics(series: Series, truth: str, predicted: str, tolerance: int
     return one.select(*out)
 
 
+def metrics_by_split(df: DataFrame, truth: str, predicted: str, split: str, inverse: Pipeline | None = None, threshold: float = -50) -> DataFrame:
+    """forecast_metrics() of each split, on values that ``inverse`` (the fitted target pipeline) takes back to the scale of the threshold."""
+    back = (lambda c: inverse.inverse(F.col(c).cast("double"))) if inverse is not None else F.col
+    return forecast_metrics(df.select(F.col(split), back(truth).alias("_truth"), back(predicted).alias("_predicted")), "_truth", "_predicted", threshold, (split,))
+
+
 def pr_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(threshold, precision, recall) for each distinct score, highest first: cumulative sums over scores, not rows."""
+    """(threshold, precision, recall) for each distinct score, highest first: cumulative sums over scores, however many there are."""
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("pos").over(Window.partitionBy(F.lit(1)))
-    tp = F.sum("pos").over(down)
-    return by.select("threshold", _ratio(tp, F.sum("n").over(down)).alias("precision"), _ratio(tp, total).alias("recall"))
+    summed = running_totals(by, "threshold", {"_tp": "pos", "_seen": "n"}, descending=True)
+    total = F.broadcast(by.agg(F.sum("pos").alias("_all")))  # one row
+    return summed.crossJoin(total).select("threshold", _ratio(F.col("_tp"), F.col("_seen")).alias("precision"), _ratio(F.col("_tp"), F.col("_all")).alias("recall"))
 
 
 def best_threshold(curve: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auroral.series import Series, checkpointed
@@ -233,3 +233,59 @@ def chains(dealt: DataFrame, column: str) -> tuple[list[Chain], dict[int, dict[s
                 if r[side]:
                     place.setdefault(r.task, {})[side] = (c, k)
     return found, place
+
+
+# --- frames of bounded size
+
+
+def framed(series: Series, before: int, after: int, compute: Callable[[np.ndarray], list[np.ndarray]], column: str, names: list[str], rows: int = 1 << 16, tasks: int | None = None) -> Series:
+    """The series with double columns ``names`` that ``compute`` makes of the values of ``column`` in order (missing as NaN), where a row's results
+    depend on the ``before`` rows before it and the ``after`` rows after it in its series, no further.
+
+    All rows are numbered and cut into chunks of ``rows``, to which the rows that their frames reach are copied; a chunk may hold many series.
+    """
+    dealt = deal(series, tasks)
+    counts = sorted((r._task, r["count"]) for r in dealt.groupBy("_task").count().collect())  # a row a task
+    begin, offsets = 0, []
+    for task, n in counts:
+        offsets.append((task, begin))
+        begin += n
+    spark = series.df.sparkSession
+    placed = dealt.join(F.broadcast(spark.createDataFrame(offsets, "_task int, _begin long")), "_task")
+    at = F.col("_begin") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))  # monotonically_increasing_id() counts below bit 33
+    own = F.floor(F.col("_at") / rows)
+    copied = placed.withColumn("_at", at).withColumn("_chunk", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("_at") - after) / rows)), F.floor((F.col("_at") + before) / rows)))).withColumn("_own", F.col("_chunk") == own)
+    columns = series.df.columns
+    schema = series.df.select("*").schema
+    for name in names:
+        schema = schema.add(name, "double")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        x, codes = numbers(table, column), table.column("_series").to_numpy()
+        out = [np.empty(len(x)) for _ in names]
+        for lo, hi in stretches(codes):
+            for whole, some in zip(out, compute(x[lo:hi]), strict=True):
+                whole[lo:hi] = some
+        table = pa.table([*[table.column(c) for c in columns], *[pa.array(o, from_pandas=True) for o in out], table.column("_own")], [*columns, *names, "_own"])
+        return table.filter(table.column("_own")).drop_columns(["_own"])
+
+    return Series(copied.groupBy("_chunk").applyInArrow(run, schema), series.order_by, series.partition_by)
+
+
+def running_totals(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """``df`` with, for each (name, column), the sum of the column over all rows up to this one in the order of a unique column.
+
+    Rows are dealt out by range and written down; what tasks sum up to is a row a task.
+    """
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    dealt = checkpointed(df.repartitionByRange(by).withColumn("_task", F.spark_partition_id()))
+    tasks = dealt.groupBy("_task").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).orderBy("_task").collect()
+    rows, before = [], [0] * len(sums)
+    for t in tasks:
+        rows.append((t._task, *before))
+        before = [b + (t[n] or 0) for b, n in zip(before, sums, strict=True)]
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.agg(*[F.sum(c).alias(n) for n, c in sums.items()]).schema}
+    offsets = dealt.sparkSession.createDataFrame(rows, "_task int, " + ", ".join(f"`_off_{n}` {kinds[n]}" for n in sums))
+    upto = Window.partitionBy("_task").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(F.broadcast(offsets), "_task").withColumns({n: F.sum(c).over(upto) + F.col(f"_off_{n}") for n, c in sums.items()}).drop("_task", *[f"_off_{n}" for n in sums])

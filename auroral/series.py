@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -72,14 +72,22 @@ def clean(column: str | Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder. Where none is set, a local session gets a temporary one and a cluster an error."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, else the one the context has. Where neither is set, a local session gets a temporary one and a cluster an error."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="auroral-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return (folder or held.get()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auroral.operators.rolling import replace_outliers_with_mean
+from auroral.series import Series
+
 #: A measurement of at least this much is missing. Names are without dots, which Spark would read as field access.
 SENTINELS: dict[str, float] = {
     "Scalar B, nT": 999, "Vector B Magnitude,nT": 999, "Lat Angle of B (GSE)": 999, "Long Angle of B (GSE)": 999,
@@ -70,6 +73,14 @@ def process(df: DataFrame, sentinels: dict[str, float] = SENTINELS, keep: list[s
     return out.na.drop() if drop_missing else out
 
 
+def process_series(series: Series, sentinels: dict[str, float] = SENTINELS, keep: list[str] | None = None, half_width: int = 5, min_valid: int = 3) -> Series:
+    """Sentinels become the mean of the valid values within ``half_width`` rows, null with fewer than ``min_valid``, all columns in one projection onto ``keep`` and the series' keys; rows with nulls stay."""
+    names = [c for c in (keep or series.df.columns) if c in series.df.columns]
+    held = [k for k in (*series.partition_by, *series.order_by) if k not in names]
+    columns = [replace_outliers_with_mean(series, f"`{c}`", sentinels[c], half_width, min_valid).alias(c) if c in sentinels else F.col(f"`{c}`") for c in names]
+    return Series(series.df.select(*held, *columns), series.order_by, series.partition_by)
+
+
 def phase_columns(time: Column, phases: list[tuple[int, str, object, object]], cap: object, missing_rate: float = 0.0, seed: int = 0, key: Column | None = None) -> tuple[Column, Column]:
     """(cycle, phase) of a time from a short interval table, as CASE chains: no join, and the last covering interval wins.
 

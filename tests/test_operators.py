@@ -276,3 +276,37 @@ def test_null_series_keep_their_peaks_and_matches(spark):
     labelled = s.with_columns(y=(F.col("d") <= -50).cast("int"))
     m = metrics.boundary_metrics(labelled, "y", "y").first()
     assert (m.exact_precision, m.exact_recall, m.n_true) == (1.0, 1.0, 6)
+
+
+def test_normal_distribution_as_columns(spark):
+    from statistics import NormalDist
+
+    normal = NormalDist()
+    z = [-38.0, -9.0, -7.2, -7.0, -3.3, -1.0, -1e-9, 0.0, 0.4, 2.5, 6.9, 7.5, 8.2, None]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select("z", events.normal_cdf("z").alias("p")).collect()
+    assert all(r.p is None if r.z is None else r.p == pytest.approx(0.5 * math.erfc(-r.z / math.sqrt(2)), rel=1e-12, abs=1e-15) for r in got)
+    p = [1e-10, 1e-4, 0.001, 0.0249, 0.075, 0.0751, 0.3, 0.5, 0.7, 0.925, 0.95, 0.999, 1 - 1e-9]
+    got = spark.createDataFrame([(v,) for v in [*p, 0.0, 1.0, -1.0, 2.0, None]], "p double").select("p", events.normal_quantile("p").alias("z")).collect()
+    assert all(r.z is None if r.p not in p else r.z == pytest.approx(normal.inv_cdf(r.p), rel=1e-12, abs=1e-12) for r in got)
+
+
+@pytest.mark.parametrize("causal", [True, False])
+def test_ranks_of_long_frames(spark, causal):
+    from auroral.scan import framed
+
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=400), 1)
+    x[rng.random(400) < 0.1] = np.nan
+    rows = [(u, k, None if np.isnan(v) else float(v)) for u in ("a", None) for k, v in enumerate(x[: 400 if u else 37])]
+    s = Series(spark.createDataFrame(rows, "u string, t int, x double"), ("t",), ("u",))
+    before, after = (47, 0) if causal else (24, 24)
+    small = framed(s, before, after, lambda v: [events._rolling_ranks(v, before, after, 10)], "x", ["r"], rows=50, tasks=3).df.collect()
+    whole = {(r.u, r.t): r.r for r in events.severity_rank(s, "x", 48, causal, name="r").df.collect()}
+    assert len(small) == len(whole) == 437
+    for r in small:
+        v = x[: 400 if r.u else 37]
+        some = v[max(0, r.t - before) : r.t + after + 1]
+        some = some[~np.isnan(some)]
+        want = None if np.isnan(v[r.t]) or len(some) < 10 else (some <= v[r.t]).sum() / len(some)
+        assert r.r == whole[r.u, r.t] == want
+    assert events.adaptive_severity(s, "x", 2).df.where("x is null and severity is not null").count() == 0
