@@ -242,11 +242,10 @@ j AS (SELECT r.*, wd, ks FROM r LEFT JOIN best ON r.user_id = best.user_id AND r
 f AS (SELECT *, last_value(wd IGNORE NULLS) OVER b AS w0, first_value(wd IGNORE NULLS) OVER a AS w1, last_value(ks IGNORE NULLS) OVER b AS k0, first_value(ks IGNORE NULLS) OVER a AS k1,
   last_value(CASE WHEN wd IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS n0, first_value(CASE WHEN wd IS NOT NULL THEN rn END IGNORE NULLS) OVER a AS n1 FROM j
   WINDOW b AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT event_id, round(CASE WHEN n1 = n0 THEN w0 ELSE w0 + (w1 - w0) * (rn - n0) / (n1 - n0) END + 1e-7, 4) AS wass, round(CASE WHEN n1 = n0 THEN k0 ELSE k0 + (k1 - k0) * (rn - n0) / (n1 - n0) END + 1e-7, 4) AS ks FROM f""")
+SELECT event_id, round(CASE WHEN n1 = n0 THEN w0 ELSE w0 + (w1 - w0) * (rn - n0) / (n1 - n0) END, 9) AS wass, round(CASE WHEN n1 = n0 THEN k0 ELSE k0 + (k1 - k0) * (rn - n0) / (n1 - n0) END, 9) AS ks FROM f""")
 def cdf_trend(spark, sf_dir):
-    s = ev(spark, sf_dir)
-    s = strided.add_cdf_trend(strided.add_cdf_trend(s, "value", 12, 0.3), "value", 12, 0.3, "ks")
-    return s.df.select("event_id", r6(F.col("value_cdf_wass_trend_12r") + 1e-7, 4).alias("wass"), r6(F.col("value_cdf_ks_trend_12r") + 1e-7, 4).alias("ks"))
+    s = strided.add_cdf_trend(ev(spark, sf_dir), "value", 12, 0.3, ("wasserstein", "ks"))
+    return s.df.select("event_id", r6("value_cdf_wass_trend_12r", 9).alias("wass"), r6("value_cdf_ks_trend_12r", 9).alias("ks"))
 
 
 @query(f"""{EV}, r AS (SELECT event_id, user_id, value AS x, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY user_id) AS n,

@@ -129,10 +129,19 @@ def path_lengths(values: list[Column]) -> list[Column]:
     return [F.sqrt((b - a) * (b - a) + (c - b) * (c - b)) for a, b, c in zip(values[:-2], values[1:-1], values[2:], strict=True)]
 
 
-def trajectory_features(values: list[Column], name: str, all_features: bool = False, norms: list[Column] | None = None) -> dict[str, Column]:
+def turning_angles(moves: list[Column], norms: list[Column]) -> list[Column]:
+    """Angles between consecutive segments, whose steps are (moves[k], moves[k + 1]) and whose lengths are ``norms``; a right angle where a segment has no length."""
+    out = []
+    for k in range(len(norms) - 1):
+        cosine = F.when((norms[k] > 1e-10) & (norms[k + 1] > 1e-10), F.try_divide(moves[k + 1] * (moves[k] + moves[k + 2]), norms[k] * norms[k + 1])).otherwise(0.0)
+        out.append(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    return out
+
+
+def trajectory_features(values: list[Column], name: str, all_features: bool = False, norms: list[Column] | None = None, angles: list[Column] | None = None) -> dict[str, Column]:
     """Of the path through the consecutive pairs of m values: longest segment, straightness, variance of turning angles.
 
-    ``norms`` are columns that hold path_lengths() already; every use of an expression would be planned anew.
+    ``norms`` and ``angles`` are columns that hold path_lengths() and turning_angles() already; every use of an expression would be planned anew.
 
     With ``all_features`` also aspect ratio of the bounding box, compactness (area by the shoelace rule over perimeter
     squared, times 4 pi) and the variance of segments relative to their mean.
@@ -142,7 +151,6 @@ def trajectory_features(values: list[Column], name: str, all_features: bool = Fa
     if p < 2:
         zero = F.when(functools.reduce(operator.and_, [v.isNotNull() for v in values]), F.lit(0.0))
         return {f"{name}_jump_mag": zero, f"{name}_path_eff": zero, f"{name}_turn_var": zero}
-    moves = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(points[:-1], points[1:], strict=True)]
     norms = norms or path_lengths(values)
     total = functools.reduce(operator.add, norms)
     span = F.sqrt((points[-1][0] - points[0][0]) ** 2 + (points[-1][1] - points[0][1]) ** 2)
@@ -152,10 +160,7 @@ def trajectory_features(values: list[Column], name: str, all_features: bool = Fa
     if p < 3:
         turn = F.when(whole, F.lit(0.0))
     else:
-        angles = []
-        for (ax, ay), (bx, by), na, nb in zip(moves[:-1], moves[1:], norms[:-1], norms[1:], strict=True):
-            cosine = F.when((na > 1e-10) & (nb > 1e-10), F.try_divide(ax * bx + ay * by, na * nb)).otherwise(0.0)
-            angles.append(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+        angles = angles or turning_angles([b - a for a, b in points], norms)
         mean = functools.reduce(operator.add, angles) / len(angles)
         turn = F.when(whole, functools.reduce(operator.add, [(a - mean) * (a - mean) for a in angles]) / len(angles))
     out[f"{name}_turn_var"] = turn
@@ -172,14 +177,26 @@ def trajectory_features(values: list[Column], name: str, all_features: bool = Fa
 
 
 def with_trajectories(series: Series, specs: dict[str, tuple[int, int]], all_features: bool = False) -> Series:
-    """``{column}_embedding_2d_{jump_mag,path_eff,turn_var}`` for each column's (m, tau), in three projections: delays, segments, features."""
-    delays = {f"_y{i}_{k}": y for i, (c, (m, tau)) in enumerate(specs.items()) for k, y in enumerate(takens_columns(series, c, m, tau))}
-    held = [[F.col(f"_y{i}_{k}") for k in range(m)] for i, (m, _) in enumerate(specs.values())]
-    lengths = {f"_s{i}_{k}": y for i, ys in enumerate(held) for k, y in enumerate(path_lengths(ys))}
+    """``{column}_embedding_2d_{jump_mag,path_eff,turn_var}`` for each column's (m, tau), in projections of their own: delays, steps, segments, angles, features.
+
+    What a projection names is computed once, and no projection outgrows compiled code.
+    """
+    if not specs:
+        return series
+    each = list(enumerate(specs.items()))
+    delays = {f"_y{i}_{k}": y for i, (c, (m, tau)) in each for k, y in enumerate(takens_columns(series, c, m, tau))}
+    held = {i: [F.col(f"_y{i}_{k}") for k in range(m)] for i, (_, (m, _)) in each}
+    steps = {f"_m{i}_{k}": held[i][k + 1] - held[i][k] for i, (_, (m, _)) in each for k in range(m - 1)}
+    moves = {i: [F.col(f"_m{i}_{k}") for k in range(m - 1)] for i, (_, (m, _)) in each}
+    lengths = {f"_s{i}_{k}": F.sqrt(moves[i][k] * moves[i][k] + moves[i][k + 1] * moves[i][k + 1]) for i, (_, (m, _)) in each for k in range(m - 2)}
+    norms = {i: [F.col(f"_s{i}_{k}") for k in range(m - 2)] for i, (_, (m, _)) in each}
+    turns = {f"_a{i}_{k}": a for i, _ in each for k, a in enumerate(turning_angles(moves[i], norms[i]))}
+    out = series.with_columns(**delays).with_columns(**steps).with_columns(**lengths)
+    out = out.with_columns(**turns) if turns else out
     new: dict[str, Column] = {}
-    for i, (c, (m, _)) in enumerate(specs.items()):
-        new |= trajectory_features(held[i], f"{c}_embedding_2d", all_features, [F.col(f"_s{i}_{k}") for k in range(m - 2)])
-    return series.with_columns(**delays).with_columns(**lengths).with_columns(**new).drop(*delays, *lengths) if specs else series
+    for i, (c, (m, _)) in each:
+        new |= trajectory_features(held[i], f"{c}_embedding_2d", all_features, norms[i], [F.col(f"_a{i}_{k}") for k in range(m - 3)] or None)
+    return out.with_columns(**new).drop(*delays, *steps, *lengths, *turns)
 
 
 def add_takens_features(series: Series, column: str, m: int, tau: int, all_features: bool = False) -> Series:

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from auroral.operators.convolution import clean_name
 from auroral.operators.lag import interpolate
@@ -33,22 +32,21 @@ def _spread(numbered: Series, window: int, step: int, columns: list[str], full:
     return rows.select(*numbered.partition_by, "_rn", "_n", *columns, F.explode("_ws").alias("_win"))
 
 
-@F.pandas_udf(DoubleType())
-def wasserstein(a: pd.Series, b: pd.Series) -> pd.Series:
-    """First Wasserstein distance of two samples; null if one is missing."""
-    return pd.Series([None if x is None or y is None else _distance(np.asarray(x), np.asarray(y))[0] for x, y in zip(a, b, strict=True)], dtype=float)
+def distances(a: Column, b: Column) -> Column:
+    """struct<wasserstein, ks> of two samples (arrays without nulls): first Wasserstein distance and largest difference of their distribution functions; null if one is missing.
 
+    One pass over the merged sorted samples: a value of one sample adds the other's size to the gap of the two functions, or takes it away, so that the gap is a whole number.
+    """
+    na, nb = F.size(a), F.size(b)
+    merged = F.array_sort(F.concat(F.transform(a, lambda x: F.struct(x.alias("x"), nb.alias("m"))), F.transform(b, lambda x: F.struct(x.alias("x"), (-na).alias("m")))))
+    start = F.struct(merged[0]["x"].alias("x"), F.lit(0).alias("gap"), F.lit(0.0).alias("area"), F.lit(0).alias("most"))
 
-@F.pandas_udf(DoubleType())
-def kolmogorov_smirnov(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Largest difference of two samples' distribution functions; null if one is missing."""
-    return pd.Series([None if x is None or y is None else _distance(np.asarray(x), np.asarray(y))[1] for x, y in zip(a, b, strict=True)], dtype=float)
-
+    def step(s: Column, v: Column) -> Column:
+        # the gap counts once all equal values are in
+        return F.struct(v["x"].alias("x"), (s["gap"] + v["m"]).alias("gap"), (s["area"] + F.abs(s["gap"]) * (v["x"] - s["x"])).alias("area"), F.when(v["x"] > s["x"], F.greatest(s["most"], F.abs(s["gap"]))).otherwise(s["most"]).alias("most"))
 
-def _distance(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    points = np.sort(np.concatenate([a, b]))
-    gap = np.searchsorted(np.sort(a), points, side="right") / len(a) - np.searchsorted(np.sort(b), points, side="right") / len(b)
-    return float(np.abs(gap[:-1]) @ np.diff(points)), float(np.abs(gap).max())
+    done = F.aggregate(merged, start, step, lambda s: F.struct((s["area"] / (na * nb)).alias("wasserstein"), (s["most"] / (na * nb)).alias("ks")))
+    return F.when(a.isNotNull() & b.isNotNull(), done)
 
 
 def cdf_trend_name(column: str, window: int, metric: str = "wasserstein") -> str:
@@ -59,13 +57,14 @@ def _member(i: int, value: Column):
     return lambda w: F.struct(F.lit(i).alias("i"), w.cast("long").alias("w"), value.alias("v"))
 
 
-def add_cdf_trends(series: Series, specs: list[tuple[str, int, float]], metric: str = "wasserstein", min_valid: int = 3, source: Series | None = None) -> Series:
+def add_cdf_trends(series: Series, specs: list[tuple[str, int, float]], metric: str | tuple[str, ...] = "wasserstein", min_valid: int = 3, source: Series | None = None) -> Series:
     """For each (column, window, overlap): distance of each window's values to those of the window before, at its last row, interpolated between.
 
     Windows of fewer than ``min_valid`` values are passed over. Rows between window ends depend on the end after them. All
-    windows of all specs are one grouping and one join. ``source`` may be a plainer plan of the same rows to read columns from.
+    windows of all specs and metrics are one grouping and one join. ``source`` may be a plainer plan of the same rows to read columns from.
     """
-    if metric not in ("wasserstein", "ks"):
+    kinds = (metric,) if isinstance(metric, str) else metric
+    if set(kinds) - {"wasserstein", "ks"}:
         raise ValueError(f"unknown metric {metric!r}")
     keys = list(series.partition_by)
     base = _numbered(source or series)
@@ -79,21 +78,20 @@ def add_cdf_trends(series: Series, specs: list[tuple[str, int, float]], metric:
     spread = base.df.select(*keys, "_rn", F.explode(F.concat(*members)).alias("m")).select(*keys, "_rn", "m.*")
     windows = spread.groupBy(*keys, "i", "w").agg(F.collect_list("v").alias("_v"), F.max("_rn").alias("_end")).where(F.size("_v") >= min_valid)
     order = Series(windows, ("w",), (*keys, "i"))
-    measure = wasserstein if metric == "wasserstein" else kolmogorov_smirnov
-    measured = order.with_columns(_before=F.lag("_v").over(order.window)).df.select(*keys, "i", "w", "_end", measure("_before", "_v").alias("_d"))
+    measured = order.with_columns(_before=F.lag("_v").over(order.window)).df.select(*keys, "i", "w", "_end", distances(F.col("_before"), F.col("_v")).alias("_d"))
     ends = measured.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], "_end").agg(*[F.max_by(F.when(F.col("i") == i, F.col("_d")), F.when(F.col("i") == i, F.col("w"))).alias(f"_d{i}") for i in range(len(specs))])
     numbered = _numbered(series)
     joined = numbered.df.join(ends, (F.col("_rn") == F.col("_end")) & _same(keys), "left")
     at = Series(joined, series.order_by, series.partition_by)
     new = {}
     for i, (column, window, _) in enumerate(specs):
-        d = F.col(f"_d{i}")
-        last = F.max(F.when(d.isNotNull(), F.col("_rn"))).over(at.whole)
-        new[cdf_trend_name(column, window, metric)] = F.when(F.col("_rn") <= last, interpolate(at, d, False, F.col("_rn")))
+        last = F.max(F.when(F.col(f"_d{i}").isNotNull(), F.col("_rn"))).over(at.whole)
+        for kind in kinds:
+            new[cdf_trend_name(column, window, kind)] = F.when(F.col("_rn") <= last, interpolate(at, F.col(f"_d{i}")[kind], False, F.col("_rn")))
     return at.with_columns(**new).drop("_rn", "_n", "_end", *[f"_d{i}" for i in range(len(specs))], *[f"_k_{k}" for k in keys])
 
 
-def add_cdf_trend(series: Series, column: str, window: int, overlap: float = 0.25, metric: str = "wasserstein", min_valid: int = 3) -> Series:
+def add_cdf_trend(series: Series, column: str, window: int, overlap: float = 0.25, metric: str | tuple[str, ...] = "wasserstein", min_valid: int = 3) -> Series:
     """``{column}_cdf_{wass|ks}_trend_{window}r``, see add_cdf_trends()."""
     return add_cdf_trends(series, [(column, window, overlap)], metric, min_valid)
 

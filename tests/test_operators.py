@@ -112,14 +112,17 @@ def test_causal_features_do_not_change_with_later_rows(spark):
     assert made(x[:60]) == made(x)
 
 
-def test_distances():
+def test_distances(spark):
     rng = np.random.default_rng(5)
-    a, b = rng.normal(0, 1, 20), rng.normal(1, 2, 30)
-    grid = np.sort(np.concatenate([a, b]))
-    fa, fb = ((v[None, :] <= grid[:, None]).mean(axis=1) for v in (a, b))
-    w, k = strided._distance(a, b)
-    assert w == pytest.approx(np.sum(np.abs(fa - fb)[:-1] * np.diff(grid))) and k == pytest.approx(np.abs(fa - fb).max())
-    assert strided._distance(a, a) == (0, 0) and strided._distance(b, a)[0] == pytest.approx(w)
+    pairs = [(rng.normal(0, 1, 20), rng.normal(1, 2, 30)), (np.round(rng.normal(0, 1, 9), 0), np.round(rng.normal(0, 1, 7), 0)), (np.ones(3), np.ones(4)), (np.ones(3), np.zeros(3))]
+    pairs += [(a, a) for a, _ in pairs] + [(b, a) for a, b in pairs]
+    rows = [(k, a.tolist(), b.tolist()) for k, (a, b) in enumerate(pairs)] + [(99, None, [1.0]), (98, [1.0], None)]
+    got = {r.k: r.d for r in spark.createDataFrame(rows, "k int, a array<double>, b array<double>").select("k", strided.distances(F.col("a"), F.col("b")).alias("d")).collect()}
+    for k, (a, b) in enumerate(pairs):
+        grid = np.sort(np.concatenate([a, b]))
+        fa, fb = ((v[None, :] <= grid[:, None]).mean(axis=1) for v in (a, b))
+        assert got[k].wasserstein == pytest.approx(np.sum(np.abs(fa - fb)[:-1] * np.diff(grid))) and got[k].ks == pytest.approx(np.abs(fa - fb).max())
+    assert got[99] is None and got[98] is None
     assert strided.stride(24, 0.3) == 16 and strided.stride(12, 0.3) == 8
 
 
