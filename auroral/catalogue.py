@@ -809,9 +809,10 @@ def measured(spark: SparkSession, sf_dir: str) -> Series:
     return Series(rows.select("hour", *[F.expr(e.replace('"', "`")).alias(c) for c, e in STAND_INS.items()]), ("hour",))
 
 
-def _domain_sql(specs: tuple[features.Derived, ...]) -> str:
-    """The features of domain() in SQL: deviation, median, trend, embedding and convolution of each column, then their lags."""
-    ctes, columns, lags = [], [], []
+def _domain_sql(specs: tuple[features.Derived, ...], compound: bool = False) -> str:
+    """The features of domain() in SQL: deviation, median, trend, embedding and convolution of each column, then their lags; with ``compound`` those of earlier_domain(), untransformed."""
+    ctes, columns, lags, moved = [], [], [], set()
+    lag_names = lambda f, ks: [(f, ks[0]), *((f"{f}_lag_{k}", ks[0] + k) for k in ks[1:])] if compound else [(f"{f}_lag_{k}", k) for k in ks]
     values = ", ".join(f"CAST({STAND_INS[d.column]} AS DOUBLE) AS c{i}" for i, d in enumerate(specs))
     ctes.append(f"x AS (SELECT hour, row_number() OVER (ORDER BY hour) - 1 AS rn, {values} FROM hr)")
     sofar, joins, delays = "(ORDER BY rn ROWS UNBOUNDED PRECEDING)", [], []
@@ -835,7 +836,8 @@ def _domain_sql(specs: tuple[features.Derived, ...]) -> str:
             ]
             joins.append(f"JOIN t{i} USING (rn)")
             columns.append((strided.cdf_trend_name(name, d.window), f"t{i}.d"))
-            lags += [(f"{f}_lag_{k}", f'lag("{f}", {k}) OVER (ORDER BY rn)') for f, _ in columns[-3:] for k in d.rolled]
+            lags += [(n, f'lag("{f}", {k}) OVER (ORDER BY rn)') for f, _ in columns[-3:] for n, k in lag_names(f, d.rolled)]
+            moved |= {f for f, _ in columns[-3:]} if compound else set()
         if d.takens:
             m, tau = d.takens
             y = [f"y{i}_{k}" for k in range(m)]
@@ -851,25 +853,76 @@ def _domain_sql(specs: tuple[features.Derived, ...]) -> str:
             coefficients, scale = convolution.KERNELS[kind]
             terms = " + ".join(f"({v / scale!r}::DOUBLE) * lag({c}, {j}, 0.0) OVER (ORDER BY rn)" for j, v in enumerate(reversed(coefficients)))
             columns.append((f"conv_{kind}_{convolution.clean_name(name)}", terms))
-        lags += [(f"{name}_lag_{k}", f"lag({c}, {k}) OVER (ORDER BY rn)") for k in d.own]
+        lags += [(n, f"lag({c}, {k}) OVER (ORDER BY rn)") for n, k in lag_names(name, d.own)]
     ctes.append(f"y AS (SELECT *{''.join(', ' + v for v in delays)} FROM x)")
     ctes.append("f AS (SELECT hour, rn, " + ", ".join(f"c{i}" for i in range(len(specs))) + ", " + ", ".join(f'{e} AS "{n}"' for n, e in columns) + f" FROM y {' '.join(joins)})")
-    shown = [(n, f'"{n}"') for n, _ in columns] + lags
+    shown = [(n, f'"{n}"') for n, _ in columns if n not in moved] + lags
     return f"{HR}, {', '.join(ctes)} SELECT hour, " + ", ".join(f'round({e}, 4) AS "{n}"' for n, e in shown) + " FROM f"
 
 
-def _domain(specs: tuple[features.Derived, ...]):
+def _undotted(spark: SparkSession, sf_dir: str) -> Series:
+    base = measured(spark, sf_dir)
+    return Series(features.undotted(base.df), base.order_by)
+
+
+def _domain(specs: tuple[features.Derived, ...], compound: bool = False):
     def run(spark, sf_dir):
-        base = measured(spark, sf_dir)
-        base = Series(features.undotted(base.df), base.order_by)
-        out = features.domain(base, specs).df
-        return out.select("hour", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in out.columns if c not in base.df.columns])
+        base = _undotted(spark, sf_dir)
+        out = (features.earlier_domain(base, specs) if compound else features.domain(base, specs)).df
+        moved = {features.plain(d.column) for d in specs} if compound else set()
+        return out.select("hour", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in out.columns if c not in base.df.columns or c in moved])
 
     return run
 
 
 for _name, _specs in (("solar", features.SOLAR), ("magnetic", features.MAGNETIC), ("others", features.OTHERS)):
     _QUERIES[f"features_{_name}"], _SQL[f"features_{_name}"] = _domain(_specs), _domain_sql(_specs)
+for _name, _specs in (("solar", features.EARLIER_SOLAR), ("magnetic", features.EARLIER_MAGNETIC), ("others", features.EARLIER_OTHERS)):
+    _QUERIES[f"earlier_{_name}"], _SQL[f"earlier_{_name}"] = _domain(_specs, True), _domain_sql(_specs, True)
+
+
+def _convolution_sql() -> str:
+    made = []
+    for d in (*features.SOLAR, *features.MAGNETIC, *features.OTHERS):
+        for kind in d.kernels:
+            coefficients, scale = convolution.KERNELS[kind]
+            terms = " + ".join(f"({v / scale!r}::DOUBLE) * lag(CAST({STAND_INS[d.column]} AS DOUBLE), {j}, 0.0) OVER (ORDER BY hour)" for j, v in enumerate(reversed(coefficients)))
+            made.append(f'round({terms}, 4) AS "conv_{kind}_{convolution.clean_name(features.plain(d.column))}"')
+    return f"{HR} SELECT hour, {', '.join(made)} FROM hr"
+
+
+@query(_convolution_sql())
+def all_convolutions(spark, sf_dir):
+    out = features.add_all_convolutions(_undotted(spark, sf_dir)).df
+    return out.select("hour", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in out.columns if c.startswith("conv_")])
+
+
+def _recommended_sql() -> str:
+    ctes = []
+    for i, (a, b, window, method) in enumerate(features.RECOMMENDED_CORRELATIONS):
+        step = strided.stride(window, 0.5)
+        x, y = ("ra", "rb") if method == "spearman" else ("a", "b")
+        both = "a IS NOT NULL AND b IS NOT NULL"
+        value = f"covar_pop({x}, {y}) / ((stddev_samp({x}) + 1e-8) * (stddev_samp({y}) + 1e-8))" if method == "instantaneous" else _PEARSON.format(a=x, b=y)
+        ctes += [
+            f"r{i} AS (SELECT hour, CAST({STAND_INS[a]} AS DOUBLE) AS a, CAST({STAND_INS[b]} AS DOUBLE) AS b, row_number() OVER (ORDER BY hour) - 1 AS rn, count(*) OVER () AS m FROM hr)",
+            f"w{i} AS (SELECT unnest(range(CAST(greatest(ceil((rn - {window - 1}) / {step}.0), 0) AS BIGINT), CAST(least(rn // {step}, (m - {window}) // {step}) AS BIGINT) + 1)) AS k, a, b FROM r{i})",
+            f"k{i} AS (SELECT k, a, b, rank() OVER (PARTITION BY k ORDER BY a) + (count(*) OVER (PARTITION BY k, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY k ORDER BY b) + (count(*) OVER (PARTITION BY k, b) - 1) / 2.0 AS rb FROM w{i} WHERE {both})",
+            f"c{i} AS (SELECT k * {step} + {window // 2} AS e, coalesce(v, 0) AS c FROM (SELECT DISTINCT k FROM w{i}) LEFT JOIN (SELECT k, CASE WHEN count(*) >= 3 THEN {value} END AS v FROM k{i} GROUP BY k) USING (k))",
+            f"""f{i} AS (SELECT hour, rn, last_value(c IGNORE NULLS) OVER b AS c0, first_value(c IGNORE NULLS) OVER a AS c1, last_value(CASE WHEN c IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS n0, first_value(CASE WHEN c IS NOT NULL THEN rn END IGNORE NULLS) OVER a AS n1
+ FROM r{i} LEFT JOIN c{i} ON r{i}.rn = c{i}.e WINDOW b AS (ORDER BY rn ROWS UNBOUNDED PRECEDING), a AS (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
+            f"o{i} AS (SELECT hour, round(coalesce(CASE WHEN n1 = n0 THEN c0 ELSE c0 + (c1 - c0) * (rn - n0) / (n1 - n0) END, c0, c1, 0), 5) AS p{i} FROM f{i})",
+        ]
+    n = len(features.RECOMMENDED_CORRELATIONS)
+    return f"{HR}, {', '.join(ctes)} SELECT * FROM o0 {' '.join(f'JOIN o{i} USING (hour)' for i in range(1, n))}"
+
+
+@query(_recommended_sql())
+def recommended_correlations(spark, sf_dir):
+    base = _undotted(spark, sf_dir)
+    out = features.add_recommended_correlations(base).df
+    made = [c for c in out.columns if c not in base.df.columns]
+    return out.select("hour", *[F.round(F.col(f"`{c}`"), 5).alias(f"p{i}") for i, c in enumerate(made)])
 
 
 @query()

@@ -96,3 +96,26 @@ def test_forecast_frame_has_177_columns(spark):
     assert {"Alpha/Prot. ratio_std_24r_lag_4", "Alpha/Prot. ratio_lag_12", f"{P.BY}_lag_8", f"{P.PRESSURE}_lag_4", "conv_compression_long_Flow_pressure", f"{P.BETA}_embedding_2d_turn_var"} <= set(out.columns)
     assert not {P.AE, P.BX, "Lat. Angle of B (GSE)", f"{P.PRESSURE}_lag_12", f"{P.ALPHA}_lag_4"} & set(out.columns)
     assert out.count() == 36
+
+
+def test_earlier_features_move_columns_by_compound_lags(spark):
+    from auroral.plans import features as P
+    from auroral.series import Series
+
+    measured = ["Vector B Magnitude,nT", "Lat. Angle of B (GSE)", "Long. Angle of B (GSE)", P.BX, P.BY, P.BZ, P.B, P.SPEED, P.DENSITY, P.TEMPERATURE, P.BETA, P.PRESSURE, P.FIELD, "Magnetosonic Much num.", P.DST, P.AE, P.ALPHA]
+    rows = spark.range(60).select(F.col("id").alias("full_date"), *[(F.sin(F.col("id") * (k + 1)) * 50 + k).alias(c) for k, c in enumerate(measured)])
+    series = Series(rows, ("full_date",))
+    got = P.earlier_features(series, trend=False).df.orderBy("full_date").collect()
+    raw = rows.orderBy("full_date").collect()
+    states = P.magnetosphere(Series(P.undotted(rows), ("full_date",))).df.orderBy("full_date").collect()
+    signed = lambda x: np.sign(x) * np.log1p(abs(x))
+    for t in range(60):
+        assert got[t][P.BZ] == (pytest.approx(signed(raw[t - 4][P.BZ])) if t >= 4 else None)
+        assert got[t][f"{P.BZ}_lag_8"] == (pytest.approx(signed(raw[t - 12][P.BZ])) if t >= 12 else None)
+        assert got[t][P.BY] == (pytest.approx(signed(raw[t - 4][P.BY])) if t >= 4 else None)
+        before = states[t - 4][P.ENERGY] if t >= 4 else None
+        assert got[t][P.ENERGY] == (pytest.approx(before) if before is not None else None)
+        assert got[t][P.DST] == raw[t][P.DST]
+    names = set(got[0].asDict())
+    assert {f"{P.SPEED}_std_18r", f"{P.SPEED}_std_18r_lag_12", f"{P.SPEED}_lag_12", f"{P.ALPHA}_lag_12", f"{P.ENERGY}_lag_8"} <= names
+    assert not {f"{P.BY}_lag_4", f"{P.BZ}_lag_4", P.AE, P.BX, f"{P.SPEED}_std_18r_lag_8"} & names
