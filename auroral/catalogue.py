@@ -162,10 +162,13 @@ def outlier_null(spark, sf_dir):
 _FIR_SQL = "{ev} SELECT event_id, round({terms}, 6) AS y FROM ev {w}"
 
 
-def _fir_sql(name: str) -> str:
+def _fir_terms(name: str) -> str:
     values, scale = convolution.KERNELS[name]
-    terms = " + ".join(f"({c / scale!r}::DOUBLE) * " + (f"lag(value, {j}, 0.0) OVER w" if j else "value") for j, c in enumerate(reversed(values)))
-    return _FIR_SQL.format(ev=EV, terms=terms, w=W)
+    return " + ".join(f"({c / scale!r}::DOUBLE) * " + (f"lag(value, {j}, 0.0) OVER w" if j else "value") for j, c in enumerate(reversed(values)))
+
+
+def _fir_sql(name: str) -> str:
+    return _FIR_SQL.format(ev=EV, terms=_fir_terms(name), w=W)
 
 
 def _fir(name: str):
@@ -180,6 +183,16 @@ for _name in convolution.KERNELS:
     _QUERIES[f"fir_{_name}"], _SQL[f"fir_{_name}"] = _fir(_name), _fir_sql(_name)
 
 
+@query(f"""{EV}, c AS (SELECT event_id, user_id, ({_fir_terms('pulse')}) AS p, ({_fir_terms('shock')}) AS s, ({_fir_terms('storm_onset_short')}) AS z FROM ev {W})
+SELECT event_id, round((p - min(p) OVER u) / (max(p) OVER u - min(p) OVER u), 6) AS pulse, round(greatest(-2, least(2, s)), 6) AS shock, round((z - avg(z) OVER u) / stddev_pop(z) OVER u, 6) AS other FROM c WINDOW u AS (PARTITION BY user_id)""")
+def fir_families(spark, sf_dir):
+    """Normalised by range, clipped, and as z-scores."""
+    s = ev(spark, sf_dir)
+    kinds = {"pulse": "pulse", "shock": "shock", "other": "storm_onset_short"}
+    s = s.with_columns(**{f"_{n}": convolution.causal_convolution(s, "value", convolution.kernel(k)) for n, k in kinds.items()})
+    return s.with_columns(**{n: convolution.normalise(s, f"_{n}", k) for n, k in kinds.items()}).df.select("event_id", *[r6(n).alias(n) for n in kinds])
+
+
 @query(f"""{EV}, c AS (SELECT event_id, user_id, (-1 * coalesce(lag(value, 4, 0.0) OVER w, 0) - 0.5 * lag(value, 3, 0.0) OVER w + 0.5 * lag(value, 1, 0.0) OVER w + value) / 2 AS y FROM ev {W})
 SELECT event_id, round(y / max(abs(y)) OVER (PARTITION BY user_id), 6) AS y FROM c""")
 def fir_normalised(spark, sf_dir):
@@ -278,6 +291,18 @@ def _xcorr(method: str):
 
 
 _QUERIES |= {f"xcorr_{m}": _xcorr(m) for m in ("pearson", "spearman", "instantaneous")}
+
+
+def _xcorr_spline(kind: str):
+    def run(spark, sf_dir):
+        s = strided.add_window_correlation(hr(spark, sf_dir), "v", "n", 24, 0.5, "pearson", kind)
+        return s.df.select("hour", r6("window_corr_v_n_24w_50ovlp", 5).alias("c"))
+
+    return run
+
+
+#: Splines have no counterpart in SQL; tests solve for them densely.
+_QUERIES |= {f"xcorr_{kind}": _xcorr_spline(kind) for kind in ("quadratic", "cubic")}
 _SQL |= {
     "xcorr_pearson": _xcorr_sql(_PEARSON.format(a="a", b="b")),
     "xcorr_spearman": _xcorr_sql(_PEARSON.format(a="ra", b="rb"), ranks="").replace("FROM win GROUP BY k)", "FROM (SELECT k, rank() OVER (PARTITION BY k ORDER BY a) + (count(*) OVER (PARTITION BY k, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY k ORDER BY b) + (count(*) OVER (PARTITION BY k, b) - 1) / 2.0 AS rb FROM win) GROUP BY k)"),
@@ -700,6 +725,21 @@ def seasonal_decompose(spark, sf_dir):
     return n.where("rn > 3 and rn <= n - 3").select(F.col("day").cast("timestamp_ntz").alias("day"), r6("total_trend", 2).alias("trend"), r6("total_seasonal", 2).alias("seasonal"))
 
 
+@query("""WITH r AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS DOUBLE) AS x, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE)) - 1 AS rn, count(*) OVER () AS n FROM orders GROUP BY 1),
+m AS (SELECT *, CASE WHEN rn >= 7 AND rn < n - 7 THEN (sum(x) OVER (ORDER BY rn ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) + (lag(x, 7) OVER (ORDER BY rn) + lead(x, 7) OVER (ORDER BY rn)) / 2) / 14 END AS t FROM r),
+g AS (SELECT regr_slope(t, rn) FILTER (rn < 21) AS ha, regr_intercept(t, rn) FILTER (rn < 21) AS hb, regr_slope(t, rn) FILTER (rn >= n - 21) AS la, regr_intercept(t, rn) FILTER (rn >= n - 21) AS lb FROM m WHERE t IS NOT NULL),
+t AS (SELECT day, x, rn, CASE WHEN rn < 7 THEN ha * rn + hb WHEN rn >= n - 7 THEN la * rn + lb ELSE t END AS t FROM m, g),
+s AS (SELECT rn % 14 AS k, avg(x - t) AS s, avg(x / t) AS q FROM t GROUP BY 1), c AS (SELECT k, s - avg(s) OVER () AS s, q / avg(q) OVER () AS q FROM s)
+SELECT CAST(day AS TIMESTAMP) AS day, round(t, 6) AS trend, round(s, 6) AS seasonal, round(x - t - s, 6) AS resid, round(q, 6) AS factor, round(x / (t * q), 6) AS ratio FROM t JOIN c ON t.rn % 14 = c.k""")
+def decompose_even(spark, sf_dir):
+    """An even period, continued at the edges, by differences and by factors."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").cast("double").alias("x"))
+    s = decompose.decompose(Series(rows, ("day",)), "x", 14).with_columns(y=F.col("x"))
+    s = decompose.decompose(s, "y", 14, "multiplicative")
+    shown = {"x_trend": "trend", "x_seasonal": "seasonal", "x_resid": "resid", "y_seasonal": "factor", "y_resid": "ratio"}
+    return s.df.select(F.col("day").cast("timestamp_ntz").alias("day"), *[r6(c).alias(n) for c, n in shown.items()])
+
+
 @query(f"{EV} SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS 23 PRECEDING), 6) AS mean FROM ev")
 def chunked_rolling(spark, sf_dir):
     """One long series, computed in overlapping chunks."""

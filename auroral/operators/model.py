@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auroral.operators.metrics import forecast_metrics
+from auroral.series import checkpointed
 
 MISSING = -1e6
 
@@ -42,21 +43,23 @@ def _enough(columns: list[str], of: int, min_percent: float) -> Column:
 
 
 def train_imputers(df: DataFrame, min_percent: float = 70.0, exclude: tuple[str, ...] = (), min_rows: int = 100, rounds: int = 20, depth: int = 5, seed: int = 42) -> dict[str, Imputer]:
-    """A model for each column on rows where it and enough others are known (the share counts all columns); columns with fewer than ``min_rows`` of them get none."""
-    out = {}
+    """A model for each column on rows where it and enough others are known (the share counts all columns); columns with fewer than ``min_rows`` of them get none. Rows are written down once."""
     columns = [c for c in df.columns if c not in exclude]
-    for target in columns:
-        features = [c for c in columns if c != target]
-        if not features:
-            continue
-        rows = df.where(F.col(f"`{target}`").isNotNull() & _enough(features, len(df.columns), min_percent)).select(*[F.col(f"`{c}`") for c in columns])
-        n = rows.count()
-        if n < min_rows:
+    width = len(df.columns)
+    others = {t: [c for c in columns if c != t] for t in columns if len(columns) > 1}
+    if not others:
+        return {}
+    fit = {t: F.col(f"`{t}`").isNotNull() & _enough(features, width, min_percent) for t, features in others.items()}
+    held = checkpointed(df.select(*[F.col(f"`{c}`") for c in columns]))  # read once for each column, made once
+    counts = held.agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(fit.values())]).first()
+    out = {}
+    for k, (target, features) in enumerate(others.items()):
+        if counts[f"n{k}"] < min_rows:
             continue
-        ready = assemble(rows, features).select("_features", F.col(f"`{target}`").cast("double").alias("_label"))
+        ready = assemble(held.where(fit[target]), features).select("_features", F.col(f"`{target}`").cast("double").alias("_label"))
         model = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_p", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed).fit(ready)
         e = model.transform(ready).agg(F.avg((F.col("_p") - F.col("_label")) ** 2).alias("mse"), F.var_pop("_label").alias("v")).first()
-        out[target] = Imputer(model, features, 1 - e.mse / e.v if e.v else 0.0, e.mse, n)
+        out[target] = Imputer(model, features, 1 - e.mse / e.v if e.v else 0.0, e.mse, counts[f"n{k}"])
     return out
 
 
