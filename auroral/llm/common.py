@@ -4,50 +4,58 @@ from __future__ import annotations
 
 import ctypes
 import math
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a local session gets a temporary one and a cluster an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="auroral-"))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder.rstrip("/")
+from auroral.series import shared_folder
 
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Folders that this process has written and not discarded, in order.
+_WRITTEN: list[str] = []
+
+
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN_UP)
     spark.conf.set(_CLEAN_UP, "true")  # this query's shuffle files go with it
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEAN_UP, before)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN[:] = [w for w in _WRITTEN if w.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def written() -> tuple[str, ...]:
+    """What materialise() has written and nobody has deleted: a caller that has its result may discard_written() what came between."""
+    return tuple(_WRITTEN)
+
+
+def discard_written(spark: SparkSession, keep: tuple[str, ...], result: DataFrame) -> None:
+    """Delete what was written since ``keep`` = written(), except the files of ``result``."""
+    own = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in result.inputFiles()}
+    for folder in [w for w in _WRITTEN if w not in keep and w.rsplit("/", 1)[1] not in own]:
+        _delete(spark, folder)
 
 
 def give_back() -> None:

@@ -280,11 +280,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 7 << 19
     asked = brief.applyInArrow(_ask_phrases(window, phrase), "phrase long, block int, many boolean")
     same = Window.partitionBy("phrase")
     recurs = (F.count("*").over(same) > 1) | F.max("many").over(same)
-    phrases = materialise(asked.withColumn("recurs", recurs).where("recurs").select("block", "phrase"), "repeats-phrases")
+    phrases = materialise(asked.withColumn("recurs", recurs).where("recurs").select("block", "phrase"), "repeats-phrases", "zstd")
     wanted = brief.cogroup(phrases.groupBy("block")).applyInArrow(_ask_windows(window, phrase), "k0 long, k1 long, block int, doc long, place int, at int, many boolean")
     same = Window.partitionBy("k0", "k1")
     led = wanted.withColumn("lead", F.min(F.struct("doc", "place")).over(same)).withColumn("recurs", (F.count("*").over(same) > 1) | F.max("many").over(same))
-    confirmed = materialise(led.where("recurs").select("block", "at", "lead.doc", "lead.place"), "repeats-windows")
+    confirmed = materialise(led.where("recurs").select("block", "at", "lead.doc", "lead.place"), "repeats-windows", "zstd")
     discard(phrases)
     more = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(extra, names, strict=True))
     out = own.repartition("block").groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(_remover(window, names, layout), "doc_id long, n_words long, n_removed long, kept string" + more)
