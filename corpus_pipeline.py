@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auroral.llm import decontaminate, near, pieces, quality, repeats
-from auroral.llm.common import discard, materialise
+from auroral.llm.common import discard, discard_written, materialise, written
 from auroral.llm.queries import table, tokenizer_path
 
 #: Documents of a lower quality score go.
@@ -82,10 +82,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each result written and read again."""
+    """The stages over documents, each result written and read again; what a stage wrote besides goes with it, and each result once the next is there."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        before, keep = docs, written()
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        discard_written(spark, keep, docs)
         if k:
             discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
