@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from auroral.functions import transforms as X
 from auroral.operators import boosting, clean, convolution, decompose, events, lag, metrics, model, physics, rolling, state, strided, trees
 from auroral.plans import features
 from auroral.series import Series, chunked, drop_halo, shared_folder
-from auroral.sources import ingest
+from auroral.sources import artefacts, ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -755,10 +756,13 @@ def impute_gbt(spark, sf_dir):
     return model.impute(rows, imputers, 50.0)
 
 
+def _forecast_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    rows = lag.horizon_target(lag.target_history(hr(spark, sf_dir), "dst"), "dst", 4).df
+    return rows, ["dst_current", *[f"dst_past_{k}h" for k in range(1, 5)], "v", "n"]
+
+
 def _forecast(spark, sf_dir) -> tuple[DataFrame, list[str], model.GBTRegressionModel]:
-    s = hr(spark, sf_dir)
-    rows = lag.horizon_target(lag.target_history(s, "dst"), "dst", 4).df
-    names = ["dst_current", *[f"dst_past_{k}h" for k in range(1, 5)], "v", "n"]
+    rows, names = _forecast_rows(spark, sf_dir)
     return rows, names, model.train_forecast(rows, names, "y", rounds=5, depth=3)
 
 
@@ -837,6 +841,56 @@ def ice_stumps(spark, sf_dir):
     return trees.ice(forest, rows, "l_quantity", 11).select("value", *[F.round(c, 4).alias(c) for c in ("mean", "q25", "q75")])
 
 
+@query(f"{_STUMPS} SELECT l_orderkey, l_linenumber, round({_stump_value(1, 'x0', 'x1', 'x2')} + {_stump_value(2, 'x0', 'x1', 'x2')}, 4) AS prediction, round(sign(y - 1e5) * ln(1 + abs(y - 1e5)), 6) AS target FROM l")
+def persisted_stumps(spark, sf_dir):
+    """A forest and a fitted target transform, saved as one artefact, loaded and applied."""
+    rows, forest = _stumps(spark, sf_dir)
+    path = _written(spark, "artefact")
+    artefacts.save(spark, path, {"forest": forest, "target": X.Pipeline((X.SignedLog(),)), "settings": {"rounds": 2}})
+    held = artefacts.load(spark, path)
+    return trees.predict(held["forest"], rows).select("l_orderkey", "l_linenumber", F.round(F.col("margins")[0], 4).alias("prediction"), r6(held["target"].apply(F.col("l_extendedprice") - 1e5)).alias("target"))
+
+
+@query()
+def constrained_paths(spark, sf_dir):
+    """What each leaf of a forest under interaction constraints tests, for the trained rows of ``hr``: groups of features never meet."""
+    rows, names = _forecast_rows(spark, sf_dir)
+    forest = boosting.train(rows, names, "y", boosting.asymmetric(), boosting.Settings(rounds=3, depth=3, rate=0.3), constraints="[[0, 1, 2, 3, 4], [5, 6]]")
+    found = [(k, v, sorted({names[f] for f in fs}), float(np.prod(zero))) for k, t in enumerate(forest.trees) for v, fs, zero, _ in t.paths()]
+    return spark.createDataFrame(found, "tree int, value double, features array<string>, share double")
+
+
+@query("WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1) SELECT o_orderkey, d.orders FROM orders JOIN d ON CAST(o_orderdate AS DATE) = d.day")
+def join_daily_complete(spark, sf_dir):
+    """Every row must find its day."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    daily = orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("orders"))
+    return ingest.join_daily(orders, daily, "o_orderdate", "day", complete=True).select("o_orderkey", "orders")
+
+
+@query(f"""{EV} SELECT event_id, round(sign(value) * ln(1 + abs(value)), 6) AS value, round(ln(1 + ln(1 + abs(lag(value, 4) OVER w))), 6) AS value_lag_4, round(d, 6) AS d FROM ev {W}""")
+def derived_transforms(spark, sf_dir):
+    """Columns by the pipeline of the longest base name that theirs contains."""
+    s = lag.lag_feature(ev(spark, sf_dir), "value", 4)
+    pipelines = {"value": X.Pipeline((X.SignedLog(),)), "value_lag": X.Pipeline((X.SignedLog(), X.SignedLog()))}
+    return X.transform_derived(s.df.select("event_id", "value", "value_lag_4", "d"), pipelines).select("event_id", *[r6(c).alias(c) for c in ("value", "value_lag_4", "d")])
+
+
+def _history_sql(column: str) -> str:
+    lags = ", ".join(f"lag({column}, {k}) OVER w" if k else column for k in range(10))
+    return f"""l_{column} AS (SELECT event_id, [{lags}] AS a, row_number() OVER w AS rn FROM ev {W}),
+s_{column} AS (SELECT event_id, a, rn, list_transform(range(1, 10), lambda i: abs(a[i + 1] - a[i])) AS st, list_sum(a) / 10 AS m FROM l_{column}),
+h_{column} AS (SELECT event_id, CASE WHEN rn >= 10 THEN round(list_max(st), 6) END AS {column}_max_jump, CASE WHEN rn >= 10 THEN round(CASE WHEN list_sum(st) > 1e-10 THEN list_max(st) / list_sum(st) ELSE 0 END, 6) END AS {column}_jump_conc,
+ CASE WHEN rn >= 10 THEN round(abs(list_sum(list_transform(range(1, 11), lambda i: (i - 5.5) * (a[i] - m))) / sqrt(82.5 * list_sum(list_transform(range(1, 11), lambda i: (a[i] - m) ** 2)))), 6) END AS {column}_trend_str FROM s_{column})"""
+
+
+@query(f"""{EV.replace("50 - value AS d", "value + event_id % 7 AS d")}, {_history_sql("value")}, {_history_sql("d")} SELECT * FROM h_value JOIN h_d USING (event_id)""")
+def history_pipeline(spark, sf_dir):
+    s = ev(spark, sf_dir).with_columns(d=F.col("value") + F.col("event_id") % 7)
+    out = convolution.history_features(s, ["value", "d"]).df
+    return out.select("event_id", *[r6(f"{c}_lags_{f}").alias(f"{c}_{f}") for c in ("value", "d") for f in ("max_jump", "jump_conc", "trend_str")])
+
+
 #: A stand-in for each measured column, over the columns of ``hr``.
 STAND_INS = {
     features.SPEED: "v", features.DENSITY: "n + v / 977", features.TEMPERATURE: "v * 100 + n", features.BETA: "n / v", features.BX: "bx", features.BY: '"by"', features.BZ: "bz + v / 9973", features.B: "abs(bx) + v / 1000",

@@ -104,6 +104,15 @@ def signal_features(name: str) -> dict[str, Column]:
     }
 
 
+def history_features(series: Series, columns: list[str], n_lags: int = 10) -> Series:
+    """signal_features() of the last ``n_lags`` rows of each column, without the arrays."""
+    held = series.with_columns(**{f"{c}_lags": F.array(*lag_vector(series, c, n_lags)) for c in columns})
+    new: dict[str, Column] = {}
+    for c in columns:
+        new |= signal_features(f"{c}_lags")
+    return held.with_columns(**new).drop(*[f"{c}_lags" for c in columns])
+
+
 def takens_columns(series: Series, column: str, m: int, tau: int) -> list[Column]:
     """x(t), x(t - tau), ...; all null until the row has all its delays."""
     ready = series.row_number() > (m - 1) * tau
