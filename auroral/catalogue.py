@@ -1019,6 +1019,43 @@ def recommended_correlations(spark, sf_dir):
     return out.select("hour", *[F.round(F.col(f"`{c}`"), 5).alias(f"p{i}") for i, c in enumerate(made)])
 
 
+def _states_sql() -> str:
+    """Loading states, coupling efficiency and the three recovery states of the stand-ins for measured columns, with lags of 4 and 8 rows."""
+    ready = "n IS NOT NULL AND v IS NOT NULL AND bx IS NOT NULL AND \"by\" IS NOT NULL AND bz IS NOT NULL"
+    fold = lambda tau: f"lambda s, x: s * exp(-1 / {tau}::DOUBLE) + x * (1 - exp(-1 / {tau}::DOUBLE))"
+    ctes = [
+        f"""b AS MATERIALIZED (SELECT hour, dst, ae, n + v / 977 AS n, v, bx, "by", bz + v / 9973 AS bz, row_number() OVER (ORDER BY hour) AS rn FROM hr)""",
+        f"""e AS (SELECT rn, CASE WHEN {ready} AND {_SIN} >= 0 THEN {_ENERGY.format(s=_SIN)} / 1e9 END AS e, CASE WHEN n IS NOT NULL AND v IS NOT NULL AND bz IS NOT NULL THEN greatest(0, 3.0 - bz) * greatest(v, 1.0) * greatest(n, 1e-6) * 1e-4 END AS t,
+ 1e9 * (abs(dst) + ae) / (CASE WHEN {ready} THEN {_ENERGY.format(s=f'abs({_SIN})')} END + 1.0) AS efficiency FROM b)""",
+    ]
+    for c, tau in (("e", 8.5), ("t", 2.0)):
+        ctes.append(f"""l{c} AS (SELECT rn, CASE WHEN {c} IS NOT NULL THEN list_reduce(list_prepend(0.0::DOUBLE, list({c}) FILTER ({c} IS NOT NULL) OVER (PARTITION BY g ORDER BY rn)), {fold(tau)}) END AS state FROM (SELECT rn, {c}, sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY rn) AS g FROM e))""")
+    ctes.append("r AS MATERIALIZED (SELECT rn, 1 - dst AS x, lag(1 - dst) OVER (ORDER BY rn) AS before, lead(1 - dst) OVER (ORDER BY rn) AS after, dst, lag(dst, 1) OVER (ORDER BY rn) AS d1, lag(dst, 2) OVER (ORDER BY rn) AS d2 FROM b)")
+    ctes.append("runs AS (SELECT x, min(rn) AS a, max(rn) AS z FROM (SELECT *, sum(CASE WHEN x = before THEN 0 ELSE 1 END) OVER (ORDER BY rn) AS g FROM r) GROUP BY g, x)")
+    for k, (lookback, threshold) in enumerate(features.RECOVERY):
+        ctes += [
+            f"tops{k} AS (SELECT (a + z) // 2 AS p, x AS h FROM (SELECT *, lag(x) OVER (ORDER BY a) AS l, lead(x) OVER (ORDER BY a) AS n FROM runs) WHERE l < x AND n < x AND x >= {-threshold})",
+            f"sides{k} AS (SELECT p, h, coalesce(max(rn) FILTER (rn < p AND x > h), 0) AS lo, coalesce(min(rn) FILTER (rn > p AND x > h), 1000000000) AS hi FROM tops{k}, r GROUP BY p, h)",
+            f"deep{k} AS (SELECT p, h, h - greatest(min(x) FILTER (rn > lo AND rn <= p), min(x) FILTER (rn >= p AND rn < hi)) AS depth FROM sides{k}, r GROUP BY p, h)",
+            f"""wide{k} AS (SELECT p, arg_max(rn + CASE WHEN x < h - depth / 2 THEN (h - depth / 2 - x) / (after - x) ELSE 0 END, rn) FILTER (rn < p AND x <= h - depth / 2) AS l,
+ arg_min(rn - CASE WHEN x < h - depth / 2 THEN (h - depth / 2 - x) / (before - x) ELSE 0 END, rn) FILTER (rn > p AND x <= h - depth / 2) AS n FROM deep{k}, r WHERE depth >= 15 GROUP BY p)""",
+            f"q{k} AS (SELECT r.*, rn - last_value(p IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS el FROM r LEFT JOIN (SELECT p FROM wide{k} WHERE n - l >= 2) ON rn = p)",
+            f"s{k} AS (SELECT rn, CASE WHEN el <= {lookback} THEN least(el / 24.0, 1.0) * (1 + 0.5 * CASE WHEN d1 IS NULL THEN 0 ELSE greatest(dst - d1, 0) + CASE WHEN d2 IS NULL THEN 0 ELSE greatest(d1 - d2, 0) END END) END AS state FROM q{k})",
+        ]
+    ctes.append("f AS (SELECT b.hour, b.rn, le.state AS energy, lt.state AS tail, efficiency, s0.state AS r0, s1.state AS r1, s2.state AS r2 FROM b JOIN e USING (rn) JOIN le USING (rn) JOIN lt USING (rn) JOIN s0 USING (rn) JOIN s1 USING (rn) JOIN s2 USING (rn))")
+    names = {"energy": 3, "tail": 3, "efficiency": 4, "r0": 5, "r1": 5, "r2": 5}
+    shown = [f"round({c}, {n}) AS {c}, round(lag({c}, 4) OVER w, {n}) AS {c}_lag_4, round(lag({c}, 8) OVER w, {n}) AS {c}_lag_8" for c, n in names.items()]
+    return f"{HR}, {', '.join(ctes)} SELECT hour, {', '.join(shown)} FROM f WINDOW w AS (ORDER BY rn)"
+
+
+@query(_states_sql())
+def features_states(spark, sf_dir):
+    out = features.magnetosphere(_undotted(spark, sf_dir)).df
+    recovered = [f"recovery_state_lookback_{lookback}_thresh_{threshold}" for lookback, threshold in features.RECOVERY]
+    named = {"energy": (features.ENERGY, 1e-9, 3), "tail": (features.TAIL, 1.0, 3), "efficiency": (features.COUPLING, 1e9, 4), **{f"r{k}": (c, 1.0, 5) for k, c in enumerate(recovered)}}
+    return out.select("hour", *[F.round(F.col(f"`{c}{lag_}`") * scale, digits).alias(f"{n}{lag_}") for n, (c, scale, digits) in named.items() for lag_ in ("", "_lag_4", "_lag_8")])
+
+
 @query()
 def feature_pipeline(spark, sf_dir):
     """The flagship: states and all feature domains on a stand-in series of hours, with the target four hours ahead."""
