@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .tokens import WORDS, chunks
 
 #: Words of items in one automaton; more items make more shards, each a pass of its own.
@@ -227,10 +227,13 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int =
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
     out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *extra)
     context = docs.sparkSession.sparkContext
-    held = []
+    held, found = [], None
     for shard in _shards(items, shard_words, window):
-        if len(held) == PASSES:  # what these found is written down before the next are read
-            out = materialise(out, "decontaminate-found")
+        if len(held) == PASSES:  # what these found is written down before the next are read; what it was made of goes
+            before, found = found, materialise(out, "decontaminate-found")
+            if before is not None:
+                discard(before)
+            out = found
             for done in held:
                 done.destroy()
             held = []
