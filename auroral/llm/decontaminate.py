@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, give_back, materialise
 from .tokens import WORDS, chunks
 
 #: Words of items in one automaton; more items make more shards, each a pass of its own.
@@ -212,54 +212,66 @@ def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Where benchmark windows occur in documents.
+def _in_turn(passes: list):
+    """The passes one after the other in one Python worker; as operators of their own each would have a worker for every task, which lives on."""
 
-    ``docs`` has doc_id and text, ``items`` item_id and text; further columns are left out, but for those in ``extra``. A window is
-    ``window`` consecutive words of an item, or a whole item of fewer words. Returns a row for each row of
-    ``docs``: doc_id, text, n_words, spans array<struct<lo int, hi int>> (disjoint, ascending runs of words
-    that windows cover, ``hi`` excluded), items array<string> (ids of the items with a window here, sorted).
-    Null texts have no words; items without words match nothing; hits of items with a null id have spans but
-    no id; repeated item ids count once; an empty items table gives no spans.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in passes:
+            batches = one(batches)
+        yield from batches
+        give_back()
+
+    return run
+
+
+def _passes(docs: DataFrame, items: DataFrame, window: int, shard_words: int, extra: tuple[str, ...]) -> tuple[DataFrame, list, str]:
+    """Rows, the passes of scan() over them that are still to be made, and the schema these give."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text string, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *extra)
+    rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *extra)
     context = docs.sparkSession.sparkContext
     held, found = [], None
     for shard in _shards(items, shard_words, window):
         if len(held) == PASSES:  # what these found is written down before the next are read; what it was made of goes
+            out = rows.mapInArrow(_in_turn([_scanner(h, window, extra) for h in held]), schema)
             before, found = found, materialise(out, "decontaminate-found")
             if before is not None:
                 discard(before)
-            out = found
+            rows = found
             for done in held:
                 done.destroy()
             held = []
         held.append(context.broadcast(shard))
-        out = out.mapInArrow(_scanner(held[-1], window, extra), schema)
-    return out if held else out.mapInArrow(_scanner(None, window, extra), schema)
+    return rows, [_scanner(h, window, extra) for h in held or [None]], schema
 
 
-def remove_spans(scanned: DataFrame, min_words: int = 10, max_coverage: float = 0.8, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, *extra) without the spans of scan() that have at least ``min_words`` words; shorter spans stay.
+def scan(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Where benchmark windows occur in documents.
 
-    A document of which such spans cover more than ``max_coverage`` of the words is dropped whole. Texts
-    without such a span stay as they are, byte for byte; elsewhere a span goes with its inner separators.
+    ``docs`` has doc_id and text, ``items`` item_id and text; further columns are left out, but for those in ``extra``. A window is
+    ``window`` consecutive words of an item, or a whole item of fewer words. Returns a row for each row of
+    ``docs``: doc_id, text, n_words, spans array<struct<lo int, hi int>> (disjoint, ascending runs of words
+    that windows cover, ``hi`` excluded), items array<string> (ids of the items with a window here, sorted).
+    Null texts have no words; items without words match nothing; hits of items with a null id have spans but
+    no id; repeated item ids count once; an empty items table gives no spans.
     """
-    kind = scanned.schema["doc_id"].dataType.simpleString()
+    rows, passes, schema = _passes(docs, items, window, shard_words, extra)
+    return rows.mapInArrow(_in_turn(passes), schema)
+
+
+def _remover(min_words: int, max_coverage: float, extra: tuple[str, ...]):
+    kept = ["doc_id", "text", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2).to_pylist()
+            spans = batch.column("spans").to_pylist()
             hit = [[s for s in x if s["hi"] - s["lo"] >= min_words] for x in spans]
             clean = np.array([not x for x in hit], bool)
-            kept = [0, 1, *range(3, batch.num_columns)]
             yield batch.filter(pa.array(clean)).select(kept)
             for i in np.flatnonzero(~clean).tolist():
                 one = batch.slice(i, 1)
-                chunk = next(chunks(one.column(1)))
+                chunk = next(chunks(one.column("text")))
                 starts, ends, _, _ = chunk.tokens(WORDS, lower=True)
                 if sum(s["hi"] - s["lo"] for s in hit[i]) > max_coverage * len(starts):
                     continue
@@ -268,10 +280,28 @@ def remove_spans(scanned: DataFrame, min_words: int = 10, max_coverage: float =
                     out.append(data[at : starts[s["lo"]]])
                     at = ends[s["hi"] - 1]
                 out.append(data[at:])
-                yield pa.RecordBatch.from_arrays([one.column(0), pa.array([b"".join(out).decode("utf-8", "replace")], pa.string()), *[one.column(k) for k in kept[2:]]], ["doc_id", "text", *extra])
+                yield pa.RecordBatch.from_arrays([one.column("doc_id"), pa.array([b"".join(out).decode("utf-8", "replace")], pa.string()), *[one.column(c) for c in extra]], kept)
+
+    return run
+
 
+def remove_spans(scanned: DataFrame, min_words: int = 10, max_coverage: float = 0.8, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, *extra) without the spans of scan() that have at least ``min_words`` words; shorter spans stay.
+
+    A document of which such spans cover more than ``max_coverage`` of the words is dropped whole. Texts
+    without such a span stay as they are, byte for byte; elsewhere a span goes with its inner separators.
+    """
+    kind = scanned.schema["doc_id"].dataType.simpleString()
     more = "".join(f", `{c}` {scanned.schema[c].dataType.simpleString()}" for c in extra)
-    return scanned.select("doc_id", "text", "spans", *extra).mapInArrow(run, f"doc_id {kind}, text string{more}")
+    return scanned.select("doc_id", "text", "spans", *extra).mapInArrow(_remover(min_words, max_coverage, extra), f"doc_id {kind}, text string{more}")
+
+
+def scan_and_remove(docs: DataFrame, items: DataFrame, window: int = 10, min_words: int = 10, max_coverage: float = 0.8, shard_words: int = SHARD_WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """remove_spans(scan()) with one Python worker for a task."""
+    rows, passes, _ = _passes(docs, items, window, shard_words, extra)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
+    return rows.mapInArrow(_in_turn([*passes, _remover(min_words, max_coverage, extra)]), f"doc_id {kind}, text string{more}")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

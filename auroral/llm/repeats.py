@@ -34,43 +34,52 @@ from .common import block_count, discard, give_back, materialise
 from .tokens import WHITESPACE, chunks, mix, window_hashes
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
+#: Bytes of text, and words, that are worked on at once: a block's arrays are held whole, what is reckoned on the way is not.
+STEP = 1 << 16
+#: Rows whose texts are Python strings at once.
+ROWS = 256
 
 
 def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and place in its row of each word."""
     hashes, rows = [], []
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, STEP):
         _, _, h, r = chunk.tokens(WHITESPACE)
         hashes.append(h)
-        rows.append(r + chunk.lo)
+        rows.append((r + chunk.lo).astype(np.int32))
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    r = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    first = np.searchsorted(r, np.arange(len(texts)))
-    return h, r, np.arange(len(h)) - (first[r] if len(r) else 0)
+    r = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    first = np.searchsorted(r, np.arange(len(texts), dtype=np.int32)).astype(np.int32)
+    return h, r, np.arange(len(h), dtype=np.int32) - (first[r] if len(r) else np.int32(0))
 
 
-def _windows(h: np.ndarray, r: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the window that begins at each word; 0 where its document ends before."""
+def _windows(h: np.ndarray, r: np.ndarray, size: int, second: bool = False) -> np.ndarray:
+    """Hash of the window that begins at each word; 0 where its document ends before. ``second`` gives another hash."""
     out = np.zeros(len(h), np.uint64)
     n = len(h) - size + 1
-    if n > 0:
-        out[:n] = np.where(r[:n] == r[size - 1 :], window_hashes(h, size) | np.uint64(1), np.uint64(0))
+    for lo in range(0, n, STEP):
+        hi = min(lo + STEP, n)
+        own = h[lo : hi + size - 1]
+        found = window_hashes(mix(own ^ _SECOND) if second else own, size) | np.uint64(1)
+        out[lo:hi] = np.where(r[lo:hi] == r[lo + size - 1 : hi + size - 1], found, np.uint64(0))
     return out
 
 
 def _anchors(h: np.ndarray, r: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """The anchor (a hash) of the window that begins at each word, 0 where there is no window, and where the anchor is."""
     grams = _windows(h, r, anchor)
-    out, where = np.zeros(len(h), np.uint64), np.zeros(len(h), np.int64)
+    out, where = np.zeros(len(h), np.uint64), np.zeros(len(h), np.int32)
     n = len(h) - window + 1
-    if n > 0:
-        least, at = grams[:n].copy(), np.zeros(n, np.int64)
+    for lo in range(0, n, STEP):
+        hi = min(lo + STEP, n)
+        least, at = grams[lo:hi].copy(), np.arange(lo, hi, dtype=np.int32)
         for k in range(1, window - anchor + 1):
-            less = grams[k : k + n] < least
-            at[less] = k
-            np.minimum(least, grams[k : k + n], out=least)
-        out[:n] = np.where(r[:n] == r[window - 1 :], least, np.uint64(0))
-        where[:n] = at + np.arange(n)
+            next_ = grams[lo + k : hi + k]
+            less = next_ < least
+            at[less] = np.flatnonzero(less) + (lo + k)
+            np.minimum(least, next_, out=least)
+        out[lo:hi] = np.where(r[lo:hi] == r[lo + window - 1 : hi + window - 1], least, np.uint64(0))
+        where[lo:hi] = at
     return out, where
 
 
@@ -82,6 +91,14 @@ def _selected(anchors: np.ndarray, where: np.ndarray) -> np.ndarray:
     return anchors[keep]
 
 
+def _lean(work, *tables: pa.Table) -> pa.Table:
+    """work(*tables), with this worker's freed memory given back before and after: between two calls a worker holds little."""
+    give_back()
+    out = work(*tables)
+    give_back()
+    return out
+
+
 def _in_order(table: pa.Table, extra: tuple[str, ...] = ()) -> pa.Table:
     """The rows of a block in the order of their documents."""
     return table.select(["doc_id", "text", "block", *extra]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -91,13 +108,12 @@ def _ask_phrases(window: int, phrase: int):
     """The block's distinct phrases, and whether it has more than one of each."""
 
     def run(table: pa.Table) -> pa.Table:
-        give_back()
         h, r, _ = _tokens(table.column("text"))
         unique, count = np.unique(_selected(*_anchors(h, r, window, phrase)), return_counts=True)
         block = np.full(len(unique), table.column("block")[0].as_py(), np.int32)
         return pa.table({"phrase": unique.view(np.int64), "block": block, "many": count > 1})
 
-    return run
+    return lambda table: _lean(run, table)
 
 
 _WINDOWS = [("k0", pa.int64()), ("k1", pa.int64()), ("block", pa.int32()), ("doc", pa.int64()), ("place", pa.int32()), ("at", pa.int32()), ("many", pa.bool_())]
@@ -111,7 +127,6 @@ def _ask_windows(window: int, phrase: int):
     """The block's distinct windows whose phrases recur: key, first place (also as the number of the block's word), and whether it has more than one of each."""
 
     def run(table: pa.Table, phrases: pa.Table) -> pa.Table:
-        give_back()
         if not table.num_rows or not phrases.num_rows:
             return pa.table([pa.array([], t) for _, t in _WINDOWS], [n for n, _ in _WINDOWS])
         table = _in_order(table)
@@ -121,7 +136,8 @@ def _ask_windows(window: int, phrase: int):
         begin = np.flatnonzero(anchors != 0)
         at = np.searchsorted(known, anchors[begin])
         begin = begin[known[np.minimum(at, len(known) - 1)] == anchors[begin]]
-        k0, k1 = _windows(h, r, window)[begin], _windows(mix(h ^ _SECOND), r, window)[begin]
+        del anchors, at
+        k0, k1 = _windows(h, r, window)[begin], _windows(h, r, window, second=True)[begin]
         doc, place = table.column("doc_id").to_numpy()[r[begin]], place[begin]
         order = np.lexsort((place, doc, k1, k0))
         k0, k1 = k0[order], k1[order]
@@ -131,14 +147,29 @@ def _ask_windows(window: int, phrase: int):
         block = np.full(len(first), table.column("block")[0].as_py(), np.int32)
         return pa.table({"k0": k0[first].view(np.int64), "k1": k1[first].view(np.int64), "block": block, "doc": doc[lead], "place": place[lead].astype(np.int32), "at": begin[lead].astype(np.int32), "many": many})
 
-    return run
+    return lambda table, phrases: _lean(run, table, phrases)
 
 
 def _spelled(numbers: np.ndarray) -> str:
     """Each number as three characters, whose places have alphabets of their own: an automaton's node then has few children, and matches begin at words."""
     base = max(2, math.ceil((int(numbers.max(initial=0)) + 1) ** (1 / 3)))
-    places = np.stack([numbers // (base * base), base + numbers // base % base, 2 * base + numbers % base], axis=1)
-    return (places.ravel() + 0x100).astype("<u4").tobytes().decode("utf-32-le")
+    spelled = []
+    for lo in range(0, len(numbers), STEP):
+        own = numbers[lo : lo + STEP]
+        places = np.stack([own // (base * base), base + own // base % base, 2 * base + own % base], axis=1)
+        spelled.append((places.ravel() + 0x100).astype("<u4").tobytes().decode("utf-32-le"))
+    return "".join(spelled)
+
+
+def _numbered(words: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Numbers from 1 for the distinct words that stand somewhere ``inside``, 0 for all others."""
+    known = np.unique(words[inside])
+    out = np.zeros(len(words), np.int32)
+    for lo in range(0, len(words) if len(known) else 0, STEP):
+        own = words[lo : lo + STEP]
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        out[lo : lo + STEP] = np.where(known[at] == own, at + 1, 0)
+    return out
 
 
 class Passages:
@@ -154,12 +185,12 @@ class Passages:
         cut = np.flatnonzero(np.append(True, confirmed[1:] != confirmed[:-1] + 1))
         lows, highs = confirmed[cut], confirmed[np.append(cut[1:], len(confirmed)) - 1] + window
         self.runs = list(zip(lows.tolist(), highs.tolist(), strict=True))
-        inside = np.zeros(len(words) + 1, np.int64)
+        inside = np.zeros(len(words) + 1, np.int32)
         np.add.at(inside, lows, 1)
         np.add.at(inside, highs, -1)
-        known = np.unique(words[np.cumsum(inside[:-1]) > 0])
-        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        self.text = _spelled(np.where(known[at] == words, at + 1, 0))  # words of no passage are all 0
+        np.cumsum(inside, out=inside)
+        self.text = _spelled(_numbered(words, inside[:-1] > 0))  # words of no passage are all 0
+        del inside
         pieces: dict[str, list[tuple[int, int]]] = {}
         for number, (lo, hi) in enumerate(self.runs):
             for at in range(lo, hi - self.piece + 1, stride):
@@ -216,7 +247,7 @@ class Passages:
 def _repeated(table: pa.Table, confirmed: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each word of the block whether it goes, and the row of each word."""
     h, r, place = _tokens(table.column("text"))
-    later = np.zeros(len(h) + 1, np.int32)
+    later = np.zeros(len(h), bool)
     if confirmed.num_rows and len(h) >= window:
         at = confirmed.column("at").to_numpy()
         order = np.argsort(at)
@@ -224,6 +255,7 @@ def _repeated(table: pa.Table, confirmed: pa.Table, window: int) -> tuple[np.nda
         number = np.zeros(len(h), np.int32)  # of the window that confirmation saw here
         number[at] = np.arange(len(at))
         passages = Passages(h, at.astype(np.int64), window)
+        del h
         ids, own = table.column("doc_id").to_numpy(), np.bincount(r, minlength=table.num_rows)
         last = np.cumsum(own)
         for row in np.flatnonzero(own >= window).tolist():
@@ -232,32 +264,35 @@ def _repeated(table: pa.Table, confirmed: pa.Table, window: int) -> tuple[np.nda
                 said = number[lo - shift : hi - shift - window + 1]
                 later[lo : hi - window + 1] |= (lead_doc[said] < doc) | ((lead_doc[said] == doc) & (lead_place[said] < place[lo : hi - window + 1]))
     # a word goes if one of the windows that cover it does
-    before = np.cumsum(later) - later
-    where = np.arange(len(h))
-    return before[where + 1] > before[np.maximum(where - window + 1, 0)], r
+    so_far = np.cumsum(later, dtype=np.int32)
+    gone = so_far > 0
+    gone[window:] = so_far[window:] > so_far[:-window]
+    return gone, r
 
 
 def _remover(window: int, names: tuple[str, ...], layout: bool):
     def run(table: pa.Table, confirmed: pa.Table) -> pa.Table:
-        give_back()
         table = _in_order(table, names)
         gone, r = _repeated(table, confirmed, window)
         give_back()
         size = np.bincount(r, minlength=table.num_rows)
-        removed = np.bincount(r, weights=gone, minlength=table.num_rows).astype(np.int64)
+        removed = np.bincount(r[gone], minlength=table.num_rows)
         last, kept = np.cumsum(size), []
-        for k, text in enumerate(table.column("text").to_pylist()):
-            if layout and not removed[k]:
-                kept.append(text)
-                continue
-            words = text.encode("utf-8", "surrogatepass").split()
-            if removed[k]:
-                words = [words[i] for i in np.flatnonzero(~gone[last[k] - size[k] : last[k]]).tolist()]
-            kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        columns = [table.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *[table.column(c) for c in names]]
+        for lo in range(0, table.num_rows, ROWS):
+            own = []
+            for k, text in enumerate(table.column("text").slice(lo, ROWS).to_pylist(), lo):
+                if layout and not removed[k]:
+                    own.append(text)
+                    continue
+                words = text.encode("utf-8", "surrogatepass").split()
+                if removed[k]:
+                    words = [words[i] for i in np.flatnonzero(~gone[last[k] - size[k] : last[k]]).tolist()]
+                own.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+            kept.append(pa.array(own, pa.string()))
+        columns = [table.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.chunked_array(kept, pa.string()), *[table.column(c) for c in names]]
         return pa.Table.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", *names])
 
-    return run
+    return lambda table, confirmed: _lean(run, table, confirmed)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = 7 << 19, extra: tuple[str, ...] = (), layout: bool = False) -> DataFrame:

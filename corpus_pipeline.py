@@ -63,8 +63,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes spans that benchmark items cover; documents that they cover by more than four fifths go."""
     rows, names = plain(docs)
-    found = decontaminate.scan(rows, table(spark, sf_dir, "benchmark"), window=10, extra=names)
-    return named(decontaminate.remove_spans(found, min_words=1, max_coverage=0.8, extra=names), docs)
+    clean = decontaminate.scan_and_remove(rows, table(spark, sf_dir, "benchmark"), window=10, min_words=1, max_coverage=0.8, extra=names)
+    return named(clean, docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -337,6 +337,34 @@ def test_shared_pieces_agree_with_brute_force(spark, monkeypatch):
             assert all(text[x : x + window] == text[y : y + window] for x, y in seen)
 
 
+def test_a_block_takes_little_more_than_its_words():
+    """A block's arrays are held, what is reckoned from them on the way is not: a few times the text."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    text = lambda ids: " ".join(f"w{i:06d}" for i in ids.tolist())
+    own, shared = rng.integers(0, 50_000, (400, 900)), rng.integers(0, 50_000, (40, 200))
+    texts = [text(np.concatenate([a, shared[k % 40]])) for k, a in enumerate(own)]
+    table = pa.table({"doc_id": np.arange(400), "text": texts, "block": pa.array(np.zeros(400), pa.int32())})
+    size = sum(map(len, texts))
+
+    def peak(work, *tables):
+        tracemalloc.start()
+        try:
+            out = work(*tables)
+            return out, tracemalloc.get_traced_memory()[1] / size
+        finally:
+            tracemalloc.stop()
+
+    repeats._tokens(table.column("text"))
+    phrases, first = peak(repeats._ask_phrases(20, 12), table)
+    windows, second = peak(repeats._ask_windows(20, 12), table, phrases.filter(phrases.column("many")))
+    confirmed = windows.filter(windows.column("many")).select(["block", "at", "doc", "place"])
+    out, third = peak(repeats._remover(20, (), True), table, confirmed)
+    assert pa.compute.sum(out.column("n_removed")).as_py() == 360 * 200
+    assert max(first, second, third) < 9, (first, second, third)
+
+
 # --- pieces
 
 
@@ -532,6 +560,22 @@ def test_rewritten_history_is_seen():
 # --- pipeline
 
 
+def test_no_task_of_decontamination_has_two_python_workers(spark, tmp_path):
+    """Workers live on, so that operators in a row would raise what an executor holds from then on."""
+    import corpus_pipeline
+
+    rows = [(k, prose(k, 60)) for k in range(30)]
+    docs, items = docs_of(spark, rows), spark.createDataFrame([(f"b{k}", prose(k, 60)[: 150 + k]) for k in range(6)], "item_id string, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for out in (decontaminate.scan(docs, items, 10, 20), corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path))):
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for shard in (20, 10**6):
+        two = decontaminate.remove_spans(decontaminate.scan(docs, items, 10, shard), 1, 0.8)
+        one = decontaminate.scan_and_remove(docs, items, 10, 1, 0.8, shard)
+        got = sorted(map(tuple, one.collect()))
+        assert got == sorted(map(tuple, two.collect())) and got != sorted(map(tuple, docs.select("doc_id", "text").collect()))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
