@@ -3,6 +3,9 @@
 A task finds the peaks of its rows and, with two stacks, the least value on each side before something higher. Where nothing higher
 stands in the task, the summaries of all tasks tell which task has it and what lies between; that task is asked for the rest, and again for where the
 half height is crossed. What is asked are peaks that overtop their task's rows on one side, few for each task.
+
+Widths are differences of places in the series, counted from 1 as row numbers are. Doubles round by their size, so a width that is just its limit
+depends on the count, which must not begin anew in a task.
 """
 
 from __future__ import annotations
@@ -112,6 +115,7 @@ def long_peaks(series: Series, column: str, peaks: dict[str, dict], sign: float
             side = "head" if k == 0 else "tail" if k == len(parts) - 1 else None
             where = places[task][side] if side else None
             chain: Chain | None = found[where[0]] if where else None
+            begin = int(chain.offset[where[1]]) if chain else 0
             some = [t for t in tops(x, chain.around(where[1]) if chain else (0, None, 0, None)) if x[t[1]] >= floor]
             if not some:
                 continue
@@ -137,12 +141,11 @@ def long_peaks(series: Series, column: str, peaks: dict[str, dict], sign: float
                     edges = [(i, crossing(x, middle, step, level)) for i, step in enumerate((-1, 1))]
                     if all(e is not None for _, e in edges):
                         left, right = edges[0][1], edges[1][1]
-                        wide = _edge(right, x[right], x[right - 1], level, 1) - _edge(left, x[left], x[left + 1], level, -1) if left != right else 0.0
+                        wide = _edge(begin + right + 1, x[right], x[right - 1], level, 1) - _edge(begin + left + 1, x[left], x[left + 1], level, -1) if left != right else 0.0
                         passed = _passes(peaks, v, depth, wide)
                         if not any(passed):
                             continue
-                offset_ = int(chain.offset[where[1]]) if chain else 0
-                out.append((int(row[lo + middle]), where[0] if where else None, where[1] if where else None, offset_ + middle, v, *low, *asks, *passed))
+                out.append((int(row[lo + middle]), where[0] if where else None, where[1] if where else None, begin + middle, v, *low, *asks, *passed))
         columns = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
@@ -230,11 +233,11 @@ def _across(rows: DataFrame, rest: DataFrame, sent, peaks: dict[str, dict], stee
                     continue
                 inner = i - side
                 beside = float(part[inner]) if 0 <= inner < len(part) else float(held[chain].last[where - 1] if side > 0 else held[chain].first[where + 1])
-                begin = float(held[chain].offset[where])
+                at = int(held[chain].offset[where]) + i + 1
                 if mine and i == start:
-                    out.append((peak, side, mine, begin + i))
+                    out.append((peak, side, mine, float(at)))
                 elif beside > level:  # else the peak's own rows get as low before
-                    out.append((peak, side, mine, begin + _edge(i, float(part[i]), beside, level, side)))
+                    out.append((peak, side, mine, _edge(at, float(part[i]), beside, level, side)))
         return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.float64()))], ["_row", "side", "mine", "edge"])
 
     edges = sorted_rows.groupBy("_task").cogroup(wanted.groupBy("_task")).applyInArrow(cross, "_row long, side int, mine boolean, edge double")

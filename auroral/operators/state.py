@@ -72,7 +72,10 @@ def _side(x: np.ndarray, peak: int, step: int) -> tuple[float, int]:
 
 
 def find_peaks(x: np.ndarray, height: float | None = None, distance: int | None = None, prominence: float | None = None, width: float | None = None) -> np.ndarray:
-    """Peaks that pass the filters, in this order: least height, least distance (higher ones win), prominence, width at half prominence."""
+    """Peaks that pass the filters, in this order: least height, least distance (higher ones win), prominence, width at half prominence.
+
+    Widths are taken between places counted from 1, as in long_peaks().
+    """
     peaks = local_peaks(x)
     if height is not None:
         peaks = peaks[x[peaks] >= height]
@@ -95,11 +98,11 @@ def find_peaks(x: np.ndarray, height: float | None = None, distance: int | None
             i = p
             while base_l < i and level < x[i]:
                 i -= 1
-            left = i + (level - x[i]) / (x[i + 1] - x[i]) if x[i] < level else float(i)
+            left = i + 1 + (level - x[i]) / (x[i + 1] - x[i]) if x[i] < level else float(i + 1)
             i = p
             while i < base_r and level < x[i]:
                 i += 1
-            right = i - (level - x[i]) / (x[i - 1] - x[i]) if x[i] < level else float(i)
+            right = i + 1 - (level - x[i]) / (x[i - 1] - x[i]) if x[i] < level else float(i + 1)
             if not right - left >= width:
                 continue
         out.append(p)

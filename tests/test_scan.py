@@ -39,6 +39,21 @@ def test_peaks_over_tasks_equal_peaks_of_the_whole_series(spark, shape, gaps):
             assert [r.t for r in rows if r[name]] == state.find_peaks(-values + 1, **f).tolist(), (shape, key, name)
 
 
+def test_a_width_that_is_just_its_limit_does_not_depend_on_tasks(spark):
+    """Half heights are crossed halfway to equal neighbours: 0 + 0.5 less a rounding error isn't 1.5, 1 + that is."""
+    d = np.tile(50 - np.array([15.87, 106.06]), 50)
+    x = 1 - d
+    level = x[1] - (x[1] - x[0]) / 2
+    share = (level - x[0]) / (x[1] - x[0])
+    assert (2 - share) - (0 + share) < 1
+    want = [k for k in range(1, 99, 2) if (k + 2 - share) - (k + share) >= 1]  # row numbers k and k + 2
+    assert 1 in want
+    for tasks in (1, 7, 30):
+        got = peaks.long_peaks(frame(spark, [d, d[:3]], ["a", "b"]), "d", {"p": {"height": 50.0, "prominence": 15.0, "width": 1}}, tasks=tasks).df.where("p").collect()
+        assert sorted(r.t for r in got if r.u == "a") == want == state.find_peaks(x, height=50, prominence=15, width=1).tolist()
+        assert [r.t for r in got if r.u == "b"] == [1]
+
+
 def test_recursions_over_tasks(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=300)
