@@ -54,6 +54,15 @@ def test_a_width_that_is_just_its_limit_does_not_depend_on_tasks(spark):
         assert [r.t for r in got if r.u == "b"] == [1]
 
 
+def test_recovery_follows_a_peak_whose_width_is_just_its_limit(spark, tmp_path):
+    from auroral import catalogue
+
+    values = [15.87, 106.06, 15.87, 2.78, 42.77, 22.06, 99.56]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").selectExpr("event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id) AS ts", "7L AS user_id", "'view' AS event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = [r.recovery for r in catalogue.queries()["recovery_state"](spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert got == [None, None, 1.920625, 4.386667, 0.943125, 1.8925, 2.365625]  # as its SQL gives
+
+
 def test_recursions_over_tasks(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=300)
