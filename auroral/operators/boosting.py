@@ -76,6 +76,8 @@ class Settings:
     seed: int = 42
     #: Rounds after which rows are written down with their margins.
     every: int = 10
+    #: Nodes take their best split even where, by the penalty, it gains nothing.
+    always: bool = False
 
 
 def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int = 64) -> list[list[float]]:
@@ -212,7 +214,7 @@ def _best_splits(cells: DataFrame, allowed: DataFrame | None, settings: Settings
     score = lambda s: F.try_divide(real(f"g{s}") * real(f"g{s}"), real(f"h{s}") + settings.penalty)
     gain = (score("l") + score("r") - score("a")) / 2
     fit = (F.col("nl") > 0) & (F.col("nr") > 0) & (real("hl") >= settings.min_weight) & (real("hr") >= settings.min_weight)
-    ranked = tried.where(fit).withColumn("gain", gain).where((F.col("gain") > settings.min_gain) & (F.col("gain") > 0))
+    ranked = tried.where(fit).withColumn("gain", gain).where(F.col("gain").isNotNull() if settings.always else (F.col("gain") > settings.min_gain) & (F.col("gain") > 0))
     best = F.max(F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), (-F.col("left")).alias("m"), "gl", "hl", "nl", "gr", "hr", "nr"))
     return ranked.groupBy("k", "node").agg(best.alias("s")).select("k", "node", "s.*")
 

@@ -186,6 +186,36 @@ def test_trainer_equals_plain_loops_and_keeps_groups_apart(spark, training, cons
     assert again.to_json() == forest.to_json()
 
 
+def test_registered_stumps_split_where_the_penalty_outweighs_the_gain(spark, tmp_path):
+    """Labels about 50000 that features hardly move: the best split of each round, as the SQL takes it, lowers the score."""
+    from auroral import catalogue
+
+    rng = np.random.default_rng(3)
+    n = 200
+    x = np.column_stack([rng.integers(1, 51, n), rng.integers(0, 11, n) / 100, rng.integers(0, 9, n) / 100]).astype(float)
+    y = 50000 + np.round(rng.normal(size=n), 2)
+    spark.createDataFrame([(k, 1, *map(float, row), float(v)) for k, (row, v) in enumerate(zip(x, y, strict=True))], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    margin, phi, bias = np.zeros(n), np.zeros((n, 3)), 0.0
+    for _ in range(2):
+        g, best = margin - y, None
+        for f, cuts in enumerate(catalogue.STUMP_FEATURES.values()):
+            for cut in cuts:
+                left = x[:, f] <= cut
+                score = g[left].sum() ** 2 / (left.sum() + 1) + g[~left].sum() ** 2 / ((~left).sum() + 1) - g.sum() ** 2 / (n + 1)
+                if best is None or score > best[0]:
+                    best = score, f, left
+        score, f, left = best
+        assert score < 0
+        leaf = np.where(left, -0.5 * g[left].sum() / (left.sum() + 1), -0.5 * g[~left].sum() / ((~left).sum() + 1))
+        margin, bias = margin + leaf, bias + leaf.mean()
+        phi[:, f] += leaf - leaf.mean()
+    got = catalogue.queries()["stump_contributions"](spark, str(tmp_path)).orderBy("l_orderkey").collect()
+    assert np.allclose([(r.c0, r.c1, r.c2) for r in got], phi, rtol=0, atol=1e-3) and np.abs(phi).max() > 1
+    assert got[0].bias == pytest.approx(bias, abs=1e-3)
+    shown = catalogue.queries()["boosted_stumps"](spark, str(tmp_path)).orderBy("l_orderkey").collect()
+    assert np.allclose([r.prediction for r in shown], margin, rtol=0, atol=1e-3)
+
+
 def test_objectives_lower_their_loss_and_validation_ends_training(spark, training):
     df, x, y, w = training
     features, settings = ["a", "b", "c", "d"], Settings(rounds=3, depth=2, rate=0.2)
